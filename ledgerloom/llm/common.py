@@ -45,3 +45,15 @@ def words(text: Column) -> Column:
 def fold(col: str, mod: int) -> Column:
     """crc32 of an id's decimal text, modulo mod."""
     return F.crc32(F.col(col).cast("string")) % mod
+
+
+def chunks(weights: list[int], most: int):
+    """(start, end) of runs whose weights add up to `most` or that hold one item."""
+    start = held = 0
+    for i, x in enumerate(weights):
+        if i > start and held + x > most:
+            yield start, i
+            start, held = i, 0
+        held += x
+    if start < len(weights):
+        yield start, len(weights)

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules
+from pyspark.sql import functions as F
+
+from . import bpe_duckdb, packing, pii, quality_rules, wavelet
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_shards(spark, sf_dir):
+    shards = wavelet.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return wavelet.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -15,5 +28,22 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *names)
 
 
-QUERIES = {"op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules}
+def op8_packing(spark, sf_dir):
+    return packing.digest(packing.place(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
+def op10_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe_duckdb.decode(bpe_duckdb.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op4_token_shards, op5_pii, op6_quality_rules, op8_packing, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
