@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, packing, pii, quality_rules, wavelet
+from . import bpe_duckdb, embedding_dedup, minhash, packing, pii, quality_rules, wavelet
 from .common import table
 
 
@@ -14,6 +14,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark, sf_dir):
+    return minhash.near(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_shards(spark, sf_dir):
     shards = wavelet.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return wavelet.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -45,5 +53,5 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_token_shards, op5_pii, op6_quality_rules, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op4_token_shards, op5_pii, op6_quality_rules, op8_packing, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
