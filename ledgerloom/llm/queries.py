@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, embedding_dedup, minhash, packing, pii, quality_rules, wavelet
+from . import bpe_duckdb, embedding_dedup, minhash, packing, pii, quality_rules, suffix_dedup, wavelet
 from .common import table
 
 
@@ -36,6 +36,12 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *names)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    removed = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["hi"] - s["lo"]).cast("long")
+    out = suffix_dedup.cut(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.digest(packing.place(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -53,5 +59,5 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op4_token_shards, op5_pii, op6_quality_rules, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op4_token_shards, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_packing, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
