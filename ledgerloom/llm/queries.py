@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, embedding_dedup, minhash, packing, pii, quality_rules, suffix_dedup, wavelet
-from .common import table
+from . import bpe_duckdb, embedding_dedup, language_id, minhash, packing, pii, quality_pu, quality_rules, suffix_dedup, wavelet
+from .common import fold, table
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +22,15 @@ def op2_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near(table(spark, sf_dir, "embeddings"))
 
 
+def op3_quality_pu(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = F.coalesce(fold("doc_id", 5) != 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(seen).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    model = quality_pu.fit(docs.where(seen).join(labels, "doc_id", "left"))
+    out = quality_pu.score(docs, model)
+    return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_token_shards(spark, sf_dir):
     shards = wavelet.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return wavelet.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -46,6 +55,13 @@ def op8_packing(spark, sf_dir):
     return packing.digest(packing.place(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(fold("doc_id", 4) != 2))
+    out = language_id.predict(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -59,5 +75,5 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op4_token_shards, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op3_quality_pu, op4_token_shards, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_packing, op9_language_id, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
