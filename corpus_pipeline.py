@@ -1,18 +1,71 @@
-"""The corpus pipeline: language ID, MinHash near-dedup, suffix-array dedup, PII, best-fit packing."""
+"""The corpus pipeline: language ID, MinHash near-dedup, suffix-array dedup, PII, best-fit packing.
+
+Every stage works on all rows that the stage before kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import language_id, minhash, packing, pii, suffix_dedup
+from ledgerloom.llm.common import stored
+from ledgerloom.llm.queries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def with_text(docs: DataFrame, text) -> DataFrame:
+    """The documents' columns with a new text and its length."""
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a learnt language is recognised stay; those without a letter (`und`) go."""
+    net = language_id.fit(docs)
+    return language_id.predict(docs.select(*COLUMNS), net).where("lang_pred <> 'und'").select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of near duplicates stays; rows that repeat a doc_id and its text count once."""
+    groups = minhash.near(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    whole = docs.select(*COLUMNS)
+    kept = whole.join(groups, whole["doc_id"].eqNullSafe(groups["__id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated byte strings are cut out; a document of which nothing but white space is left goes."""
+    left = suffix_dedup.cut(docs, carry=("lang", "source"), as_text=True)
+    return with_text(left, F.col("kept")).where(F.col("text").rlike(r"[^ \x09-\x0D]"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.redact(docs.select(*COLUMNS))
+    return with_text(out, F.col("text"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.place(docs, vocabulary("byte_bpe_50k.json")))
 
-from ledgerloom.llm import pii
 
-STAGES = [("pii", lambda spark, docs, sf_dir: pii.redact(docs))]
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("minhash", keep_one_of_each_group),
+    ("suffix_dedup", cut_repeats),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+]
 
+#: A trained network and tokenisation are beyond SQL: tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each stage's result written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{name}")
     return docs

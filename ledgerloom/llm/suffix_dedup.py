@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, text_or_empty
 from .minhash import inverse_powers, mix, powers
@@ -108,7 +109,7 @@ def contexts(reps: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFr
             for i in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 20_000]), types)], names=["h", "c", "parts", "off", "lead", "context"])
 
-    return docs.dropDuplicates(["rid"]).join(wanted, "rid").select("text", "wanted").mapInArrow(run, "h long, c long, parts int, off int, lead binary, context binary")
+    return docs.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(run, "h long, c long, parts int, off int, lead binary, context binary")
 
 
 def multikey_sort(keys: list[list[int]]) -> list[int]:
@@ -177,9 +178,9 @@ def agreement(rows: list[tuple[int, bytes]], length: int) -> list[tuple[int, int
     return list(zip((a * fits).max(1).tolist(), (b * fits).max(1).tolist()))
 
 
-def repeated(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The documents with their row id, and (rid, lo, hi) of repeated bytes, hi exclusive; spans may overlap."""
-    docs = df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+def repeated(df: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents with their row id and the columns to carry, and (rid, lo, hi) of repeated bytes, hi exclusive; spans may overlap."""
+    docs = df.select(F.col("doc_id").cast("long"), *carry, text_or_empty().alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     found = stored(anchors(docs, length, gram), "anchors")
     inside = found.where("at < 0").select("rid", "lo", (F.col("hi") + length).alias("hi"))
@@ -231,16 +232,21 @@ def repeated(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Dat
     return docs, inside.unionByName(outside)
 
 
-def cut(df: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) for every row: removed byte spans, merged and in order, and the bytes left."""
-    docs, spans = repeated(df, length)
+def cut(df: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, *carry, n_bytes, spans, kept) for every row: removed byte spans, merged and in order, and the bytes left.
+
+    as_text gives kept as a string, without the parts of characters that a cut went through.
+    """
+    docs, spans = repeated(df, length, carry=carry)
     ranges = spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    names = ["doc_id", *carry, "n_bytes", "spans", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         for batch in batches:
             n, spans, kept = [], [], []
-            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            *held, texts, lists = batch.columns
+            for text, ranges in zip(texts.to_pylist(), lists.to_pylist()):
                 raw, merged = text.encode("utf-8", "surrogatepass"), []
                 for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or ()):
                     if merged and lo <= merged[-1][1]:
@@ -248,9 +254,11 @@ def cut(df: DataFrame, length: int = LENGTH) -> DataFrame:
                     else:
                         merged.append([lo, hi])
                 edges = [0, *[x for m in merged for x in m], len(raw)]
+                left = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
                 n.append(len(raw))
                 spans.append([{"lo": lo, "hi": hi} for lo, hi in merged])
-                kept.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            yield pa.RecordBatch.from_arrays([*held, pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string() if as_text else pa.binary())], names=names)
 
-    return docs.join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<lo:int,hi:int>>, kept binary")
+    schema = docs.select("doc_id", *carry).schema.add("n_bytes", T.LongType()).add("spans", T.ArrayType(T.StructType().add("lo", "integer").add("hi", "integer"))).add("kept", T.StringType() if as_text else T.BinaryType())
+    return docs.join(ranges, "rid", "left").select("doc_id", *carry, "text", "ranges").mapInArrow(run, schema)
