@@ -28,8 +28,8 @@ from .common import chunks
 #: A space before a visible sign; white space as the pattern's \s has it.
 CUT = re.compile("(?= [^ \t-\r\x85\xa0  -     　])")
 LONG_WORD = 200
-CACHE = 450_000
-CHUNK_BYTES = 6 << 20
+CACHE = 350_000
+CHUNK_CHARS = 3 << 20
 DECODE_IDS = 2_000_000
 
 ENCODE_SQL = """
@@ -77,7 +77,7 @@ class Coder:
         self.single = single
         self.spaced = np.zeros(max(self.ranks.values()) + 1, bool)
         self.spaced[[rank for token, rank in self.ranks.items() if token[:1] == b" "]] = True
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "250MB"})
         self.db.register("m", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}))
@@ -183,19 +183,23 @@ def coder(path: str, pattern: str) -> Coder:
     return _CODERS[path, pattern]
 
 
-def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) of each row."""
+def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids array<int>) of each row; with decoded, also the bytes that decode() gives for the ids, by the same worker."""
     schema = df.select(key).schema.add("ids", T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in chunks(list(map(len, texts)), CHUNK_BYTES):
+            for a, b in chunks(list(map(len, texts)), CHUNK_CHARS):
                 ids = c.encode(texts[a:b])
                 offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, flat)], names=[key, "ids"])
+                cols = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+                if decoded:
+                    cols.append(pa.array(c.decode([np.frombuffer(x, np.int32) for x in ids]), pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 

@@ -66,7 +66,7 @@ def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe_duckdb.decode(bpe_duckdb.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    coded = bpe_duckdb.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
