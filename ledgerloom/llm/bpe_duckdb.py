@@ -27,6 +27,7 @@ from .common import chunks
 
 #: A space before a visible sign; white space as the pattern's \s has it.
 CUT = re.compile("(?= [^ \t-\r\x85\xa0  -     　])")
+SIGNS = frozenset(".,;:!?")
 LONG_WORD = 200
 CACHE = 350_000
 CHUNK_CHARS = 3 << 20
@@ -76,7 +77,7 @@ class Coder:
                     merged.append(rank)
         self.single = single
         self.spaced = np.zeros(max(self.ranks.values()) + 1, bool)
-        self.spaced[[rank for token, rank in self.ranks.items() if token[:1] == b" "]] = True
+        self.spaced[[rank for token, rank in self.ranks.items() if token[:1] == b" " or token in (b".", b",", b"!", b"\n")]] = True
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "250MB"})
         self.db.register("m", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -143,7 +144,11 @@ class Coder:
             self.words.clear()
         cut = [CUT.split(t) for t in texts]
         new = list({p for ps in cut for p in ps if p not in self.pieces})
-        split = [self.split(p) for p in new]
+        # A plain word, or one with a sign behind it, needs no pattern: the pattern parts just these two.
+        split = [
+            [p] if p[1:].isalpha() and p[0] == " " else [p[:-1], p[-1]] if p[-1] in SIGNS and p[1:-1].isalpha() and p[0] == " " else self.split(p)
+            for p in new
+        ]
         fresh = list({w for ws in split for w in ws if w not in self.words})
         if fresh:
             self.learn_words(fresh)
@@ -154,7 +159,7 @@ class Coder:
         return [b"".join(map(get, ps)) for ps in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each id sequence. It is cut before tokens that begin with a space; each different cut is decoded once."""
+        """The bytes of each id sequence. It is cut before tokens that begin with a space or are a sign; each different cut is decoded once."""
         if len(self.cuts) > CACHE:
             self.cuts.clear()
         keys: list[list[bytes]] = []
@@ -167,8 +172,8 @@ class Coder:
         if n.sum():
             tok = np.frombuffer(b"".join(new), np.int32)
             self.db.register("id_rows", pa.table({"d": np.repeat(np.arange(len(new), dtype=np.int32), n), "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
-            for d, text in self.db.execute(DECODE_SQL).fetchall():
-                self.cuts[new[d]] = text.encode("latin-1")
+            for k, text in zip((k for k in new if k), self.db.execute(DECODE_SQL).fetchnumpy()["text"].tolist()):
+                self.cuts[k] = text.encode("latin-1")
         self.cuts[b""] = b""
         get = self.cuts.__getitem__
         return [b"".join(map(get, ks)) for ks in keys]
