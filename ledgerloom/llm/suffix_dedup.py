@@ -185,11 +185,12 @@ def repeated(df: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple
     found = stored(anchors(docs, length, gram), "anchors")
     inside = found.where("at < 0").select("rid", "lo", (F.col("hi") + length).alias("hi"))
     named = found.where("at >= 0")
-    grams = named.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    # Stored, so that the joins below deal both sides anew and AQE may split a hot gram.
+    grams = stored(named.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "grams")
     shared = stored(named.join(grams, "h"), "shared")
     classes = stored(shared.groupBy("h", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi", "at")).alias("one")), "contexts")
 
-    sizes = classes.where("mixed").groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sizes = stored(classes.where("mixed").groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "sizes")
     reps = classes.where("mixed").join(sizes, "h").select("h", "c", "parts", "one.*")
     dealt = contexts(reps, docs, length, gram).withColumn("own", F.pmod(F.col("c"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

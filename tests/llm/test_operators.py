@@ -1,0 +1,351 @@
+"""Every operator against a brute-force version, over rows with every oddity, and over no rows."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import (
+    bpe_duckdb, embedding_dedup, language_id, minhash, packing, pii, quality_pu, quality_rules, suffix_dedup, wavelet,
+)
+from ledgerloom.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.collect()]
+
+
+def roots(n, pairs):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in pairs:
+        i, j = find(i), find(j)
+        up[max(i, j)] = min(i, j)
+    return [find(i) for i in range(n)]
+
+
+def shingles(text):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_minhash_links_as_brute_force(documents):
+    rows = sorted({r for r in texts_of(documents) if r[0] is not None})
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = {d: (len(s), rows[c][0]) for (d, _), s, c in zip(rows, sets, roots(len(rows), pairs))}
+    got = minhash.near(documents).collect()
+    assert len(got) == documents.count()
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+            assert r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+def test_minhash_chain_across_buckets(spark):
+    """A chain of neighbours, whose ends differ, is one component; blocks of pairs do not change it."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[5 * i : 5 * i + 120])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i in range(30) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    block, minhash.BLOCK = minhash.BLOCK, 3
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near(df).collect()}
+    finally:
+        minhash.BLOCK = block
+    assert got == dict(enumerate(roots(30, pairs)))
+
+
+def test_sketch_fills_and_estimates():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 60, 900, 5000):
+        s = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64))
+        assert (minhash.sketch(s) >> np.uint64(57) == np.arange(minhash.T)).all()
+    a = np.unique(rng.integers(0, 2**63, 2000, dtype=np.int64).view(np.uint64))
+    same = np.mean([(minhash.sketch(a[:1800]) == minhash.sketch(a[200:])).mean()])
+    assert abs(same - 0.8) < 0.15
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((150, 32))
+    x[40:60] = x[0] + rng.normal(0, 0.02, (20, 32))
+    x[60:70] = x[1] * rng.uniform(0.5, 9, (10, 1)) + rng.normal(0, 0.25, (10, 32))
+    x[70:75] = x[2]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    odd = [(500, None), (501, [0.0] * 32), (502, [float("nan")] * 32), (503, [None] + [1.0] * 31), (504, []), (505, [float("inf")] + [1.0] * 31), (506, [1.0, 2.0]), (507, [2.0, 4.0])]
+    return spark.createDataFrame([(*r, "clash") for r in rows + odd], "vec_id long, embedding array<float>, component string")
+
+
+def test_embeddings_as_brute_force(vectors):
+    rows = vectors.orderBy("vec_id").collect()
+    good = [i for i, r in enumerate(rows) if r[1] and all(v is not None and np.isfinite(v) for v in r[1]) and any(r[1])]
+    unit = {i: np.array(rows[i][1], float) / np.linalg.norm(np.array(rows[i][1], float)) for i in good}
+    pairs = [(i, j) for i in good for j in good if j < i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9]
+    links = Counter(x for p in pairs for x in p)
+    block, embedding_dedup.BLOCK = embedding_dedup.BLOCK, 6
+    try:
+        got = {r["vec_id"]: r for r in embedding_dedup.near(vectors).collect()}
+    finally:
+        embedding_dedup.BLOCK = block
+    assert len(got) == len(rows)
+    found = sum(got[r["vec_id"]]["n_links"] for r in rows)
+    assert 0.9 * 2 * len(pairs) <= found <= 2 * len(pairs)
+    for i, r in enumerate(rows):
+        assert got[r["vec_id"]]["n_links"] <= links[i]
+    comp = roots(len(rows), pairs)
+    assert np.mean([got[r["vec_id"]]["component_id"] == rows[c]["vec_id"] for r, c in zip(rows, comp)]) > 0.97
+    assert got[507]["component_id"] == 506 and got[505]["n_links"] == 0
+
+
+def test_itq_balances_codes():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((1000, 16)) @ np.diag(np.linspace(0.2, 4, 16))
+    r = embedding_dedup.itq(x, 0)
+    assert np.abs((x @ r > 0).mean(0) - 0.5).max() < 0.15
+
+
+def test_quality_classifier_separates(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(200)])
+    good = lambda: " ".join(rng.choice(vocabulary, 60)).capitalize() + ".\n"
+    bad = lambda: " ".join(w + "%%%" for w in rng.choice(vocabulary, 60))
+    rows = [(i, good() if i % 4 else bad(), None if i // 4 % 2 else int(i % 4 != 0)) for i in range(400)]
+    df = spark.createDataFrame(rows + [(1000, None, None), (1001, "", 1)], "doc_id long, text string, quality int")
+    out = {r["doc_id"]: r["score"] for r in quality_pu.score(df, quality_pu.fit(df)).collect()}
+    assert all(0 <= v <= 1 for v in out.values()) and 1000 in out
+    assert np.mean([(out[i] >= 0.3) == bool(i % 4) for i in range(400)]) > 0.97
+    alone = quality_pu.fit(df.where("false"))
+    assert quality_pu.score(df, alone).count() == 402
+
+
+def test_wavelet_round_trip_and_queries():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 511, 512, 3000):
+        ids = (rng.zipf(1.5, n) % 49408).astype(np.uint16)
+        m = wavelet.WaveletMatrix.build(ids)
+        m = wavelet.WaveletMatrix(m.n, m.zeros, m.planes, [r.tobytes() for r in m.ranks])
+        assert (m.ids() == ids).all()
+        for i in range(0, n, 97):
+            assert m.access(i) == ids[i] and m.rank(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
+        for token in {1, 2, 77, 49000}:
+            at = np.flatnonzero(ids == token).tolist()
+            assert m.count(token) == len(at) and m.locate(token)[:50] == at[:50]
+            with pytest.raises(IndexError):
+                m.select(token, len(at))
+
+
+def hf(name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return lambda x: t.encode(x, add_special_tokens=False).ids
+
+
+def test_token_shards(documents):
+    encode = hf("word_bpe_49k.json")
+    size, wavelet.SHARD_TOKENS = wavelet.SHARD_TOKENS, 1500
+    try:
+        got = wavelet.read(wavelet.write(documents, public_tokenizers.path("word_bpe_49k.json"))).collect()
+    finally:
+        wavelet.SHARD_TOKENS = size
+    want = Counter((d, tuple(encode(t) + [1])) for d, t in texts_of(documents))
+    assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == want
+    got.sort(key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d))
+
+
+BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def luhn(n):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(n))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for order, (kind, pattern) in enumerate(BASE):
+        for m in re.finditer(pattern, text):
+            n = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 14 <= len(n) <= 19 and luhn(n) if n else False, "phone": 10 <= len(n) <= 15}[kind]
+            if ok:
+                out.append((m.start(), order, kind, m.end()))
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_pii(spark):
+    rows = [
+        None, "", "write to a.b+c@mail.example.com, or a@b.cc_x@d.ee; not @x.y nor a@b", "ip 1.2.3.4 and 1.2.3.4.5.6.7.8 but 1.2.3.256 and 000255.0.0.1",
+        "card 4539 1488 0343 6467 or 4539-1488-0343-6468 or 45391488034364670000123 5 6  7", "call +1 (168) 555-5254 or +12 345 or ++49 30 1234567 +1   ",
+        "é😀 x@y.zz 😀 4539148803436467", "IBAN DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 bad DE00 3704 0044 0532 0130 00", "social security 123-45-6789; other 123-45-6789",
+        "1" * 20_000, "a" * 100_000, "a." * 30_000 + "@", "+1 " * 5000, "x" * 10 + "@" + "y." * 2000 + "z", "5 " * 8000, "1.1." * 4000,
+    ]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(rows)], "doc_id long, text string, pii int")
+    got = {r["doc_id"]: r for r in pii.report(df).collect()}
+    for i, t in enumerate(rows):
+        want = base_spans(t or "") if i not in (9, 10, 11) else ""
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), (i, want[:200], got[i]["spans"][:200])
+    assert got[7]["spans"].count("iban") == 2 and got[8]["spans"] == "ssn:16:27"
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert red[0] is None and red[1] == "" and red[6] == "é😀 <EMAIL> 😀 <CARD>" and red[2].startswith("write to <EMAIL>, or <EMAIL><EMAIL>;")
+
+
+def test_quality_rules(documents):
+    got = {(r["doc_id"], r["n_words"]): r for r in quality_rules.judge(documents).collect()}
+    for d, t in texts_of(documents):
+        w = WORD.findall(t)
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        many = Counter(windows)
+        covered = {i + k for i, x in enumerate(windows) if many[x] > 1 for k in range(5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        r = got[d, len(w)]
+        assert (r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (sum(map(len, w)), sum(map(t.count, quality_rules.SYMBOLS)), len(lines) - len(set(lines)), len(covered)), d
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and (not r["kept"] or not r["base_failed"])
+
+
+def test_suffix_dedup(documents):
+    rows = texts_of(documents)
+    raw = [t.encode() for _, t in rows]
+    count = Counter(b[p : p + 400] for b in raw for p in range(len(b) - 399))
+    want = Counter()
+    for (d, _), b in zip(rows, raw):
+        cover = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - 399):
+            if count[b[p : p + 400]] > 1:
+                cover[p : p + 400] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(int)])))
+        want[d, tuple(zip(edge[::2].tolist(), edge[1::2].tolist())), bytes(np.frombuffer(b, np.uint8)[~cover[:-1]])] += 1
+    block, suffix_dedup.BLOCK = suffix_dedup.BLOCK, 3
+    try:
+        got = suffix_dedup.cut(documents).collect()
+    finally:
+        suffix_dedup.BLOCK = block
+    assert Counter((r["doc_id"], tuple((s["lo"], s["hi"]) for s in r["spans"]), bytes(r["kept"])) for r in got) == want
+
+
+def test_multikey_sort():
+    rng = np.random.default_rng(4)
+    keys = [bytes(rng.integers(0, 3, rng.integers(0, 40), dtype=np.uint8)) for _ in range(60)] + [b"abc", b"abc", b""]
+    lcp = suffix_dedup.common_prefixes(keys)
+    for i, a in enumerate(keys):
+        for j, b in enumerate(keys):
+            if i != j:
+                n = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+                assert lcp[i, j] == n
+
+
+def test_packing(documents):
+    encode = hf("byte_bpe_50k.json")
+    got = packing.digest(packing.place(documents, public_tokenizers.path("byte_bpe_50k.json"), length=512)).collect()
+    want = Counter()
+    for d, t in texts_of(documents):
+        ids = encode(t) + [0]
+        for k, (at, n) in enumerate(packing.pieces_of(len(ids), 512)):
+            want[d, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for x in by.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 512
+    assert len(by) <= -(-sum(r["length"] for r in got) // 512) + 2
+
+
+def test_genetic_packing_beats_or_equals_best_fit():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 200):
+        size = rng.integers(300, 1100, n).tolist()
+        bins = packing.pack(size, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(size[i] for i in b) <= 2048 for b in bins)
+        plain: list = []
+        packing.best_fit(list(range(n)), size, plain, 2048)
+        assert len(bins) <= len(plain)
+
+
+def test_language_network_gradient():
+    rng = np.random.default_rng(0)
+    net = language_id.Network.fresh(["a", "b", "c"], hidden=3, seed=1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = rng.integers(0, 256, (6, 4)), np.array([0, 1, 2, 1])
+    x[4:, 1] = language_id.PAD
+    _, g = net.gradient(x, y)
+    for name in net.p:
+        flat = net.p[name].reshape(-1)
+        for i in np.argsort(-np.abs(g[name].reshape(-1)))[:3]:
+            old, up = flat[i], []
+            for d in (1e-3, -1e-3):
+                flat[i] = old + d
+                up.append(net.gradient(x, y)[0])
+            flat[i] = old
+            assert abs((up[0] - up[1]) / 2e-3 - g[name].reshape(-1)[i]) < 2e-3
+
+
+def test_language_id(spark):
+    words = {"en": "the of and with this from there house", "de": "der und mit nicht über straße schön haus", "es": "el que año niño está mañana casa los"}
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(words[l].split(), 30)), l) for i, l in enumerate(["en", "de", "es"] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.fit(df.where("doc_id % 4 <> 2"))
+    odd = spark.createDataFrame([(1000, None, "en"), (1001, "", None), (1002, "12 34 !", "de"), (1003, "the house " * 20_000, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.predict(df.unionByName(odd), net).collect()}
+    assert np.mean([got[i]["lang_pred"] == l for i, _, l in rows if i % 4 == 2]) >= 0.95
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "en"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    slow, _ = net.states(np.arange(20).reshape(10, 2), "b")
+    assert np.allclose(slow.transpose(0, 2, 1), net.fast_states(np.arange(20).reshape(10, 2), "b"), atol=1e-5)
+
+
+def test_byte_bpe(documents):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = bpe_duckdb.encode(documents, path, public_tokenizers.PATTERN, decoded=True)
+    want = Counter((d, tuple(own.encode_ordinary(t)), t.encode()) for d, t in texts_of(documents))
+    assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in coded.collect()) == want
+    again = bpe_duckdb.decode(coded.select("doc_id", "ids"), path, public_tokenizers.PATTERN)
+    assert Counter((r["doc_id"], bytes(r["decoded"])) for r in again.collect()) == Counter((d, t.encode()) for d, t in texts_of(documents))
+
+
+def test_no_rows(empty, vectors):
+    path = public_tokenizers.path
+    assert minhash.near(empty).count() == 0
+    assert embedding_dedup.near(vectors.where("false")).count() == 0
+    assert wavelet.read(wavelet.write(empty, path("word_bpe_49k.json"))).count() == 0
+    assert pii.report(empty).count() == 0 and quality_rules.judge(empty).count() == 0
+    assert suffix_dedup.cut(empty).count() == 0
+    assert packing.place(empty, path("byte_bpe_50k.json")).count() == 0
+    net = language_id.fit(empty)
+    assert language_id.predict(empty, net).count() == 0
+    assert bpe_duckdb.encode(empty, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True).count() == 0
+    model = quality_pu.fit(empty.withColumn("quality", F.lit(1)))
+    assert quality_pu.score(empty, model).count() == 0
