@@ -146,7 +146,7 @@ class Coder:
         new = list({p for ps in cut for p in ps if p not in self.pieces})
         # A plain word, or one with a sign behind it, needs no pattern: the pattern parts just these two.
         split = [
-            [p] if p[1:].isalpha() and p[0] == " " else [p[:-1], p[-1]] if p[-1] in SIGNS and p[1:-1].isalpha() and p[0] == " " else self.split(p)
+            [p] if p[1:].isalpha() and p[:1] == " " else [p[:-1], p[-1]] if p[-1:] in SIGNS and p[1:-1].isalpha() and p[:1] == " " else self.split(p)
             for p in new
         ]
         fresh = list({w for ws in split for w in ws if w not in self.words})
