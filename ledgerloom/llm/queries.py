@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import bpe_duckdb, embedding_dedup, language_id, minhash, packing, pii, quality_pu, quality_rules, suffix_dedup, wavelet
 from .common import fold, table
+from .oracles import ORACLES
 
 
 def vocabulary(name: str) -> str:
@@ -76,4 +77,5 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op3_quality_pu, op4_token_shards, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_packing, op9_language_id, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "vocabulary"]
