@@ -3,9 +3,10 @@
 A sketch has T coordinates. Round i throws every shingle into a bin; the least value of the first round that reaches
 a bin stays. Rounds T to 2T-1 throw all shingles into one bin each, so every coordinate fills. Documents that agree on
 a band of coordinates are candidates. Equal sets are one row from the start. In each bucket every member is verified
-against the bucket's least document; buckets that this leaves in several components then verify all pairs across
-components whose sketches do not rule them out (an estimate ESTIMATE below the threshold, six standard deviations).
-So links within a component already joined are not spelt out, and none between components is lost.
+against the bucket's least document. In buckets that this leaves in several components, each member then verifies its
+likeliest partners in other components, a few a round, and at last all that sketches do not rule out (an estimate
+ESTIMATE below the threshold, over four standard deviations). Components have grown together by then, so links within
+one are not spelt out, and none between components is lost.
 
 Null or blank texts have no shingles and link with nothing. Texts of one to four words are one shingle. Repeated
 rows keep their rows and share their component. Other columns are not read.
@@ -26,7 +27,11 @@ from .components import components
 
 WIDTH = 5
 T, BANDS = 128, 32
-ESTIMATE = 0.23
+ESTIMATE = 0.18
+#: Ranks of partners that each round across components verifies; the last one takes all that are left.
+ROUNDS = ((0, 1), (1, 3), (0, None))
+#: Up to this many ids (8 bytes each) may be broadcast to pick out texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 BLOCK = 1500
 CHUNK_CHARS = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -178,12 +183,46 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     full = stored(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, s binary"), "sets")
     met = pairs.join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     return met.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long")
 
 
+def _across(met: DataFrame, comps: DataFrame, small: DataFrame, percent: int, ranks: tuple[int, int | None]) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that sketches do not rule out: of each member's partners,
+    by estimate, those of the given ranks."""
+    labelled = met.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    mixed = labelled.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = labelled.join(mixed, "k").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.select("k", "rep", "c", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("k", "rep", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.join(small, "rep")
+    first, last = ranks
+
+    def compare(key, pdf):
+        _, i, j = key
+        x = np.frombuffer(b"".join(pdf["small"]), np.uint16).reshape(len(pdf), T)
+        own, c, rep = (pdf[n].to_numpy() for n in ("own", "c", "rep"))
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        least = T * (percent / 100 - ESTIMATE)
+        a, b = [], []
+        for p in left.tolist():
+            q = right[c[right] != c[p]]
+            same = (x[q] == x[p]).sum(1)
+            fits = same >= least
+            q = q[fits][np.argsort(-same[fits], kind="stable")][first:last]
+            a += [p] * len(q)
+            b += q.tolist()
+        return pd.DataFrame({"a": np.minimum(rep[a], rep[b]).astype(np.int64), "b": np.maximum(rep[a], rep[b]).astype(np.int64)})
+
+    return dealt.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near(df: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     sk = stored(sketches(df), "sketches")
@@ -194,38 +233,16 @@ def near(df: DataFrame, percent: int = 75) -> DataFrame:
     entries = reps.select("rep", F.explode("bands").alias("k"))
     full = entries.groupBy("k").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     met = stored(entries.join(full, "k"), "buckets")
-    pairs = met.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = stored(met.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(verified(pairs, docs, percent), "links")
     comps = components(links, "a", "b")
 
-    open_ = met.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = open_.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_.join(mixed, "k").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.select("k", "rep", "pivot", "c", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("k", "rep", "pivot", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(reps.select("rep", "small"), "rep")
-
-    def across(key, pdf):
-        _, i, j = key
-        x = np.frombuffer(b"".join(pdf["small"]), np.uint16).reshape(len(pdf), T)
-        own, c, rep, pivot = (pdf[n].to_numpy() for n in ("own", "c", "rep", "pivot"))
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        least = T * (percent / 100 - ESTIMATE)
-        a, b = [], []
-        for p in left.tolist():
-            q = right[(c[right] != c[p]) & ((rep[right] > rep[p]) if i == j else True)]
-            q = q[(x[q] == x[p]).sum(1) >= least]
-            a += [p] * len(q)
-            b += q.tolist()
-        lo, hi = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-        fresh = lo != pivot[a] if len(a) else np.zeros(0, bool)
-        return pd.DataFrame({"a": lo[fresh].astype(np.int64), "b": hi[fresh].astype(np.int64)})
-
-    more = stored(dealt.groupBy("k", "i", "j").applyInPandas(across, "a long, b long").distinct(), "across")
-    if more.limit(1).count():
-        comps = components(links.unionByName(verified(more, docs, percent)), "a", "b")
+    done, small = pairs, reps.select("rep", "small")
+    for ranks in ROUNDS:
+        more = stored(_across(met, comps, small, percent, ranks).join(done, ["a", "b"], "left_anti"), "across")
+        if more.limit(1).count():
+            links = stored(links.unionByName(verified(more, docs, percent)), "links")
+            comps, done = components(links, "a", "b"), done.unionByName(more)
     label = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     out = sk.select("doc_id", "n_shingles", "h1", "h2").join(label, ["h1", "h2"], "left")
     found = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
