@@ -26,8 +26,7 @@ def op2_embedding_dedup(spark, sf_dir):
 def op3_quality_pu(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen = F.coalesce(fold("doc_id", 5) != 0, F.lit(False))
-    labels = table(spark, sf_dir, "labels").where(seen).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    model = quality_pu.fit(docs.where(seen).join(labels, "doc_id", "left"))
+    model = quality_pu.fit(docs.where(seen), table(spark, sf_dir, "labels").where(seen))
     out = quality_pu.score(docs, model)
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

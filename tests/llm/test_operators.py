@@ -133,10 +133,10 @@ def test_quality_classifier_separates(spark):
     bad = lambda: " ".join(w + "%%%" for w in rng.choice(vocabulary, 60))
     rows = [(i, good() if i % 4 else bad(), None if i // 4 % 2 else int(i % 4 != 0)) for i in range(400)]
     df = spark.createDataFrame(rows + [(1000, None, None), (1001, "", 1)], "doc_id long, text string, quality int")
-    out = {r["doc_id"]: r["score"] for r in quality_pu.score(df, quality_pu.fit(df)).collect()}
+    out = {r["doc_id"]: r["score"] for r in quality_pu.score(df, quality_pu.fit(df, df)).collect()}
     assert all(0 <= v <= 1 for v in out.values()) and 1000 in out
     assert np.mean([(out[i] >= 0.3) == bool(i % 4) for i in range(400)]) > 0.97
-    alone = quality_pu.fit(df.where("false"))
+    alone = quality_pu.fit(df.where("false"), df.where("false"))
     assert quality_pu.score(df, alone).count() == 402
 
 
@@ -347,5 +347,5 @@ def test_no_rows(empty, vectors):
     net = language_id.fit(empty)
     assert language_id.predict(empty, net).count() == 0
     assert bpe_duckdb.encode(empty, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True).count() == 0
-    model = quality_pu.fit(empty.withColumn("quality", F.lit(1)))
+    model = quality_pu.fit(empty, empty.withColumn("quality", F.lit(1)))
     assert quality_pu.score(empty, model).count() == 0
