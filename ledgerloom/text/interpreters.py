@@ -12,7 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import html
+from . import coordinates, html
 
 # Subjects, labels and months of the templates.
 SUBJECTS = {"Tu transferencia fue exitosa": "transfer_out", "Recibiste una transferencia": "transfer_in", "Compra con tarjeta": "card_payment", "Pagaste un servicio": "service_payment"}
@@ -168,8 +168,57 @@ def read_statement(raw: bytes) -> tuple[str, str | None, list[Claim]]:
     return ("READ" if claims else "UNRECOGNISED"), None, claims
 
 
+PERIOD = re.compile(r"(\d{2}/\d{2}/\d{4}) al (\d{2}/\d{2}/\d{4})", re.ASCII)
+
+
+def read_columns(raw: bytes) -> tuple[str, str | None, list[Claim]]:
+    """A column statement: day numbers become dates inside its period; an annex entry that fits one row alone completes it."""
+    placed = coordinates.words(raw)
+    lines: dict[tuple[int, float], list[str]] = {}
+    for w in placed:
+        lines.setdefault((w.page, w.y), []).append(w.text)
+    found = next((m for x in lines.values() if (m := PERIOD.search(" ".join(x)))), None)
+    if found is None:
+        return "FAILED", "period", []
+    days = pd.date_range(*[pd.to_datetime(d, format="%d/%m/%Y") for d in found.groups()])
+    claims: list[Claim] = []
+    try:
+        for row in coordinates.column_rows(placed):
+            day = next((d for d in days if d.day == int(row.date)), None)
+            if day is None or bool(row.cargo) == bool(row.abono):
+                raise Unreadable("row")
+            claim = base(money(row.cargo or row.abono), "HIGH", "OUTFLOW" if row.cargo else "INFLOW")
+            claim["occurred_at"] = (wall(f"{day.day}/{day.month}/{day.year}"), "HIGH")
+            text = " ".join(row.description)
+            if re.match(r"(\s*[0-9]){10}", text, re.ASCII):
+                claim["merchant"] = (re.sub(r"\A[0-9\s]+", "", text, flags=re.ASCII) or text, "MEDIUM")
+            elif text.startswith("CGO"):
+                claim["counterparty"] = (text.removeprefix("CGO").strip() or text, "MEDIUM")
+            claims.append(claim)
+        fits: dict[tuple, list[Claim]] = {}
+        for c in claims:
+            fits.setdefault((c["occurred_at"][0], c["amount_minor"][0], c["direction"][0]), []).append(c)
+        for a in coordinates.annex_rows(placed):
+            d, m, y = a["date"].split("/")
+            hits = fits.get((wall(f"{int(d)}/{int(m)}/{y}"), money(a["amount"]), a["direction"]), [])
+            if len(hits) == 1:
+                if a["key"]:
+                    hits[0]["tracking_key"] = (a["key"], "HIGH")
+                if a["clock"]:
+                    hits[0]["occurred_at"] = (wall(f"{int(d)}/{int(m)}/{y}", a["clock"]), "HIGH")
+    except Unreadable as e:
+        return "FAILED", str(e), []
+    return ("READ" if claims else "UNRECOGNISED"), None, claims
+
+
+def read_blocks(raw: bytes) -> tuple[str, str | None, list[Claim]]:
+    """A block statement: its rows written as lines and read by the shapes of movement_rows."""
+    rows = coordinates.block_rows(coordinates.parse(raw))
+    return read_statement("\n".join(f"{r.date} | {' '.join(r.description + r.detail)} | {r.amount}" for r in rows).encode())
+
+
 #: Interpreter by extraction profile, with the media type that it takes.
-REGISTRY = {"EMAIL_V1": ("message/rfc822", read_mail), "STATEMENT_V1": ("text/plain", read_statement)}
+REGISTRY = {"EMAIL_V1": ("message/rfc822", read_mail), "STATEMENT_V1": ("text/plain", read_statement), "STATEMENT_BLOCKS_V1": ("application/xhtml+xml", read_blocks), "STATEMENT_COLUMNS_V1": ("application/xhtml+xml", read_columns)}
 
 
 def read_one(profile: str | None, media: str | None, raw: bytes | None) -> tuple[str, str | None, list[Claim]]:
