@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import values as V
 from .operators import geometry, match, quality, query, store
+from .plans import migrations
 from .plans.checkpoint import cut
 from .plans.projection import claim_fields, table, transactions
 from .schemas import SELF
@@ -711,3 +712,9 @@ def utf1_statement_interpreters(spark, d):
     text = F.when(k % 4 == 1, "hello").when(k % 4 == 2, F.concat(F.lit("5 ENE 2026 | SPEI recibido de X | -$"), amount)).otherwise(F.concat(F.lit("5 ENE 2026 | Tienda Compra | -$"), amount))
     ev = table(spark, d, "customer").select(k.cast("string").alias("id"), F.lit("STATEMENT_V1").alias("extraction_profile"), F.when(k % 4 == 3, "text/html").otherwise("text/plain; charset=utf-8").alias("content_type"), F.encode(text, "UTF-8").alias("raw_content"))
     return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", F.get("claims", F.lit(0))["amount_minor"]["value"].cast("bigint").alias("amount_minor"))
+
+
+@query_("""WITH m AS (SELECT DISTINCT l_orderkey AS evidence_id, sha256('interpretation:' || l_orderkey) AS id FROM lineitem) SELECT id, evidence_id, 'EMAIL_V1' AS extraction_profile, 0 AS unread_rows FROM m""")
+def snk10_migrations(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("claim_id"))
+    return migrations.migrate({"claim_evidence": li}, 0)[0]["interpretations"]
