@@ -241,8 +241,9 @@ def near(df: DataFrame, percent: int = 75) -> DataFrame:
     for ranks in ROUNDS:
         more = stored(_across(met, comps, small, percent, ranks).join(done, ["a", "b"], "left_anti"), "across")
         if more.limit(1).count():
-            links = stored(links.unionByName(verified(more, docs, percent)), "links")
-            comps, done = components(links, "a", "b"), done.unionByName(more)
+            # The components so far stand in for the links that made them: fewer edges, nearly stars already.
+            known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comps, done = components(known.unionByName(verified(more, docs, percent)), "a", "b"), done.unionByName(more)
     label = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     out = sk.select("doc_id", "n_shingles", "h1", "h2").join(label, ["h1", "h2"], "left")
     found = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
