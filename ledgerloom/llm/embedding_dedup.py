@@ -21,8 +21,10 @@ from .common import stored
 from .components import components
 
 SAMPLE = 4096
-TABLES = 16
+TABLES = 16  # at least; rotations are added until planted pairs at the threshold meet with RECALL
+RECALL = 0.75
 SUBSTRING = 16  # bits, for up to 2^16 vectors; a bit more for each doubling, so that chance meetings grow with n, not n^2
+LEARNT = 4  # rotations that the sample teaches; further ones are random, so that each finds other pairs
 BLOCK = 2000
 
 
@@ -51,6 +53,34 @@ def keys_of(x: np.ndarray, rotations: list[np.ndarray], width: int) -> np.ndarra
     return np.stack(out, axis=1)
 
 
+def planted(s: np.ndarray, cosine: float, seed: int = 0) -> np.ndarray:
+    """A neighbour at exactly `cosine` of each unit vector: of every second one in a random direction, else towards another vector."""
+    rng = np.random.default_rng(seed)
+    way = rng.standard_normal(s.shape)
+    way[1::2] = way[1::2] * 1e-3 + s[rng.permutation(len(s))][1::2]
+    way -= (way * s).sum(1, keepdims=True) * s
+    way /= np.maximum(np.linalg.norm(way, axis=1, keepdims=True), 1e-12)
+    return cosine * s + np.sqrt(max(0.0, 1 - cosine * cosine)) * way
+
+
+def rotations_for(s: np.ndarray, width: int, threshold: float, learnt: int = LEARNT) -> list[np.ndarray]:
+    """Rotations for substrings of `width` bits, as many as bring pairs at the threshold together with RECALL: a wider substring gets more.
+
+    Those who are learnt from are not planted beside: a rotation suits its own sample better than other vectors."""
+    d = s.shape[1]
+    s, held = (s[::2], s[1::2]) if len(s) > 1 else (s, s)
+    x = held[np.arange(SAMPLE) % len(held)]
+    y = planted(x, threshold)
+    met, tables, out = np.zeros(len(x), bool), 0, []
+    while tables < TABLES or min(met[::2].mean(), met[1::2].mean()) < RECALL:
+        seed = len(out)
+        out.append(itq(s, seed) if seed < learnt else np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0])
+        same = keys_of(x, out[-1:], width) == keys_of(y, out[-1:], width)
+        met |= same.any(1)
+        tables += same.shape[1]
+    return out
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Edges that span what the edges a-b join."""
     up = list(range(n))
@@ -100,13 +130,16 @@ def compared(pdf: pd.DataFrame, bounds: np.ndarray, threshold: float):
         linked = x[left] @ x[right].T >= threshold
         if left is right:
             linked &= np.tri(len(left), k=-1, dtype=bool)
-        if not linked.any():
-            continue
-        for u in range(table[s]):
-            linked &= k[left, u][:, None] != k[right, u][None, :]
-        count[s + left] += linked @ w[s + right]
-        count[s + right] += linked.T @ w[s + left]
         a, b = np.nonzero(linked)
+        for u in range(table[s]):
+            if not len(a):
+                break
+            new = k[left[a], u] != k[right[b], u]
+            a, b = a[new], b[new]
+        if not len(a):
+            continue
+        np.add.at(count, s + left[a], w[s + right[b]])
+        np.add.at(count, s + right[b], w[s + left[a]])
         joined = forest(e - s, left[a], right[b])
         rows_a.append(s + np.array([i for i, _ in joined], np.int64))
         rows_b.append(s + np.array([j for _, j in joined], np.int64))
@@ -126,7 +159,6 @@ def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str
 
     n = max(1, classes.count())
     width = min(32, max(SUBSTRING, (n - 1).bit_length()))
-    turns_of = lambda d: -(-TABLES // max(1, d // width))
     by_size: dict[int, list[np.ndarray]] = {}
     rows = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("x").collect()  # bounded sample
     for r in rows:
@@ -135,7 +167,13 @@ def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str
     for d, sample in by_size.items():
         s = np.array(sample)
         s /= np.linalg.norm(s, axis=1)[:, None]
-        rotations[d] = [itq(s, seed) for seed in range(turns_of(d))]
+        rotations[d] = rotations_for(s, width, threshold)
+
+    def turns(d):
+        if d not in rotations:  # no vector of this length is in the sample
+            s = np.random.default_rng(d).standard_normal((SAMPLE, d))
+            rotations[d] = rotations_for(s / np.linalg.norm(s, axis=1)[:, None], width, threshold, learnt=0)
+        return rotations[d]
 
     def index(batches):
         for pdf in batches:
@@ -143,8 +181,7 @@ def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str
                 x = np.array(part["x"].tolist(), float)
                 x /= np.abs(x).max(1)[:, None]
                 x /= np.linalg.norm(x, axis=1)[:, None]
-                turns = rotations.get(d) or [np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0] for seed in range(turns_of(d))]
-                k = keys_of(x, turns, width)
+                k = keys_of(x, turns(d), width)
                 yield pd.DataFrame({"rep": part["rep"], "w": part["w"], "d": d, "unit": [v.tobytes() for v in x], "keys": [v.tobytes() for v in k], "each": [v.astype(np.int64).tolist() for v in k]})
 
     coded = stored(classes.select("rep", "w", "x").mapInPandas(index, "rep long, w long, d int, unit binary, keys binary, each array<long>"), "coded")

@@ -126,6 +126,18 @@ def test_itq_balances_codes():
     assert np.abs((x @ r > 0).mean(0) - 0.5).max() < 0.15
 
 
+@pytest.mark.parametrize("width", [16, 20, 24, 28])
+def test_planted_pairs_meet_at_every_width(width):
+    """Substrings widen with the table; pairs not used for fitting must meet as often as in a small one."""
+    rng = np.random.default_rng(11)
+    s = rng.standard_normal((4096, 64))
+    s /= np.linalg.norm(s, axis=1)[:, None]
+    x, y = s[:2000], embedding_dedup.planted(s[:2000], 0.9, seed=12)
+    turns = embedding_dedup.rotations_for(s[2000:], width, 0.9)
+    met = (embedding_dedup.keys_of(x, turns, width) == embedding_dedup.keys_of(y, turns, width)).any(1).mean()
+    assert met > embedding_dedup.RECALL - 0.03
+
+
 def test_quality_classifier_separates(spark):
     rng = np.random.default_rng(5)
     vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(200)])
