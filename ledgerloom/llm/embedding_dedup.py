@@ -22,8 +22,9 @@ from .components import components
 
 SAMPLE = 4096
 TABLES = 16  # at least; rotations are added until planted pairs at the threshold meet with RECALL
-RECALL = 0.75
-SUBSTRING = 16  # bits, for up to 2^16 vectors; a bit more for each doubling, so that chance meetings grow with n, not n^2
+RECALL = 0.93
+SUBSTRING = 16  # bits, for up to 2^12 vectors; a bit more for each doubling, so that chance meetings grow with n, not n^2
+SPARE = 4  # bits more than number the vectors: keys are cheap beside vectors that meet by chance
 LEARNT = 4  # rotations that the sample teaches; further ones are random, so that each finds other pairs
 BLOCK = 2000
 
@@ -158,7 +159,7 @@ def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str
     classes = stored(marked.where("good").groupBy("h", "x").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "vectors")
 
     n = max(1, classes.count())
-    width = min(32, max(SUBSTRING, (n - 1).bit_length()))
+    width = min(32, max(SUBSTRING, (n - 1).bit_length() + SPARE))
     by_size: dict[int, list[np.ndarray]] = {}
     rows = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("x").collect()  # bounded sample
     for r in rows:
@@ -182,9 +183,9 @@ def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str
                 x /= np.abs(x).max(1)[:, None]
                 x /= np.linalg.norm(x, axis=1)[:, None]
                 k = keys_of(x, turns(d), width)
-                yield pd.DataFrame({"rep": part["rep"], "w": part["w"], "d": d, "unit": [v.tobytes() for v in x], "keys": [v.tobytes() for v in k], "each": [v.astype(np.int64).tolist() for v in k]})
+                yield pd.DataFrame({"rep": part["rep"], "w": part["w"], "d": d, "unit": [v.tobytes() for v in x], "keys": [v.tobytes() for v in k], "each": [v.view(np.int32).tolist() for v in k]})
 
-    coded = stored(classes.select("rep", "w", "x").mapInPandas(index, "rep long, w long, d int, unit binary, keys binary, each array<long>"), "coded")
+    coded = stored(classes.select("rep", "w", "x").mapInPandas(index, "rep long, w long, d int, unit binary, keys binary, each array<int>"), "coded")
     entries = coded.select("rep", "d", F.posexplode("each").alias("t", "k"))
     full = entries.groupBy("d", "t", "k").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")

@@ -138,6 +138,21 @@ def test_planted_pairs_meet_at_every_width(width):
     assert met > embedding_dedup.RECALL - 0.03
 
 
+def test_pairs_near_the_threshold_are_linked(spark):
+    """Pairs planted at cosine 0.90, 0.91 and 0.92, against brute force, and at each cosine by itself."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = np.concatenate([x, *(embedding_dedup.planted(x[i : i + 500], 0.9 + 1e-6 + i * 2e-5, seed=i) for i in (0, 500, 1000))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = np.tril(x @ x.T >= 0.9, -1).sum(1)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = np.array([r[0] for r in embedding_dedup.near(df).orderBy("vec_id").select("n_links").collect()])
+    assert want.sum() == 1500 and got.sum() <= 3000
+    for at in (1500, 2000, 2500):
+        assert got[at : at + 500].sum() >= 0.9 * want[at : at + 500].sum()
+
+
 def test_quality_classifier_separates(spark):
     rng = np.random.default_rng(5)
     vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(200)])
