@@ -21,7 +21,7 @@ MONEY = re.compile(r"\$?\s*([0-9]{1,3}(?:,[0-9]{3})*)\.([0-9]{2})\Z")
 DATE = re.compile(r"([0-9]{1,2})[/ ]([A-Za-z]{3}|[0-9]{1,2})[/ ]([0-9]{4})(?: - ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?\Z")
 
 Claim = dict[str, tuple]
-SCHEMA = "status string, problem string, claims array<map<string,struct<value:string,confidence:string>>>"
+SCHEMA = "status string, problem string, claims array<map<string,struct<value:string,confidence:string>>>, unread_rows int"
 
 
 class Unreadable(ValueError):
@@ -114,35 +114,69 @@ def service_payment(lines: list[str]) -> Claim:
 TEMPLATES: dict[str, Callable[[list[str]], Claim]] = {"transfer_out": transfer_out, "transfer_in": transfer_in, "card_payment": card_payment, "service_payment": service_payment}
 
 
+# Statement shapes: prefixes of moves between accounts of one user and the direction that each has on the account's
+# side; descriptions that name their kind; openings of a SPEI detail, the words before the other party and the direction.
+INTERNAL = {"Retiro de Cajita:": "INFLOW", "Depósito en Cajita:": "OUTFLOW", "Retirado de tu dinero de respaldo": "INFLOW", "Descongelamos saldo de tu Cajita:": "INFLOW"}
+DESCRIPTORS = ((re.compile(r"(.+) Devolución", re.S), "merchant"), (re.compile(r"(.+) Ajuste realizado", re.S), "merchant"), (re.compile(r"Pago de servicio - (.+)", re.S), "merchant"), (re.compile(r"Cajero (.+) Retiro de efectivo", re.S), "counterparty"))
+PHRASES = ("Pago a tu tarjeta de crédito Nu", "Bonificación por beneficio de Nu", "Compensación de retraso SPEI", "Depósito en punto de venta")
+SPEI = {"Depósito SPEI,": ("Del cliente ", "INFLOW"), "Transferencia SPEI,": ("Al cliente ", "OUTFLOW")}
+UNVERIFIED = "(Dato no verificado por esta institución)"
+CLOCK = re.compile(r"Hora: ([0-9]{1,2}:[0-9]{2}:[0-9]{2})")
+KEY = re.compile(r"Clave de rastreo ([^,]+)")
+
+
+def movement(date: str, text: str, detail: str, amount: str) -> Claim | None:
+    """One statement row; None if no shape reads it. A row of a known shape with an unreadable value is Unreadable."""
+    own = next((w for p, w in INTERNAL.items() if text.startswith(p)), None)
+    party = next(((field, m[1]) for shape, field in DESCRIPTORS if (m := shape.fullmatch(text))), None)
+    spei = next((x for p, x in SPEI.items() if detail.startswith(p)), None)
+    spoken = re.fullmatch(r"SPEI(?: .*?)?? (?:de|a) (.*)", text, re.S)
+    if not (text.endswith(" Compra") or own or party or text in PHRASES or spei or spoken):
+        return None
+    if amount[:1] not in ("+", "-"):
+        raise Unreadable("sign")
+    way = "OUTFLOW" if amount[0] == "-" else "INFLOW"
+    claim = base(money(amount[1:]), "HIGH", way) | {"occurred_at": (wall(date), "HIGH"), "financial_status": ("SETTLED", "MEDIUM")}
+    if text.endswith(" Compra"):
+        return claim | {"merchant": (text.removesuffix(" Compra"), "MEDIUM")}
+    if own == way:
+        return claim | {"counterparty": ("urn:ledger:self", "HIGH")}
+    if party:
+        return claim | {party[0]: (party[1], "MEDIUM")}
+    if text in PHRASES:
+        return claim
+    if spei:
+        marker, said = spei
+        name, end, _ = detail.partition(marker)[2].partition(UNVERIFIED)
+        if said != way:
+            raise Unreadable("direction")
+        if not end or not name.strip():
+            raise Unreadable("party")
+        clock, key = CLOCK.search(detail), KEY.search(detail)
+        claim |= {"counterparty": (name.strip(), "HIGH"), "occurred_at": (wall(date, clock and clock[1]), "HIGH")}
+        return claim | ({"tracking_key": (key[1].strip(), "HIGH")} if key and key[1].strip() else {})
+    if spoken:
+        if way != ("INFLOW" if text.startswith("SPEI recibido") else "OUTFLOW"):
+            raise Unreadable("direction")
+        return claim | {"counterparty": (spoken[1], "HIGH")}
+    return None  # the mirror of a row of the account
+
+
 def movement_rows(lines: list[str]) -> tuple[list[Claim], int]:
-    """Statement lines `date | description | signed amount`: claims, and the number of rows that no shape reads."""
-    claims, unread = [], 0
+    """Statement lines `date | description | signed amount`, a row's detail in the lines below it: claims, and the number of rows that no shape reads."""
+    rows: list[tuple[str, str, list[str], str]] = []
     for line in lines:
         parts = [p.strip() for p in line.split("|")]
-        if len(parts) != 3 or not DATE.fullmatch(parts[0]):
-            continue
-        date, text, amount = parts
-        if amount[:1] not in "+-" or not amount:
-            raise Unreadable("sign")
-        way = "OUTFLOW" if amount[0] == "-" else "INFLOW"
-        claim = base(money(amount[1:]), "HIGH", way) | {"occurred_at": (wall(date), "HIGH"), "financial_status": ("SETTLED", "MEDIUM")}
-        if text.endswith(" Compra"):
-            claim["merchant"] = (text.removesuffix(" Compra"), "MEDIUM")
-        elif text.startswith(("Abono a cajita", "Retiro de cajita")):
-            if (way == "OUTFLOW") != text.startswith("Abono"):
-                unread += 1  # the mirror of a row already counted
-                continue
-            claim["counterparty"] = ("urn:ledger:self", "HIGH")
-        elif text.startswith("SPEI ") and " de " in text or text.startswith("SPEI ") and " a " in text:
-            said = "INFLOW" if text.startswith("SPEI recibido") else "OUTFLOW"
-            if said != way:
-                raise Unreadable("direction")
-            claim["counterparty"] = (re.split(r" (?:de|a) ", text, maxsplit=1)[1], "HIGH")
-        else:
-            unread += 1
-            continue
-        claims.append(claim)
-    return claims, unread
+        if len(parts) == 3 and DATE.fullmatch(parts[0]):
+            rows.append((parts[0], parts[1], [], parts[2]))
+        elif rows and line.strip():
+            rows[-1][2].append(line.strip())
+    return claims_and_unread([(date, text, " ".join(detail), amount) for date, text, detail, amount in rows])
+
+
+def claims_and_unread(rows: list[tuple[str, str, str, str]]) -> tuple[list[Claim], int]:
+    read = [movement(*r) for r in rows]
+    return [c for c in read if c is not None], sum(c is None for c in read)
 
 
 def read_mail(raw: bytes) -> tuple[str, str | None, list[Claim]]:
@@ -160,12 +194,13 @@ def read_mail(raw: bytes) -> tuple[str, str | None, list[Claim]]:
         return "FAILED", str(e), []
 
 
-def read_statement(raw: bytes) -> tuple[str, str | None, list[Claim]]:
+def read_statement(raw: bytes) -> tuple[str, str | None, list[Claim], int]:
+    """(status, problem, claims, rows unread)."""
     try:
-        claims, _ = movement_rows(raw.decode("utf-8", "replace").split("\n"))
+        claims, unread = movement_rows(raw.decode("utf-8", "replace").split("\n"))
     except Unreadable as e:
-        return "FAILED", str(e), []
-    return ("READ" if claims else "UNRECOGNISED"), None, claims
+        return "FAILED", str(e), [], 0
+    return ("READ" if claims else "UNRECOGNISED"), None, claims, unread
 
 
 PERIOD = re.compile(r"(\d{2}/\d{2}/\d{4}) al (\d{2}/\d{2}/\d{4})", re.ASCII)
@@ -211,36 +246,46 @@ def read_columns(raw: bytes) -> tuple[str, str | None, list[Claim]]:
     return ("READ" if claims else "UNRECOGNISED"), None, claims
 
 
-def read_blocks(raw: bytes) -> tuple[str, str | None, list[Claim]]:
-    """A block statement: its rows written as lines and read by the shapes of movement_rows."""
+def read_blocks(raw: bytes) -> tuple[str, str | None, list[Claim], int]:
+    """A block statement: its rows read by the shapes of movement."""
     rows = coordinates.block_rows(coordinates.parse(raw))
-    return read_statement("\n".join(f"{r.date} | {' '.join(r.description + r.detail)} | {r.amount}" for r in rows).encode())
+    try:
+        claims, unread = claims_and_unread([(r.date, " ".join(r.description), " ".join(r.detail), r.amount) for r in rows])
+    except Unreadable as e:
+        return "FAILED", str(e), [], 0
+    return ("READ" if claims else "UNRECOGNISED"), None, claims, unread
 
 
 #: Interpreter by extraction profile, with the media type that it takes.
 REGISTRY = {"EMAIL_V1": ("message/rfc822", read_mail), "STATEMENT_V1": ("text/plain", read_statement), "STATEMENT_BLOCKS_V1": ("application/xhtml+xml", read_blocks), "STATEMENT_COLUMNS_V1": ("application/xhtml+xml", read_columns)}
 
 
-def read_one(profile: str | None, media: str | None, raw: bytes | None) -> tuple[str, str | None, list[Claim]]:
-    """Dispatch by profile and media type; whatever goes wrong stays with this artifact."""
+def read_whole(profile: str | None, media: str | None, raw: bytes | None) -> tuple[str, str | None, list[Claim], int]:
+    """Dispatch by profile and media type; whatever goes wrong stays with this artifact. Last, the rows that no shape reads."""
     known = REGISTRY.get(profile or "")
     if known is None or (media or "").split(";")[0].strip().lower() != known[0] or raw is None:
-        return "FAILED", "DISPATCH", []
+        return "FAILED", "DISPATCH", [], 0
     try:
-        return known[1](bytes(raw))
+        status, problem, claims, *unread = known[1](bytes(raw))
+        return status, problem, claims, sum(unread)
     except Exception as e:  # noqa: BLE001  an artifact's failure must not end its batch
-        return "FAILED", type(e).__name__, []
+        return "FAILED", type(e).__name__, [], 0
+
+
+def read_one(profile: str | None, media: str | None, raw: bytes | None) -> tuple[str, str | None, list[Claim]]:
+    return read_whole(profile, media, raw)[:3]
 
 
 def interpret(evidence: DataFrame) -> DataFrame:
-    """evidence (id, extraction_profile, content_type, raw_content) to (id, status, problem, claims)."""
+    """evidence (id, extraction_profile, content_type, raw_content) to (id, status, problem, claims, unread_rows)."""
 
     def run(batches):
         for pdf in batches:
-            rows = [read_one(*r) for r in zip(pdf["extraction_profile"], pdf["content_type"], pdf["raw_content"])]
+            rows = [read_whole(*r) for r in zip(pdf["extraction_profile"], pdf["content_type"], pdf["raw_content"])]
             yield pd.DataFrame({
                 "id": pdf["id"], "status": [r[0] for r in rows], "problem": [r[1] for r in rows],
                 "claims": [[{k: {"value": v[0], "confidence": v[1]} for k, v in c.items()} for c in r[2]] for r in rows],
+                "unread_rows": [r[3] for r in rows],
             })
 
     return evidence.select("id", "extraction_profile", "content_type", "raw_content").mapInPandas(run, f"id string, {SCHEMA}")

@@ -163,6 +163,24 @@ def mail(subject, body, extra=""):
     return f"Subject: {subject}\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/html; charset=utf-8\n{extra}\n{body}\n--B--\n".encode()
 
 
+def test_statement_shapes():
+    read = lambda text, amount="-$5.00", *detail: interpreters.read_whole("STATEMENT_V1", "text/plain", "\n".join([f"6 ENE 2026 | {text} | {amount}", *detail]).encode())
+    for text, amount in (("Retiro de Cajita: Viaje", "+$5.00"), ("Depósito en Cajita: Viaje", "-$5.00"), ("Retirado de tu dinero de respaldo", "+$5.00"), ("Descongelamos saldo de tu Cajita: Viaje", "+$5.00")):
+        assert read(text, amount)[2][0]["counterparty"] == ("urn:ledger:self", "HIGH")
+        assert read(text, {"+": "-", "-": "+"}[amount[0]] + amount[1:]) == ("UNRECOGNISED", None, [], 1)
+    for text, field, name in (("Tienda Devolución", "merchant", "Tienda"), ("Tienda Ajuste realizado", "merchant", "Tienda"), ("Pago de servicio - Luz", "merchant", "Luz"), ("Cajero Banco Retiro de efectivo", "counterparty", "Banco")):
+        assert read(text)[2][0][field] == (name, "MEDIUM")
+    for text in ("Pago a tu tarjeta de crédito Nu", "Bonificación por beneficio de Nu", "Compensación de retraso SPEI", "Depósito en punto de venta"):
+        assert not {"merchant", "counterparty"} & set(read(text)[2][0])
+    detail = "Del cliente Ana Paz (Dato no verificado por esta institución), Hora: 10:20:30,", "Clave de rastreo NU77 , Concepto x"
+    (claim,) = read("Ana Paz", "+$5.00", "Depósito SPEI,", *detail)[2]
+    assert claim["counterparty"] == ("Ana Paz", "HIGH") and claim["tracking_key"] == ("NU77", "HIGH") and claim["occurred_at"][0] == "2026-01-06T16:20:30.000Z"
+    assert read("Ana Paz", "-$5.00", "Depósito SPEI,", *detail)[:2] == ("FAILED", "direction")
+    assert read("Ana Paz", "-$5.00", "Transferencia SPEI, Al cliente Bo")[:2] == ("FAILED", "party")
+    assert read("Ana Paz", "-$5.00", "Transferencia SPEI, Al cliente Bo (Dato no verificado por esta institución)")[2][0]["counterparty"] == ("Bo", "HIGH")
+    assert read("Otra cosa", "5.00") == ("UNRECOGNISED", None, [], 1)
+
+
 def test_mail_interpreters():
     out = mail("Tu transferencia fue exitosa", "<p>Monto:</p><p>$1,200.50</p><p>Fecha: 5/ENE/2026</p><p>Hora: 10:30</p><p>Nombre: Ana</p><p>Clave de rastreo: K9</p>")
     status, problem, (claim,) = interpreters.read_one("EMAIL_V1", "message/rfc822", out)
