@@ -1,5 +1,6 @@
 """The ledger's functions, reconciliation and writes: accept/refuse tables, invariants, and in-memory versions."""
 
+import base64
 import json
 from datetime import datetime
 
@@ -181,6 +182,13 @@ def test_statement_shapes():
     assert read("Otra cosa", "5.00") == ("UNRECOGNISED", None, [], 1)
 
 
+def test_raw_content_is_whole(spark, tmp_path):
+    page = "<p>é" + "x" * 70_000 + "</p>"
+    spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    r = entry.queries()["scl35_whole_content"](spark, str(tmp_path)).first()
+    assert r["n_bytes"] == len(page.encode()) and base64.b64decode(r["raw"]) == page.encode()
+
+
 def test_mail_interpreters():
     out = mail("Tu transferencia fue exitosa", "<p>Monto:</p><p>$1,200.50</p><p>Fecha: 5/ENE/2026</p><p>Hora: 10:30</p><p>Nombre: Ana</p><p>Clave de rastreo: K9</p>")
     status, problem, (claim,) = interpreters.read_one("EMAIL_V1", "message/rfc822", out)
