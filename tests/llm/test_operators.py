@@ -317,6 +317,20 @@ def test_genetic_packing_beats_or_equals_best_fit():
         assert len(bins) <= len(plain)
 
 
+def test_every_unfilled_sequence_evolves(monkeypatch):
+    rng = np.random.default_rng(8)
+    size, seen = rng.integers(690, 1000, 1500).tolist(), []
+    evolve = packing.evolve
+    monkeypatch.setattr(packing, "evolve", lambda first, *rest: seen.extend(first) or evolve(first, *rest))
+    bins = packing.pack(size, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(1500))
+    plain: list = []
+    packing.best_fit(list(range(1500)), size, plain, 2048)
+    assert len(bins) <= len(plain)
+    unfilled = [sorted(b) for b in plain if sum(size[i] for i in b) < packing.FULL * 2048]
+    assert len(unfilled) > packing.EVOLVED and sorted(map(sorted, seen)) == sorted(unfilled)
+
+
 def test_language_network_gradient():
     rng = np.random.default_rng(0)
     net = language_id.Network.fresh(["a", "b", "c"], hidden=3, seed=1)
