@@ -21,8 +21,11 @@ def with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learnt language is recognised stay; those without a letter (`und`) go."""
+    """Documents in which a learnt language is recognised stay; those without a letter (`und`) go. With no labels to learn
+    from, every document with a letter stays."""
     net = language_id.fit(docs)
+    if not net.labels:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     return language_id.predict(docs.select(*COLUMNS), net).where("lang_pred <> 'und'").select(*COLUMNS)
 
 

@@ -25,3 +25,11 @@ def test_stages(spark, tmp_path):
     assert not any("a@b.example.com" in r["text"] for r in seen["pii"])
     assert sum(r["length"] for r in seen["packing"]) > 0
     assert len(pipeline.run(spark, str(tmp_path)).collect()) == len(seen["packing"])
+
+
+def test_language_stage_without_labels(spark):
+    """A corpus whose lang is null throughout is kept, but for texts without a letter."""
+    rows = [(1, "some words here"), (2, "12345 !!!"), (3, None), (4, "слово")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "cast(null as string) lang", "'s' source", "cast(length(text) as long) n_chars")
+    kept = pipeline.keep_known_languages(spark, df, "")
+    assert kept.columns == pipeline.COLUMNS and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
