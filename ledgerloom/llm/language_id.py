@@ -2,7 +2,7 @@
 
 A text is read as segments of SEGMENT bytes. In each, one network runs forward and one backward; every byte's two
 states give label probabilities, and a document's are the mean over all its bytes. fit() learns on about SAMPLE_DOCS labelled texts (twice
-as many at most), PER_DOC segments from random places of each, chosen by hash; predict() reads every byte of every text.
+as many at most, LEAST a label if labels are many), PER_DOC segments from random places of each, chosen by hash; predict() reads every byte of every text.
 
 Null texts and texts without a letter are `und` with score 1. Labels are never read in prediction. Repeated rows
 are predicted one by one; ties go to the label that sorts first.
@@ -24,6 +24,7 @@ from .common import chunks
 HIDDEN = 8
 SEGMENT = 64
 SAMPLE_DOCS = 3000
+LEAST = 50  # rows of a label, where there are so many
 PER_DOC = 4
 STEPS, BATCH, RATE = 500, 192, 0.012
 ROWS = 4096  # segments that one pass holds
@@ -174,16 +175,19 @@ def train(segments: list[bytes], y: np.ndarray, labels: list[str], steps: int =
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", docs: int = SAMPLE_DOCS, key: str = "doc_id") -> Network:
-    """A network from about `docs` labelled rows of df, chosen by a hash of their key before their texts are read."""
+    """A network from about `docs` labelled rows of df, chosen by a hash of their key before their texts are read: an equal
+    number for each label, LEAST at least; of a label with fewer rows, all."""
     known = df.where(F.col(label).isNotNull())
-    cut = int(min(1.0, docs / max(1, known.select(key).count())) * (1 << 20))
-    picked = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < cut).where(F.col(text).rlike(r"\p{L}"))
+    sizes = {r[0]: r[1] for r in known.groupBy(F.col(label).cast("string")).count().collect()}  # a row for each language
+    each = max(LEAST, docs // max(1, len(sizes)))
+    cuts = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, each / n) * (1 << 20)))]) if sizes else F.create_map(F.lit(""), F.lit(0))
+    picked = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.element_at(cuts, F.col(label).cast("string"))).where(F.col(text).rlike(r"\p{L}"))
     # Whole texts stay on the executors: PER_DOC segments of each picked row come to the driver.
     raw = F.encode(F.col(text).cast("string"), "UTF-8")
     n = F.octet_length(raw)
     place = lambda k: F.pmod(F.xxhash64(F.col(text), F.lit(k)), F.greatest(n - SEGMENT + 1, F.lit(1))) + 1
     segments = F.array(*[F.substring(raw, place(k).cast("int"), F.lit(SEGMENT)) for k in range(PER_DOC)])
-    rows = picked.select(F.col(label).cast("string"), segments).limit(2 * docs + 100).collect()
+    rows = picked.select(F.col(label).cast("string"), segments).limit(2 * max(docs, each * len(sizes)) + 100).collect()
     rows.sort(key=lambda r: (r[0], [bytes(s) for s in r[1]]))  # the same network whatever order the rows came in
     labels = sorted({r[0] for r in rows})
     return train([bytes(s) for r in rows for s in r[1]], np.array([labels.index(r[0]) for r in rows for _ in r[1]], np.int64), labels)

@@ -364,6 +364,14 @@ def test_language_id(spark):
     assert np.allclose(slow.transpose(0, 2, 1), net.fast_states(np.arange(20).reshape(10, 2), "b"), atol=1e-5)
 
 
+def test_rare_language_is_learnt(spark):
+    """Two rows among many are few for a sample of all rows, yet their label is learnt."""
+    rows = [(i, "the house of words" if i % 2 else "das schöne haus", "en" if i % 2 else "de") for i in range(3000)]
+    rows += [(5001, "ñandú guaraní", "gn"), (5002, "ava ñe'ẽ", "gn")]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs=60)
+    assert net.labels == ["de", "en", "gn"]
+
+
 def test_byte_bpe(documents):
     import tiktoken
 
