@@ -2,14 +2,21 @@
 
 A sketch has T coordinates. Round i throws every shingle into a bin; the least value of the first round that reaches
 a bin stays. Rounds T to 2T-1 throw all shingles into one bin each, so every coordinate fills. Documents that agree on
-a band of coordinates are candidates. Equal sets are one row from the start. In each bucket every member is verified
-against the bucket's least document. In buckets that this leaves in several components, each member then verifies its
-likeliest partners in other components, a few a round, and at last all that sketches do not rule out (an estimate
-ESTIMATE below the threshold, over four standard deviations). Components have grown together by then, so links within
-one are not spelt out, and none between components is lost.
-
-Null or blank texts have no shingles and link with nothing. Texts of one to four words are one shingle. Repeated
-rows keep their rows and share their component. Other columns are not read.
+a band of coordinates are candidates; equal sets are one row from the start. Candidates are never spelt out as pairs:
+
+1. stars: each bucket's least document is compared with the bucket's others on full sets, which joins nearly all copies;
+2. doubt: in buckets that still hold several components, sketches tell which members come near the threshold (an
+   estimate up to ESTIMATE below it, over four standard deviations) of a member of another component. A bucket sends on
+   those members and which components they may join, no pairs;
+3. families, the components that doubt connects, are compared on full sets in one place: each member in doubt travels
+   there once, and is compared with all members of other components.
+
+Groups over PART_SHINGLES are dealt as parts: those who ask go to every part, the others to one. Members of the largest
+component of a group never ask, so a group of very many copies costs its size, not its square.
+
+Null or blank texts have no shingles and link with nothing. Texts of one to four words are one shingle. Very long texts
+are one set each. Repeated rows keep their rows and share their component, ties go to the least doc_id. Other columns
+are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -17,23 +24,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, text_or_empty
+from .common import chunks, in_batches, stored, text_or_empty
 from .components import components
 
 WIDTH = 5
 T, BANDS = 128, 32
 ESTIMATE = 0.18
-#: Ranks of partners that each round across components verifies; the last one takes all that are left.
-ROUNDS = ((0, 1), (1, 3), (0, None))
-#: Up to this many ids (8 bytes each) may be broadcast to pick out texts; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-BLOCK = 1500
-CHUNK_CHARS = 2 << 20
+#: Up to this many rows of a few numbers may be broadcast to pick out texts; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+BLOCK = 10_000  # rows of a bucket that are compared at once
+PART_SHINGLES = 2_000_000  # shingles of a group that are compared at once, 8 bytes each
+CHUNK_CHARS = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 GAPS = np.zeros(256, bool)
@@ -139,8 +144,14 @@ def bands(sk: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def name_of(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that name a set."""
+    a, b = (mix(s, k).sum(dtype=np.uint64).astype(np.int64) for k in (2, 3))
+    return int(a), int(b)
+
+
 def sketches(df: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands, small): h1, h2 name the set; small holds 16 bits of each coordinate."""
+    """(doc_id, n_shingles, h1, h2, bands, small): h1, h2 name the set; small holds 8 bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,102 +159,189 @@ def sketches(df: DataFrame) -> DataFrame:
             for a, b in chunks(list(map(len, texts)), CHUNK_CHARS):
                 sets = shingle_sets(texts[a:b])
                 rows = [sketch(s) if len(s) else None for s in sets]
-                with np.errstate(over="ignore"):
-                    h1 = np.array([mix(s, 2).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                    h2 = np.array([mix(s, 3).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                h1, h2 = np.array([name_of(s) for s in sets], np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2),
                      pa.array([r if r is None else bands(r).tolist() for r in rows], pa.list_(pa.int64())),
-                     pa.array([r if r is None else r.astype(np.uint16).tobytes() for r in rows], pa.binary())],
+                     pa.array([r if r is None else r.astype(np.uint8).tobytes() for r in rows], pa.binary())],
                     names=["doc_id", "n_shingles", "h1", "h2", "bands", "small"],
                 )
 
-    return df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, small binary")
+    docs = df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    return in_batches(docs, run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, small binary")
+
+
+def joined(sets: list[np.ndarray], asks: np.ndarray, answers: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(i, least i of its class) of sets that links join: each that asks is compared with all that answer, unless they are together already."""
+    sizes = np.array([len(s) for s in sets])
+    to = np.flatnonzero(answers)
+    lab = comp.copy()
+    if not asks.any() or not len(to):
+        return []
+    known = np.unique(np.concatenate([sets[i] for i in np.flatnonzero(asks)]))
+    place = np.searchsorted(known, flat := np.concatenate([sets[i] for i in to]))
+    place[known[np.minimum(place, len(known) - 1)] != flat] = len(known)
+    starts = np.cumsum(sizes[to]) - sizes[to]
+    mark = np.zeros(len(known) + 1, bool)
+    for p in np.flatnonzero(asks).tolist():
+        other = lab[to] != lab[p]
+        if not other.any():
+            continue
+        own = np.searchsorted(known, sets[p])
+        mark[own] = True
+        both = np.add.reduceat(mark[place], starts, dtype=np.int64)
+        mark[own] = False
+        for c in np.unique(lab[to[other & (100 * both >= percent * (sizes[p] + sizes[to] - both))]]).tolist():
+            lab[lab == c] = lab[p]
+    # Rows of one label that came with several components: each of those is joined to the first.
+    out = []
+    order = np.lexsort((np.arange(len(lab)), lab))
+    for part in np.split(order, np.flatnonzero(np.diff(lab[order])) + 1):
+        if (comp[part] != comp[part[0]]).any():
+            out += [(int(i), int(part[0])) for i in part[np.unique(comp[part], return_index=True)[1]].tolist() if i != part[0]]
+    return out
+
 
+def verified(wanted: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span the links, on full sets, inside the groups of wanted.
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets overlap by `percent` of their union or more."""
+    wanted: (g, part, rep, h1, h2, c, asks, answers). Rows of one part meet; a row that asks is compared with all that
+    answer and have another c. docs may hold several texts of a doc_id: h1, h2 tell which one is meant.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        at, edges = None, []
+
+        def close() -> None:
+            rows = sorted(held.items())
+            if len(rows) > 1:
+                sets, comp, asks, answers = zip(*[r for _, r in rows])
+                for i, j in joined(list(sets), np.array(asks), np.array(answers), np.array(comp), percent):
+                    edges.append((rows[i][0], rows[j][0]))
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            edges.clear()
+            return out
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            *keys, texts = [c.to_pylist() for c in batch.columns]
             for a, b in chunks(list(map(len, texts)), CHUNK_CHARS):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())], names=["id", "s"])
+                for s, g, part, rep, h1, h2, c, asks, answers in zip(shingle_sets(texts[a:b]), *[k[a:b] for k in keys]):
+                    if (g, part) != at:
+                        close()
+                        at = (g, part)
+                    if rep in held:
+                        held[rep] = (held[rep][0], c, held[rep][2] or asks, held[rep][3] or answers)
+                    elif name_of(s) == (h1, h2):
+                        held[rep] = (s, c, asks, answers)
+            if len(edges) > 10_000:
+                yield flush()
+        close()
+        yield flush()
+
+    wanted = stored(wanted, "wanted")
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        texts = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["rep"])
+    else:
+        texts = docs.join(wanted, docs["doc_id"] == wanted["rep"])
+    dealt = texts.select("g", "part", "rep", "h1", "h2", "c", "asks", "answers", "text").repartition("g", "part").sortWithinPartitions("g", "part")
+    return stored(in_batches(dealt, run, "a long, b long"), "links")
+
+
+def stars(met: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows for verified(): each bucket's least member asks, its others answer; every such pair once."""
+    pairs = met.where("rep <> pivot").select(F.col("pivot").alias("g"), "rep").distinct().join(reps.select("rep", "h1", "h2", "n_shingles"), "rep")
+    size = pairs.groupBy("g").agg(F.ceil(F.sum("n_shingles") / PART_SHINGLES).cast("int").alias("parts"))
+    member = pairs.join(size, "g").select("g", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "h1", "h2", F.col("rep").alias("c"), F.lit(False).alias("asks"), F.lit(True).alias("answers"))
+    centre = size.join(reps, size["g"] == reps["rep"]).select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "h1", "h2", F.col("rep").alias("c"), F.lit(True).alias("asks"), F.lit(False).alias("answers"))
+    return member.unionByName(centre)
+
+
+def doubted(met: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(rep, c, d, n): members of components c that sketches leave in doubt (n = 1), and pairs of components c, d that they connect (n = 0)."""
+    labelled = met.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k", "n", "rep", F.coalesce("component", "rep").alias("c"))
+    sizes = labelled.groupBy("k", "c").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("k").agg(F.max_by("c", "m").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k", "most")
+    rows = labelled.join(mixed, "k").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    asks = F.col("c") != F.col("most")
+    rows = rows.select("k", "rep", "c", "own", asks.alias("asks"), F.explode(F.when(asks, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))).alias("part"))
+    rows = rows.join(reps.select("rep", "small"), "rep").select("k", "part", "rep", "c", "asks", (F.col("own") == F.col("part")).alias("answers"), "small")
+    least = T * (percent / 100 - ESTIMATE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+
+        def close() -> tuple[set, set]:
+            members, links = set(), set()
+            if len({r[1] for r in held}) > 1:
+                rep, c, asks, answers, small = zip(*held)
+                x, c, to = np.frombuffer(b"".join(small), np.uint8).reshape(len(held), T), np.array(c), np.flatnonzero(answers)
+                for p in np.flatnonzero(asks).tolist():
+                    q = to[c[to] != c[p]]
+                    q = q[(x[q] == x[p]).sum(1) >= least]
+                    if len(q):
+                        members.update((rep[i], int(c[i])) for i in (p, *q.tolist()))
+                        links.update((min(int(c[p]), d), max(int(c[p]), d)) for d in np.unique(c[q]).tolist())
+            held.clear()
+            return members, links
+
+        members, links = set(), set()
+
+        def flush() -> pa.RecordBatch:
+            rows = [(r, c, c, 1) for r, c in members] + [(0, c, d, 0) for c, d in links]
+            members.clear()
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["rep", "c", "d", "n"])
 
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    full = stored(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, s binary"), "sets")
-    met = pairs.join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    return met.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long")
-
-
-def _across(met: DataFrame, comps: DataFrame, small: DataFrame, percent: int, ranks: tuple[int, int | None]) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that sketches do not rule out: of each member's partners,
-    by estimate, those of the given ranks."""
-    labelled = met.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = labelled.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = labelled.join(mixed, "k").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.select("k", "rep", "c", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("k", "rep", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(small, "rep")
-    first, last = ranks
-
-    def compare(key, pdf):
-        _, i, j = key
-        x = np.frombuffer(b"".join(pdf["small"]), np.uint16).reshape(len(pdf), T)
-        own, c, rep = (pdf[n].to_numpy() for n in ("own", "c", "rep"))
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        least = T * (percent / 100 - ESTIMATE)
-        a, b = [], []
-        for p in left.tolist():
-            q = right[c[right] != c[p]]
-            same = (x[q] == x[p]).sum(1)
-            fits = same >= least
-            q = q[fits][np.argsort(-same[fits], kind="stable")][first:last]
-            a += [p] * len(q)
-            b += q.tolist()
-        return pd.DataFrame({"a": np.minimum(rep[a], rep[b]).astype(np.int64), "b": np.maximum(rep[a], rep[b]).astype(np.int64)})
-
-    return dealt.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+            for k, part, *row in zip(*[col.to_pylist() for col in batch.columns]):
+                if (k, part) != at:
+                    for mine, new in zip((members, links), close()):
+                        mine |= new
+                    at = (k, part)
+                held.append(tuple(row))
+            if len(members) + len(links) > 50_000:
+                yield flush()
+        for mine, new in zip((members, links), close()):
+            mine |= new
+        yield flush()
+
+    dealt = rows.repartition("k", "part").sortWithinPartitions("k", "part")
+    return stored(in_batches(dealt, run, "rep long, c long, d long, n long").distinct(), "doubted")
+
+
+def families(doubt: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows for verified(): all members in doubt of the components that doubt connects; those outside the largest one ask."""
+    near = components(doubt.where("n = 0"), "c", "d")
+    members = doubt.where("n = 1").select("rep", "c").join(near.withColumnRenamed("node", "c"), "c", "left").select("rep", "c", F.coalesce("component", "c").alias("g"))
+    members = stored(members.join(reps.select("rep", "h1", "h2", "n_shingles"), "rep"), "members")
+    size = members.groupBy("g").agg(F.ceil(F.sum("n_shingles") / PART_SHINGLES).cast("int").alias("parts"))
+    most = members.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", "m").alias("most"))
+    asks = F.col("c") != F.col("most")
+    rows = members.join(size, "g").join(most, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.select("g", "rep", "h1", "h2", "c", "own", asks.alias("asks"), F.explode(F.when(asks, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))).alias("part"))
+    return rows.select("g", "part", "rep", "h1", "h2", "c", "asks", (F.col("own") == F.col("part")).alias("answers"))
 
 
 def near(df: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     sk = stored(sketches(df), "sketches")
     named = sk.where("doc_id is not null and n_shingles > 0")
-    reps = stored(named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "small"), "doc_id").alias("s")).select("h1", "h2", "rep", "s.*"), "reps")
+    reps = stored(named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "small"), "doc_id").alias("s")).select("h1", "h2", "n_shingles", "rep", "s.*"), "reps")
     docs = df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
 
     entries = reps.select("rep", F.explode("bands").alias("k"))
     full = entries.groupBy("k").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     met = stored(entries.join(full, "k"), "buckets")
-    pairs = stored(met.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stored(verified(pairs, docs, percent), "links")
-    comps = components(links, "a", "b")
-
-    done, small = pairs, reps.select("rep", "small")
-    for ranks in ROUNDS:
-        more = stored(_across(met, comps, small, percent, ranks).join(done, ["a", "b"], "left_anti"), "across")
-        if more.limit(1).count():
-            # The components so far stand in for the links that made them: fewer edges, nearly stars already.
-            known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            comps, done = components(known.unionByName(verified(more, docs, percent)), "a", "b"), done.unionByName(more)
+    comps = components(verified(stars(met, reps), docs, percent), "a", "b")
+    more = verified(families(doubted(met, comps, reps, percent), reps), docs, percent)
+    if more.limit(1).count():
+        # The components so far stand in for the links that made them: fewer edges, nearly stars already.
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     label = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     out = sk.select("doc_id", "n_shingles", "h1", "h2").join(label, ["h1", "h2"], "left")
     found = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
