@@ -70,6 +70,32 @@ def test_minhash_chain_across_buckets(spark):
     assert got == dict(enumerate(roots(30, pairs)))
 
 
+def test_minhash_large_group_of_near_copies(spark, monkeypatch):
+    """Near misses around the threshold, dealt as parts: components as brute force has them."""
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 160)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for at in rng.choice(160, int(rng.integers(0, 9)), replace=False):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = dict(enumerate(roots(len(rows), pairs)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near(df).collect()} == want
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "PART_SHINGLES", 3000)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near(df).collect()} == want
+
+
+def test_letters_are_of_category_l(spark):
+    net = language_id.train([b"the of", b"der und"], np.array([0, 1]), ["en", "de"], steps=2)
+    df = spark.createDataFrame([(0, "½ ② ² Ⅷ"), (1, "é"), (2, "字"), (3, "①")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language_id.predict(df, net).orderBy("doc_id").collect()] == [True, False, False, True]
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 60, 900, 5000):
@@ -306,29 +332,42 @@ def test_packing(documents):
     assert len(by) <= -(-sum(r["length"] for r in got) // 512) + 2
 
 
-def test_genetic_packing_beats_or_equals_best_fit():
-    rng = np.random.default_rng(6)
-    for n in (0, 1, 2, 200):
-        size = rng.integers(300, 1100, n).tolist()
-        bins = packing.pack(size, 2048)
-        assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(size[i] for i in b) <= 2048 for b in bins)
-        plain: list = []
-        packing.best_fit(list(range(n)), size, plain, 2048)
-        assert len(bins) <= len(plain)
-
-
-def test_every_unfilled_sequence_evolves(monkeypatch):
-    rng = np.random.default_rng(8)
-    size, seen = rng.integers(690, 1000, 1500).tolist(), []
-    evolve = packing.evolve
-    monkeypatch.setattr(packing, "evolve", lambda first, *rest: seen.extend(first) or evolve(first, *rest))
-    bins = packing.pack(size, 2048)
-    assert sorted(i for b in bins for i in b) == list(range(1500))
-    plain: list = []
-    packing.best_fit(list(range(1500)), size, plain, 2048)
-    assert len(bins) <= len(plain)
-    unfilled = [sorted(b) for b in plain if sum(size[i] for i in b) < packing.FULL * 2048]
-    assert len(unfilled) > packing.EVOLVED and sorted(map(sorted, seen)) == sorted(unfilled)
+def triplets(n, length, seed):
+    """Sizes of which each three make up a whole sequence: best fit packs them badly."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(0.38 * length, 0.49 * length))
+        b = int(rng.integers(length // 4 + 1, (length - a) // 2))
+        out += [a, b, length - a - b]
+    return [int(x) for x in rng.permutation(out)]
+
+
+def test_islands_pack_better_than_best_fit(spark):
+    sizes = [triplets(40, 2048, 1), triplets(60, 2048, 2), [], [5], [2048, 2048], np.random.default_rng(3).integers(690, 1000, 300).tolist(), np.random.default_rng(4).integers(20, 900, 300).tolist()]
+    df = spark.createDataFrame([(g, s) for g, s in enumerate(sizes) if s], "g long, size array<int>")
+    got = {r["g"]: r["labels"] for r in packing.evolved(df, 2048).collect()}
+    assert got.keys() == {g for g, s in enumerate(sizes) if s}
+    for g, labels in got.items():
+        load = np.bincount(labels, weights=sizes[g])
+        assert len(labels) == len(sizes[g]) and load.max() <= 2048 and load.min() > 0
+        assert -(-sum(sizes[g]) // 2048) <= len(load) <= len(packing.plain(sizes[g]))
+    for g in (0, 1):
+        assert max(got[g]) + 1 < 0.93 * len(packing.plain(sizes[g]))
+
+
+def test_open_pieces_meet_in_bounded_groups(spark, monkeypatch):
+    """Sequences that stay open in their tasks meet in groups of GROUP; every piece is placed once, gapless."""
+    monkeypatch.setattr(packing, "GROUP", 7)
+    df = spark.createDataFrame([(i, "word " * (30 + 7 * i % 61)) for i in range(60)], "doc_id long, text string").repartition(9)
+    got = packing.place(df, public_tokenizers.path("byte_bpe_50k.json"), length=100).select("doc_id", "piece", "length", "sequence_id", "offset").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for x in by.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 100
+    assert {r["doc_id"] for r in got} == set(range(60)) and len({(r["doc_id"], r["piece"]) for r in got}) == len(got)
 
 
 def test_language_network_gradient():
