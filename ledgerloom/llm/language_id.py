@@ -4,22 +4,24 @@ A text is read as segments of SEGMENT bytes. In each, one network runs forward a
 states give label probabilities, and a document's are the mean over all its bytes. fit() learns on about SAMPLE_DOCS labelled texts (twice
 as many at most, LEAST a label if labels are many), PER_DOC segments from random places of each, chosen by hash; predict() reads every byte of every text.
 
-Null texts and texts without a letter are `und` with score 1. Labels are never read in prediction. Repeated rows
-are predicted one by one; ties go to the label that sorts first.
+Null texts and texts without a letter (Unicode category L) are `und` with score 1; so is every text where no label could
+be learnt. Labels are never read in prediction. Very long texts are read whole, CHUNK_CHARS of texts at a time or one text.
+Repeated rows are predicted one by one; ties go to the label that sorts first. Other columns are carried; columns named
+lang_pred or score are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, in_batches
 
 HIDDEN = 8
 SEGMENT = 64
@@ -28,8 +30,8 @@ LEAST = 50  # rows of a label, where there are so many
 PER_DOC = 4
 STEPS, BATCH, RATE = 500, 192, 0.012
 ROWS = 4096  # segments that one pass holds
-CHUNK_CHARS = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+CHUNK_CHARS = 1 << 18
+LETTER = regex.compile(r"\p{L}")
 PAD = 256
 
 
@@ -227,4 +229,4 @@ def predict(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return df.select(*names).mapInArrow(run, schema)
+    return in_batches(df.select(*names), run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_or_empty
+from .common import in_batches, stored, text_or_empty
 from .minhash import inverse_powers, mix, powers
 
 LENGTH = 400
