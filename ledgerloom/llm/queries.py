@@ -48,7 +48,9 @@ def op6_quality_rules(spark, sf_dir):
 def op7_suffix_dedup(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["hi"] - s["lo"]).cast("long")
     out = suffix_dedup.cut(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("passages") > 0).alias("shares_passage")
+    )
 
 
 def op8_packing(spark, sf_dir):

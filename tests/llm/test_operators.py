@@ -295,12 +295,45 @@ def test_suffix_dedup(documents):
                 cover[p : p + 400] = True
         edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(int)])))
         want[d, tuple(zip(edge[::2].tolist(), edge[1::2].tolist())), bytes(np.frombuffer(b, np.uint8)[~cover[:-1]])] += 1
-    block, suffix_dedup.BLOCK = suffix_dedup.BLOCK, 3
-    try:
+    passages = {}
+    for d, b in enumerate(raw):
+        w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        for i in range(len(w) - 50):
+            passages.setdefault(b[w[i][0] : w[i + 50][1]], set()).add(d)
+    told = {rows[d][0] for x, ds in passages.items() if len(ds) > 1 and len(x) >= suffix_dedup.SHORT for d in ds}
+    block = suffix_dedup.BLOCK
+    for suffix_dedup.BLOCK in (1, 3, block):
         got = suffix_dedup.cut(documents).collect()
-    finally:
-        suffix_dedup.BLOCK = block
-    assert Counter((r["doc_id"], tuple((s["lo"], s["hi"]) for s in r["spans"]), bytes(r["kept"])) for r in got) == want
+        assert Counter((r["doc_id"], tuple((s["lo"], s["hi"]) for s in r["spans"]), bytes(r["kept"])) for r in got) == want
+        assert {r["doc_id"] for r in got if r["passages"]} == told
+
+
+def test_suffix_dedup_one_gram_in_many_contexts(spark, monkeypatch):
+    """A passage in very many documents, each with other words around it, and longer pieces that some of them share."""
+    rng = np.random.default_rng(31)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    short, long = prose(55)[:390], prose(80)
+    rows = []
+    for i in range(400):
+        around = prose(60), prose(60)
+        rows.append(f"{around[0]} {short if i % 2 else long} {around[1]}")
+        if i % 20 == 0:  # shares the middle and some of what follows
+            rows.append(f"{prose(40)} {short if i % 40 else long} {around[1][:150]} {prose(40)}")
+    raw = [t.encode() for t in rows]
+    count = Counter(b[p : p + 400] for b in raw for p in range(len(b) - 399))
+    want = {}
+    for d, b in enumerate(raw):
+        cover = np.zeros(len(b) + 2, int)
+        for p in range(len(b) - 399):
+            if count[b[p : p + 400]] > 1:
+                cover[p + 1 : p + 401] = 1
+        edge = np.flatnonzero(np.diff(cover))
+        want[d] = tuple(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 25)
+    got = suffix_dedup.cut(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: tuple((s["lo"], s["hi"]) for s in r["spans"]) for r in got} == want
+    assert all(r["passages"] for r in got)
 
 
 def test_multikey_sort():
