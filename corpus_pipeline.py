@@ -38,8 +38,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated byte strings are cut out; a document of which nothing but white space is left goes."""
-    left = suffix_dedup.cut(docs, carry=("lang", "source"), as_text=True)
+    """Repeated byte strings, and passages of over 50 words that another document has, are cut out; a document of which
+    nothing but white space is left goes."""
+    left = suffix_dedup.cut(docs, carry=("lang", "source"), as_text=True, passages=True)
     return with_text(left, F.col("kept")).where(F.col("text").rlike(r"[^ \x09-\x0D]"))
 
 
