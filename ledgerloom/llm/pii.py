@@ -1,8 +1,11 @@
 r"""PII detection with DataFrame expressions only.
 
 Regular expressions propose spans, validators (ranges, digit counts, Luhn, mod 97) confirm them, and words
-nearby move the score. Base kinds (email, ip, card, phone) stay whatever their score; other kinds stay from
-KEEP_SCORE on. Offsets are code points, end exclusive. Null and empty texts have no spans.
+nearby, up to CONTEXT characters before a span and CONTEXT behind it (up to the next span of its kind), raise the score.
+Base kinds (email, ip, card, phone) stay whatever their score; other kinds stay from KEEP_SCORE on. Offsets are code
+points, end exclusive. Null and empty texts have no spans. Repeated rows are read one by one; of spans that start
+together, the kind listed first comes first; find() and redact() carry other columns, and replace one that has the
+result's name; report() reads doc_id and text only.
 
 The patterns are linear forms of the stated ones: possessive loops, and a look-behind (or the end of the match
 before) in place of retries inside a run, so that a run of 100,000 letters is read once.
@@ -40,6 +43,7 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])", "", True, 0.7, "card|visa|credit|pay", "<CARD>"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", True, 0.7, "phone|call|tel|mobile", "<PHONE>"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", False, 0.8, "iban|account|bank|konto|cuenta|compte", "<IBAN>"),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api[_-]?key)[\"']? ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,}+)", "", False, 0.6, "key|login|secret|auth", "<SECRET>"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", False, 0.3, "ssn|social|security|tax", "<SSN>"),
 )
 
@@ -81,21 +85,28 @@ def confirmed(kind: str, s: Column) -> Column:
         return F.length(digits(s)).between(10, 15)
     if kind == "iban":
         return mod97(s)
+    if kind == "secret":  # a value, not a word
+        return s.rlike("[0-9]")
     return F.lit(True)
 
 
 def proposals(text: Column, k: Kind) -> Column:
     """Array of (start, ord, kind, end, score) of one kind: lengths of matches and of what lies between give the places."""
     empty = F.lit(None).cast("array<struct<start:int,stop:int,found:string,near:string>>")
-    pairs = F.zip_with(F.split(text, k.pattern, -1), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    pieces = F.split(text, k.pattern, -1)
+    pairs = F.zip_with(pieces, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    pairs = F.zip_with(pairs, F.filter(pieces, lambda p, i: i > 0), lambda x, q: F.struct(x["p"].alias("p"), x["m"].alias("m"), q.alias("q")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["p"])
         stop = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("found"), F.right(x["p"], F.lit(CONTEXT)).alias("near"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out")))
+        before = F.right(F.concat(acc["tail"], F.right(x["p"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        near = F.concat_ws("\n", before, F.left(x["q"], F.lit(CONTEXT)))
+        one = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("found"), near.alias("near"))
+        tail = F.right(F.concat(before, x["m"]), F.lit(CONTEXT))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(stop.alias("pos"), tail.alias("tail"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    first = F.struct(F.lit(0).alias("pos"), F.coalesce(empty, F.expr("cast(array() as array<struct<start:int,stop:int,found:string,near:string>>)")).alias("out"))
+    first = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.coalesce(empty, F.expr("cast(array() as array<struct<start:int,stop:int,found:string,near:string>>)")).alias("out"))
     found = F.aggregate(pairs, first, step, lambda acc: acc["out"])
     kept = F.filter(found, lambda x: confirmed(k.name, x["found"]))
     score = lambda x: F.lit(k.score) + F.when(F.lower(x["near"]).rlike(k.words), F.lit(BOOST)).otherwise(F.lit(0.0))
@@ -139,8 +150,11 @@ def digest(spans: Column) -> Column:
 
 
 def report(df: DataFrame) -> DataFrame:
-    """One row per document: counts by base kind, hash of the base spans, all spans."""
+    """One row per document: counts by base kind, hash of the base spans, all spans; whether there is any, and the best score."""
     f = find(df.select("doc_id", "text"))
     base = [k.name for k in KINDS if k.base]
     count = lambda name: F.size(F.filter("pii", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
-    return f.select("doc_id", *[count(n) for n in base], F.sha2(digest(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), digest(F.col("pii")).alias("spans"))
+    return f.select(
+        "doc_id", *[count(n) for n in base], F.sha2(digest(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), digest(F.col("pii")).alias("spans"),
+        (F.size("pii") > 0).alias("flagged"), F.array_max(F.transform("pii", lambda s: s["score"])).alias("top_score"),
+    )
