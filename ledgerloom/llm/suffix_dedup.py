@@ -47,7 +47,7 @@ SHORT = 256
 PASSAGE_WORDS = 51
 GRAM = 64
 BLOCK = 1000  # contexts of a gram that are compared at once
-BROADCAST_DOCS = 200_000  # documents whose spans, a few numbers each, may be broadcast; more are joined by a shuffle
+BROADCAST_DOCS = 200_000  # documents with spans whose ids (16 bytes) may be broadcast; more are joined by a shuffle
 U = np.uint64
 GAPS = np.zeros(256, bool)
 GAPS[[9, 10, 11, 12, 13, 32]] = True
@@ -378,7 +378,7 @@ def repeated(df: DataFrame, length: int = LENGTH, gram: int = GRAM, short: int =
     many = F.col("m") > 1
     ranges = [
         F.when(many & (F.col("hi") - F.col("lo") >= length), F.struct("lo", "hi", F.when(F.col("r0") != F.col("r1"), 2).otherwise(0).alias("kind"))),
-        F.when(many & (F.col("r0") != F.col("r1")), F.struct("lo", "hi", F.lit(1).alias("kind"))),
+        F.when(many & (F.col("r0") != F.col("r1")) & (F.col("hi") - F.col("lo") < length), F.struct("lo", "hi", F.lit(1).alias("kind"))),
         F.when(F.col("l") + F.col("r") > 0, F.struct((F.col("at") - F.col("l")).alias("lo"), (F.col("at") + F.col("r")).alias("hi"), F.when(F.col("across"), 2).otherwise(0).alias("kind"))),
         F.when(F.col("pl") + F.col("pr") > 0, F.struct((F.col("at") - F.col("pl")).alias("lo"), (F.col("at") + F.col("pr")).alias("hi"), F.lit(1).alias("kind"))),
     ]
@@ -449,6 +449,12 @@ def cut(df: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), as_tex
 
     span = T.ArrayType(T.StructType().add("lo", "integer").add("hi", "integer"))
     schema = docs.select("doc_id", *carry).schema.add("n_bytes", T.LongType()).add("spans", span).add("passages", span).add("kept", T.StringType() if as_text else T.BinaryType())
-    if ranges.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS:
-        ranges = F.broadcast(ranges)
-    return in_batches(docs.join(ranges, ["did", "rid"], "left").select("doc_id", *carry, "text", "ranges"), run, schema)
+    ids = ranges.select("did", "rid")
+    if ids.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS:
+        # Only texts with spans travel.
+        ids = F.broadcast(ids)
+        plain = docs.join(ids, ["did", "rid"], "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+        whole = docs.join(ids, ["did", "rid"], "left_semi").join(ranges.hint("shuffle_merge"), ["did", "rid"]).unionByName(plain)
+    else:
+        whole = docs.join(ranges, ["did", "rid"], "left")
+    return in_batches(whole.select("doc_id", *carry, "text", "ranges"), run, schema)
