@@ -29,15 +29,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 #: Rows and bytes that a Python worker gets at once: texts are long, and workers share an executor's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 
 
-def in_batches(df: DataFrame, run, schema) -> DataFrame:
+def in_batches(df: DataFrame, run, schema, rows: int = BATCH_ROWS) -> DataFrame:
     """df.mapInArrow(run, schema) with small batches; the session keeps the setting."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
