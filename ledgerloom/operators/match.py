@@ -29,8 +29,8 @@ def pairs_of_two(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of exactly two rows from two sources."""
     have = rows.where(" and ".join(f"{k} is not null" for k in keys))
     row = F.struct("id", "direction", "counterparty", "source_id")
-    groups = have.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("source_id", F.lit(""))).alias("s"), F.min_by(row, "id").alias("left"), F.max_by(row, "id").alias("right"))
-    return groups.where("n = 2 and s = 2").select("left", "right")
+    groups = have.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.coalesce("source_id", F.lit(""))).alias("s0"), F.max(F.coalesce("source_id", F.lit(""))).alias("s1"), F.min_by(row, "id").alias("left"), F.max_by(row, "id").alias("right"))
+    return groups.where("n = 2 and s0 <> s1").select("left", "right")
 
 
 def same_side() -> Column:

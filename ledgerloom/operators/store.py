@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoint import cut
+from ..schemas import CLAIM_FIELDS
+
 
 def insert_if_absent(new: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The rows to append: the first of each key in the batch, none whose key is stored."""
@@ -19,6 +22,7 @@ def events_of(rows: DataFrame, kind: str, payload: list[str], at: str, after: in
     """
     body = rows.select(F.col(at).alias("occurred_at"), F.to_json(F.struct(*payload)).alias("payload"))
     placed = body.repartitionByRange("occurred_at", "payload").sortWithinPartitions("occurred_at", "payload").withColumn("m", F.monotonically_increasing_id())
+    placed = cut(placed)  # counted and numbered from one sampling of the ranges
     placed = placed.withColumns({"p": F.shiftright("m", 33), "i": F.col("m").bitwiseAND((1 << 33) - 1)})
     sizes = placed.groupBy("p").agg(F.count("*").alias("c"))
     starts = sizes.select("p", (F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("s"))
@@ -50,10 +54,10 @@ def whole_artifacts(built: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def pivot_claims(fields: DataFrame) -> DataFrame:
-    """One row per claim: its fields as columns, UNKNOWN status where absent."""
-    names = ["amount_minor", "currency", "direction", "financial_status", "merchant", "tracking_key"]
-    pick = lambda n: F.max(F.when(F.col("field_name") == n, F.col("value_int" if n == "amount_minor" else "value_text"))).alias(n)
-    out = fields.groupBy("evidence_id", "claim_id").agg(*[pick(n) for n in names])
+    """One row per claim: its nine fields as columns, UNKNOWN status where absent. A field that is there twice gives its greatest value."""
+    out = fields.groupBy("evidence_id", "claim_id").agg(F.collect_list(F.struct("field_name", "value_int", "value_text")).alias("f"))
+    pick = lambda n: F.array_max(F.transform(F.filter("f", lambda x: x["field_name"] == n), lambda x: x["value_int" if n == "amount_minor" else "value_text"])).alias(n)
+    out = out.select("evidence_id", "claim_id", *[pick(n) for n in CLAIM_FIELDS])
     return out.withColumn("financial_status", F.coalesce("financial_status", F.lit("UNKNOWN")))
 
 

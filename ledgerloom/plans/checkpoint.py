@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:  # tests and single machines
         path = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", path)

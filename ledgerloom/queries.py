@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from .functions import values as V
-from .operators import geometry, match, quality, query, store
+from .operators import geometry, lookups, match, quality, query, store
 from .plans import migrations
 from .plans.checkpoint import cut
 from .plans.projection import claim_fields, table, transactions
@@ -142,13 +142,30 @@ def listed(cols: str):
     return f"SELECT id, direction, epoch_ms(occurred_at) AS occurred_at FROM t WHERE {cols}"
 
 
+#: Transactions of which some are superseded, reconciled, in another currency or without an amount.
+V_SQL = """v AS (SELECT * REPLACE (CASE WHEN k % 9 = 0 THEN 'USD' ELSE currency END AS currency, CASE WHEN k % 13 = 0 THEN NULL ELSE amount_minor END AS amount_minor),
+ CASE WHEN k % 7 = 0 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS transaction_state, CASE WHEN k % 11 = 0 THEN 'RECONCILED' ELSE 'UNRECONCILED' END AS reconciliation_state FROM t)"""
+
+
+def varied(spark, d):
+    k = F.substring("id", 2, 20).cast("long")
+    return transactions(spark, d).withColumns({
+        "currency": F.when(k % 9 == 0, "USD").otherwise(F.col("currency")), "amount_minor": F.when(k % 13 != 0, F.col("amount_minor")),
+        "transaction_state": F.when(k % 7 == 0, "SUPERSEDED").otherwise("ACTIVE"), "reconciliation_state": F.when(k % 11 == 0, "RECONCILED").otherwise("UNRECONCILED"),
+    })
+
+
+def listed_v(cols: str):
+    return f"SELECT id, direction, epoch_ms(occurred_at) AS occurred_at FROM v WHERE {cols}"
+
+
 def rows_(df):
     return df.select("id", "direction", ms("occurred_at"))
 
 
-@query_(f"WITH {TX} {listed('true')}")
+@query_(f"WITH {TX}, {V_SQL} {listed_v("transaction_state = 'ACTIVE'")}")
 def flt1_active(spark, d):
-    return rows_(query.active(transactions(spark, d)))
+    return rows_(query.active(varied(spark, d)))
 
 
 @query_(f"WITH {TX} {listed(W)}")
@@ -167,9 +184,9 @@ def flt3_membership(spark, d):
 FLT4 = "currency = 'MXN'"
 
 
-@query_(f"WITH {TX} {listed(FLT4)}")
+@query_(f"WITH {TX}, {V_SQL} {listed_v(FLT4)}")
 def flt4_currency(spark, d):
-    return rows_(transactions(spark, d).where(F.col("currency") == "MXN"))
+    return rows_(varied(spark, d).where(F.col("currency") == "MXN"))
 
 
 FLT5 = "occurred_at < TIMESTAMP '1995-06-01' OR (occurred_at = TIMESTAMP '1995-06-01' AND id < 'L')"
@@ -193,9 +210,9 @@ def flt7_internal(spark, d):
 FLT8 = "amount_minor IS NOT NULL AND currency = 'MXN' AND id LIKE 'A%'"
 
 
-@query_(f"WITH {TX} {listed(FLT8)}")
+@query_(f"WITH {TX}, {V_SQL} {listed_v(FLT8)}")
 def flt8_money(spark, d):
-    return rows_(query.countable(transactions(spark, d)).where(F.col("id").startswith("A")))
+    return rows_(query.countable(varied(spark, d)).where(F.col("id").startswith("A")))
 
 
 def work_queue(spark, d):
@@ -221,9 +238,9 @@ def flt9_claimable(spark, d):
     return q.where((F.col("processing_stage") == "RECEIVED") & (F.col("locked_until").isNull() | (F.col("locked_until") <= F.lit(now)))).select("id", ms("observed_at"))
 
 
-@query_(f"WITH {TX} SELECT id FROM t")
+@query_(f"WITH {TX}, {V_SQL} SELECT id FROM v WHERE transaction_state = 'ACTIVE' AND reconciliation_state = 'UNRECONCILED'")
 def flt10_unreconciled(spark, d):
-    return match.open_rows(transactions(spark, d)).select("id")
+    return match.open_rows(varied(spark, d)).select("id")
 
 
 @query_(f"""WITH {TX} SELECT id, (amount_minor // 100) || '.' || lpad(CAST(amount_minor % 100 AS VARCHAR), 2, '0') || ' MXN' AS amount, strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(epoch_ms(occurred_at) % 1000 AS VARCHAR), 3, '0') || 'Z' AS occurred_at,
@@ -232,7 +249,7 @@ def prj1_api_row(spark, d):
     return query.api_row(transactions(spark, d))
 
 
-@query_(f"WITH {CLAIMS} SELECT evidence_id, claim_id, amount_minor, currency, direction, coalesce(financial_status, 'UNKNOWN') AS financial_status, merchant, tracking_key FROM c")
+@query_(f"WITH {CLAIMS} SELECT evidence_id, claim_id, amount_minor, currency, direction, coalesce(financial_status, 'UNKNOWN') AS financial_status, merchant, tracking_key, CAST(NULL AS VARCHAR) AS account_identifier, CAST(NULL AS VARCHAR) AS occurred_at, CAST(NULL AS VARCHAR) AS counterparty FROM c")
 def prj2_claim_pivot(spark, d):
     return store.pivot_claims(claim_fields(spark, d))
 
@@ -280,46 +297,45 @@ def stm2_claim_batch(spark, d):
 # ---- joins ---------------------------------------------------------------------------------------------------------
 @query_(f"WITH {CLAIMS} SELECT o_orderkey AS id, min(tracking_key) AS tracking_key FROM orders JOIN c ON evidence_id = o_orderkey WHERE tracking_key IS NOT NULL GROUP BY 1")
 def jn1_tracking_lookup(spark, d):
-    keys = claim_fields(spark, d).where("field_name = 'tracking_key'").groupBy("evidence_id").agg(F.min("value_text").alias("tracking_key"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    return o.join(keys, F.col("id") == F.col("evidence_id")).select("id", "tracking_key")
+    keys = lookups.tracking_keys(claim_fields(spark, d))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("evidence_id")).join(keys, "evidence_id").select(F.col("evidence_id").alias("id"), "tracking_key")
 
 
 @query_("SELECT c_custkey AS id, m AS source_id FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def jn2_source_of(spark, d):
-    m = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("source_id"))
-    return table(spark, d, "customer").join(m, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), "source_id")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("source_id"))
+    return lookups.source_of(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), orders, "id")
 
 
 @query_(f"WITH {CLAIMS} SELECT evidence_id, arg_min(CASE WHEN merchant IS NOT NULL THEN 'MEDIUM' END, claim_id) FILTER (merchant IS NOT NULL) AS merchant_confidence, 'HIGH' AS amount_confidence FROM c GROUP BY 1")
 def jn3_confidence_lookup(spark, d):
-    f = claim_fields(spark, d)
-    pick = lambda n: F.min_by(F.when(F.col("field_name") == n, F.col("confidence")), F.when(F.col("field_name") == n, F.col("claim_id")))
-    return f.groupBy("evidence_id").agg(pick("merchant").alias("merchant_confidence"), pick("amount_minor").alias("amount_confidence"))
+    return lookups.confidences(claim_fields(spark, d), ["merchant", "amount_minor"])
 
 
 @query_("SELECT c_custkey AS id, coalesce(e, '') AS evidence_ids FROM customer LEFT JOIN (SELECT o_custkey, string_agg(DISTINCT lpad(CAST(o_orderkey AS VARCHAR), 10, '0'), ',' ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 10, '0')) AS e FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def jn4_provenance(spark, d):
-    e = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))), ",").alias("e"))
-    return table(spark, d, "customer").join(e, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), F.coalesce("e", F.lit("")).alias("evidence_ids"))
+    bridge = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("evidence_id"))
+    out = lookups.provenance(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), bridge, "id")
+    return out.select("id", F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
 @query_("SELECT l_orderkey AS evidence_id, l_linenumber AS line, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'")
 def jn5_active_claims(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
-    return table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("evidence_id"), F.col("l_linenumber").alias("line"), "l_partkey")
+    current = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("evidence_id"))
+    claims = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.col("l_linenumber").alias("line"), "l_partkey")
+    return lookups.active_claims(claims, current, "evidence_id").select("evidence_id", "line", "l_partkey")
 
 
 @query_("SELECT d.doc_id AS evidence_id, count(l.doc_id) AS claims FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
 def jn6_claimless_kept(spark, d):
-    lab = table(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return table(spark, d, "documents").select("doc_id").join(lab, "doc_id", "left").groupBy(F.col("doc_id").alias("evidence_id")).agg(F.sum(F.coalesce("n", F.lit(0))).alias("claims"))
+    lab = lookups.claim_counts(table(spark, d, "documents").select("doc_id").distinct(), table(spark, d, "labels"), "doc_id")
+    return lab.select(F.col("doc_id").alias("evidence_id"), F.col("claims"))
 
 
 @query_("SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def jn7_victims(spark, d):
-    r = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
-    return table(spark, d, "orders").join(r, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_orderkey").alias("id"))
+    gone = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return lookups.victims(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), gone, "id")
 
 
 @query_("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -448,10 +464,10 @@ def er11_merged_state(spark, d):
     return tx.select("id", "reconciliation_state", "transaction_state", "superseded_by")
 
 
-@query_(f"WITH {SWEEPS} SELECT * FROM s1 WHERE NOT (right_ref LIKE '%0')")
+@query_(f"WITH {SWEEPS} SELECT * FROM s1 WHERE NOT (right_ref LIKE '%50')")
 def er12_sticky(spark, d):
     found = match.tracking(match.open_rows(transactions(spark, d)))
-    return match.new_candidates(found, found.where(F.col("right_ref").endswith("0")))
+    return match.new_candidates(found, found.where(F.col("right_ref").endswith("50")))
 
 
 @query_(f"WITH {SWEEPS} SELECT status, basis, count(*) AS n FROM cand GROUP BY 1, 2")

@@ -28,24 +28,25 @@ class ArtifactReader(DataSourceReader):
         for name in partition.names:
             path = os.path.join(self.path, name)
             stat = os.stat(path)
-            if stat.st_size > FETCH_BYTES:
-                continue
-            body = None
+            body, problem = None, None
             if self.bodies:
                 with open(path, "rb") as f:
-                    body = f.read()
-            yield name, datetime.fromtimestamp(stat.st_mtime, UTC), body
+                    body = f.read(FETCH_BYTES + 1)
+            if max(stat.st_size, len(body or b"")) > FETCH_BYTES:  # told, not dropped; its bytes are not handed on
+                body, problem = None, "OVERSIZED"
+            yield name, datetime.fromtimestamp(stat.st_mtime, UTC), body, problem
 
 
 class ArtifactSource(DataSource):
-    """spark.read.format("artifacts").option("path", folder): option bodies=false lists without reading."""
+    """spark.read.format("artifacts").option("path", folder), a folder that all executors share: option bodies=false lists without
+    reading. An artifact over FETCH_BYTES is a row without bytes and with a problem."""
 
     @classmethod
     def name(cls) -> str:
         return "artifacts"
 
     def schema(self) -> str:
-        return "source_reference string, observed_at timestamp, raw_content binary"
+        return "source_reference string, observed_at timestamp, raw_content binary, problem string"
 
     def reader(self, schema) -> ArtifactReader:
         return ArtifactReader(self.options)

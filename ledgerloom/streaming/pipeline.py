@@ -1,21 +1,34 @@
-"""The staged pipeline as Structured Streaming: artifacts arrive as files, each micro-batch is interpreted and stored once.
-
-Offsets and the checkpoint stand in for leases; a failed artifact is a row with a status and a time for its next try,
-never a failed batch. A batch that runs again (a lost executor, a restart) overwrites its own folder and nothing else.
+"""The staged pipeline: artifacts arrive as files, each is stored and interpreted once, claims become transactions, and
+transactions of several sources are reconciled.
+
+Extraction is Structured Streaming: offsets and the checkpoint stand in for leases. A failed artifact is a row with a
+status, the number of tries and the time of its next one, never a failed batch. A batch that runs again (a lost
+executor, a restart) overwrites its own folder and nothing else; an artifact that arrives again, in whatever batch, is
+not stored again. Every stage reads what the stages before have stored and adds what is missing, so a stage that fails
+leaves the others' work, and the next run takes up where it stopped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.values import backoff_minutes
-from ..schemas import EVIDENCE
-from ..text.interpreters import interpret
+from ..operators import match, store
+from ..plans.checkpoint import cut
+from ..schemas import CANDIDATE, EVIDENCE, TRANSACTION
+from ..text.interpreters import SCHEMA, interpret
+
+EVIDENCE_KEY = ["source_id", "source_reference"]
+READINGS = f"id string, {SCHEMA}, source_id string, source_reference string, observed_at timestamp, attempts int, next_try timestamp, batch string"
 
 
-def next_stage(read: DataFrame, attempts) -> DataFrame:
+def next_stage(read: DataFrame, attempts: Column) -> DataFrame:
     """(id, processing_stage, attempts, problem, wait_minutes): what was read or unknown moves on, failures wait."""
     failed = F.col("status") == "FAILED"
     return read.select(
@@ -24,19 +37,49 @@ def next_stage(read: DataFrame, attempts) -> DataFrame:
     )
 
 
-def extract_available(spark: SparkSession, inbox: str, out: str, profile: str, files_per_batch: int = 100) -> StreamingQuery:
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a stage has stored; no rows before its first run."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def _read(evidence: DataFrame, attempts: Column, now: datetime) -> DataFrame:
+    """Readings of evidence, with the time of the next try for those that failed."""
+    read = interpret(evidence).join(evidence.select("id", *EVIDENCE_KEY, "observed_at", attempts.alias("attempts")), "id")
+    wait = next_stage(read, F.col("attempts")).select("id", "wait_minutes")
+    due = F.lit(now).cast("timestamp") + F.make_interval(mins=F.col("wait_minutes").cast("int"))
+    return read.join(wait, "id").withColumn("next_try", F.when(F.col("wait_minutes").isNotNull(), due)).withColumn("attempts", F.col("attempts").cast("int")).drop("wait_minutes")
+
+
+def extract_available(spark: SparkSession, inbox: str, out: str, profile: str, files_per_batch: int = 100, now: datetime | None = None) -> StreamingQuery:
     """Reads what has arrived in the inbox (Parquet files of evidence) and stops when there is no more."""
     arrived = spark.readStream.schema(EVIDENCE).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
 
     def batch(df: DataFrame, number: int) -> None:
-        once = df.dropDuplicates(["source_id", "source_reference"]).withColumn("extraction_profile", F.lit(profile))
-        interpret(once).write.mode("overwrite").parquet(f"{out}/readings/batch={number}")
+        held = stored(df.sparkSession, f"{out}/readings", READINGS).where(F.col("batch") != str(number)).select(*EVIDENCE_KEY)
+        once = df.dropDuplicates(EVIDENCE_KEY).join(held, EVIDENCE_KEY, "left_anti").withColumn("extraction_profile", F.lit(profile))
+        _read(cut(once), F.lit(1), now or datetime.now()).write.mode("overwrite").parquet(f"{out}/readings/batch={number}")
 
     return arrived.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
 
 
+def retry_due(spark: SparkSession, inbox: str, out: str, profile: str, now: datetime, most: int = 8) -> int:
+    """Reads again the failed artifacts whose time has come, up to `most` tries each; the number read."""
+    due = readings(spark, out).where((F.col("status") == "FAILED") & (F.col("next_try") <= F.lit(now)) & (F.col("attempts") < most))
+    again = spark.read.schema(EVIDENCE).parquet(inbox).dropDuplicates(EVIDENCE_KEY).join(due.select(*EVIDENCE_KEY, "attempts"), EVIDENCE_KEY)
+    again = cut(again.withColumn("extraction_profile", F.lit(profile)))
+    n = again.count()
+    if n:
+        _read(again, F.col("attempts") + 1, now).write.mode("overwrite").parquet(f"{out}/readings/batch=retry-{now:%Y%m%d%H%M%S%f}")
+    return n
+
+
 def readings(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/readings")
+    """The latest reading of each artifact."""
+    rows = stored(spark, f"{out}/readings", READINGS)
+    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "attempts").alias("r")).select("id", "r.*")
 
 
 def claims_of(readings_: DataFrame) -> DataFrame:
@@ -46,6 +89,59 @@ def claims_of(readings_: DataFrame) -> DataFrame:
     return one.select("evidence_id", key.alias("claim_id"), F.explode("c").alias("field_name", "v")).select("evidence_id", "claim_id", "field_name", F.col("v.value").alias("value_text"), F.col("v.confidence").alias("confidence"))
 
 
+def build(spark: SparkSession, out: str) -> int:
+    """Transactions of claims that have none yet, an artifact's claims all or none; the number added. Without a stated time, the
+    artifact's own counts."""
+    read = readings(spark, out)
+    pivot = store.pivot_claims(claims_of(read).withColumn("value_int", F.when(F.col("field_name") == "amount_minor", F.col("value_text").cast("long"))))
+    known = stored(spark, f"{out}/transactions", TRANSACTION)
+    fresh = store.whole_artifacts(pivot, known.select(F.col("id").alias("claim_id")))
+    rows = fresh.join(read.select(F.col("id").alias("evidence_id"), "source_id", "observed_at"), "evidence_id").select(
+        F.col("claim_id").alias("id"), "source_id", "amount_minor", "currency", "merchant", "counterparty", "direction", "financial_status",
+        F.lit("UNRECONCILED").alias("reconciliation_state"), F.lit("ACTIVE").alias("transaction_state"), F.lit(None).cast("string").alias("superseded_by"),
+        F.coalesce(F.try_to_timestamp("occurred_at"), "observed_at").alias("occurred_at"), "tracking_key",
+    )
+    rows = cut(rows)
+    n = rows.count()
+    if n:
+        rows.write.mode("append").parquet(f"{out}/transactions")
+    return n
+
+
+def transactions(spark: SparkSession, out: str) -> DataFrame:
+    """The transactions as the decided candidates leave them."""
+    return match.merged(stored(spark, f"{out}/transactions", TRANSACTION), stored(spark, f"{out}/candidates", CANDIDATE))
+
+
+def reconcile(spark: SparkSession, out: str) -> int:
+    """The three sweeps over what is open; new candidates are stored, decided ones stay decided. The number added."""
+    prior = stored(spark, f"{out}/candidates", CANDIDATE)
+    _, known = match.run(cut(transactions(spark, out)), prior, cut)
+    fresh = cut(match.new_candidates(known, prior))
+    n = fresh.count()
+    if n:
+        fresh.write.mode("append").parquet(f"{out}/candidates")
+    return n
+
+
+def run_stages(spark: SparkSession, inbox: str, out: str, profile: str, now: datetime | None = None, stages: dict[str, Callable] | None = None) -> dict[str, str]:
+    """Extraction, retries, building and matching in order; the problems by stage. One stage's failure does not stop the others."""
+    now = now or datetime.now()
+    stages = stages or {
+        "extract": lambda: extract_available(spark, inbox, out, profile, now=now).awaitTermination(),
+        "retry": lambda: retry_due(spark, inbox, out, profile, now),
+        "build": lambda: build(spark, out),
+        "match": lambda: reconcile(spark, out),
+    }
+    problems = {}
+    for name, stage in stages.items():
+        try:
+            stage()
+        except Exception as e:  # noqa: BLE001  told in the result; the next run takes the stage up again
+            problems[name] = f"{type(e).__name__}: {e}"[:500]
+    return problems
+
+
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Windowed counts over a stream of events (ts, event_type); rows later than `late` are dropped. An addition of ours."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))

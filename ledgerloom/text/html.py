@@ -104,7 +104,9 @@ def html_body(raw: bytes) -> tuple[str, str]:
             return next((x for p in part.get_payload() if (x := first(p, depth + 1)) is not None), None)
         if part.get_content_type() != "text/html":
             return None
-        body = transfer_decoded(part.get_payload(decode=False).encode("latin-1", "replace"), part.get("Content-Transfer-Encoding", ""))
+        coding = part.get("Content-Transfer-Encoding", "").strip().lower()
+        # Encoded bodies are ASCII and decoded strictly here; plain ones are taken as the bytes that they are.
+        body = transfer_decoded(part.get_payload().encode("ascii", "replace"), coding) if coding in ("base64", "quoted-printable") else transfer_decoded(part.get_payload(decode=True), coding)
         charset = (part.get_content_charset() or "utf-8").lower()
         return body.decode("latin-1" if charset in ("iso-8859-1", "latin-1", "latin1") else "utf-8", "replace")
 

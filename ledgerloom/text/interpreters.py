@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from . import coordinates, html
 
 # Subjects, labels and months of the templates.
-SUBJECTS = {"Tu transferencia fue exitosa": "transfer_out", "Recibiste una transferencia": "transfer_in", "Compra con tarjeta": "card_payment", "Pagaste un servicio": "service_payment"}
+SUBJECTS = {"Tu transferencia fue exitosa": "transfer_out", "¡Recibiste una transferencia!": "transfer_in", "¡Recibimos tu pago!": "card_payment", "Tu comprobante de pago de servicio": "service_payment"}
 MONTHS = {m: i for i, m in enumerate("ene feb mar abr may jun jul ago sep oct nov dic".split(), 1)}
 MONEY = re.compile(r"\$?\s*([0-9]{1,3}(?:,[0-9]{3})*)\.([0-9]{2})\Z")
 DATE = re.compile(r"([0-9]{1,2})[/ ]([A-Za-z]{3}|[0-9]{1,2})[/ ]([0-9]{4})(?: - ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?\Z")
@@ -32,7 +32,10 @@ def money(text: str | None) -> str:
     m = MONEY.fullmatch((text or "").strip())
     if not m:
         raise Unreadable("amount")
-    return str(int(m[1].replace(",", "") + m[2]))
+    minor = int(m[1].replace(",", "") + m[2])
+    if not minor:  # a movement of nothing is no movement
+        raise Unreadable("amount")
+    return str(minor)
 
 
 def wall(text: str | None, clock: str | None = None) -> str:
@@ -97,8 +100,10 @@ def transfer_in(lines: list[str]) -> Claim:
 
 
 def card_payment(lines: list[str]) -> Claim:
-    at = next((i for i, x in enumerate(lines) if "pago con tu tarjeta" in x), None)
-    amount = None if at is None else next((x for x in lines[at:] if x.startswith("$") and " " not in x and "\t" not in x), None)
+    at = next((i for i, x in enumerate(lines) if between([x], "el pago que hiciste a tu ", " por")), None)
+    if at is None:
+        raise Unreadable("payment sentence")
+    amount = next((x for x in lines[at:] if x.startswith("$") and " " not in x and "\t" not in x), None)
     return base(money(amount), "MEDIUM", "OUTFLOW")
 
 
@@ -106,7 +111,7 @@ def service_payment(lines: list[str]) -> Claim:
     out = base(money(labelled(lines, "Monto:")), "HIGH", "OUTFLOW")
     stamp = next((x for x in lines if (m := DATE.fullmatch(x)) and m[4]), None)
     out["occurred_at"] = (wall(stamp), "MEDIUM")
-    if name := labelled(lines, "Empresa:"):
+    if name := labelled(lines, "Empresa a la cual se realizará el pago:"):
         out["merchant"] = (name, "HIGH")
     return out
 
@@ -219,12 +224,13 @@ def read_columns(raw: bytes) -> tuple[str, str | None, list[Claim]]:
     claims: list[Claim] = []
     try:
         for row in coordinates.column_rows(placed):
-            day = next((d for d in days if d.day == int(row.date)), None)
-            if day is None or bool(row.cargo) == bool(row.abono):
+            day = next((d for d in days if d.day == int(row.first("day"))), None)
+            cargo, abono = row.first("cargo"), row.first("abono")
+            if day is None or bool(cargo) == bool(abono):
                 raise Unreadable("row")
-            claim = base(money(row.cargo or row.abono), "HIGH", "OUTFLOW" if row.cargo else "INFLOW")
+            claim = base(money(cargo or abono), "HIGH", "OUTFLOW" if cargo else "INFLOW")
             claim["occurred_at"] = (wall(f"{day.day}/{day.month}/{day.year}"), "HIGH")
-            text = " ".join(row.description)
+            text = " ".join(row.cells["description"])
             if re.match(r"(\s*[0-9]){10}", text, re.ASCII):
                 claim["merchant"] = (re.sub(r"\A[0-9\s]+", "", text, flags=re.ASCII) or text, "MEDIUM")
             elif text.startswith("CGO"):
@@ -250,7 +256,7 @@ def read_blocks(raw: bytes) -> tuple[str, str | None, list[Claim], int]:
     """A block statement: its rows read by the shapes of movement."""
     rows = coordinates.block_rows(coordinates.parse(raw))
     try:
-        claims, unread = claims_and_unread([(r.date, " ".join(r.description), " ".join(r.detail), r.amount) for r in rows])
+        claims, unread = claims_and_unread([(r.date, " ".join(r.beside), " ".join(r.below), r.amount) for r in rows])
     except Unreadable as e:
         return "FAILED", str(e), [], 0
     return ("READ" if claims else "UNRECOGNISED"), None, claims, unread

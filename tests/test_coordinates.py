@@ -27,15 +27,15 @@ def test_block_rows():
     )
     rows = C.block_rows(C.parse(doc))
     assert [(r.page, r.date, r.amount) for r in rows] == [(1, "5 ENE 2026", "-$10.00"), (1, "7 ENE 2026", "+$7.00"), (2, "8 ENE 2026", "-$8.00")]
-    assert rows[0].description == ["Tienda Compra"] and rows[0].detail == ["extra words"] and rows[0].exchange == ["rate", "USD 1.00"]
-    assert rows[1].detail == ["carried over"]
+    assert rows[0].beside == ["Tienda Compra"] and rows[0].below == ["extra words"] and rows[0].converted == ["rate", "USD 1.00"]
+    assert rows[1].below == ["carried over"]
 
 
 def test_column_rows():
     at = lambda y, **words: [C.Word(1, {"day": 45, "desc": 60, "ref": 300, "cargo": 370, "abono": 430, "balance": 520}[k], y, v) for k, v in words.items()]
     placed = at(10, day="5", desc="STORE", ref="123", cargo="$1.00", balance="$9.00") + at(18, ref="456") + at(40, ref="789") + at(50, day="6", desc="none") + at(60, day="7", abono="$2.00")
     rows = C.column_rows(placed)
-    assert [(r.date, r.cargo, r.abono, r.reference) for r in rows] == [("5", "$1.00", "", ["123", "456"]), ("7", "", "$2.00", [])]
+    assert [(r.first("day"), r.first("cargo"), r.first("abono"), r.cells["reference"]) for r in rows] == [("5", "$1.00", "", ["123", "456"]), ("7", "", "$2.00", [])]
 
 
 def test_annex_rows():
@@ -51,8 +51,14 @@ def test_glyphs_and_limits():
     for bad in (b"/Differences [ 1 /A ]", b"/Differences [ /EX065000 ]", b"/Differences [ 300 /EX065000 ]"):
         with pytest.raises(ValueError):
             C.glyph_table(bad)
-    with pytest.raises(ValueError):
-        C.parse(b"<!DOCTYPE x [<!ENTITY a 'b'>]><x/>")
+    assert C.with_glyphs("’", {0x92: "Q"}) == "Q" and C.with_glyphs("字", {0x92: "Q"}) == "字"
+    bomb = "<?xml version='1.0' encoding='{}'?><!DOCTYPE x [<!ENTITY a 'boom'>]><x><page><word xMin='1' yMin='1'>&a;&a;</word></page></x>"
+    for read in (C.parse, C.words):
+        for coding in ("utf-8", "utf-16"):
+            with pytest.raises(C.Refused):
+                read(bomb.format(coding).encode(coding))
+        with pytest.raises(C.Refused):
+            read(b" " * (C.DOCUMENT_BYTES + 1))
 
 
 def test_statement_interpreters():

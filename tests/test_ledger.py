@@ -198,7 +198,14 @@ def test_mail_interpreters():
     assert interpreters.read_one("EMAIL_V1", "message/rfc822", out.replace(b"$1,200.50", b"1200.50"))[:2] == ("FAILED", "amount")
     assert interpreters.read_one("EMAIL_V1", "text/plain", out)[:2] == ("FAILED", "DISPATCH")
     assert interpreters.read_one("EMAIL_V1", "message/rfc822", b"Subject: x\n\nplain")[:2] == ("FAILED", "MIME")
-    card = mail("Compra con tarjeta", "<p>Hiciste un pago con tu tarjeta</p><p>$ 1.00</p><p>$15.00</p>")
+    assert interpreters.read_one("EMAIL_V1", "message/rfc822", out.replace(b"$1,200.50", b"$0.00"))[:2] == ("FAILED", "amount")
+    read = lambda subject, body: interpreters.read_one("EMAIL_V1", "message/rfc822", mail(f"=?utf-8?b?{base64.b64encode(subject.encode()).decode()}?=", body))
+    incoming = read("¡Recibiste una transferencia!", "<p>Ana Paz hizo una transferencia a tu Cuenta por:</p><p>Monto: $3.00</p><p>Fecha: 5/ENE/2026</p><p>Hora: 10:30</p>")[2][0]
+    assert incoming["merchant"] == ("Ana Paz", "MEDIUM") and incoming["direction"][0] == "INFLOW"
+    service = read("Tu comprobante de pago de servicio", "<p>Monto: $9.00</p><p>5 ene 2026 - 10:30:00</p><p>Nombre: Yo</p><p>Empresa a la cual se realizará el pago:</p><p>Luz</p>")[2][0]
+    assert service["merchant"] == ("Luz", "HIGH") and service["occurred_at"] == ("2026-01-05T16:30:00.000Z", "MEDIUM")
+    assert read("¡Recibimos tu pago!", "<p>otro texto</p><p>$15.00</p>")[:2] == ("FAILED", "payment sentence")
+    card = mail("=?utf-8?q?=C2=A1Recibimos_tu_pago!?=", "<p>Recibimos el pago que hiciste a tu tarjeta por:</p><p>$ 1.00</p><p>$15.00</p>")
     assert interpreters.read_one("EMAIL_V1", "message/rfc822", card)[2][0]["amount_minor"] == ("1500", "MEDIUM")
     lines = b"5 ENE 2026 | Tienda Compra | -$10.00\n6 ENE 2026 | Abono a cajita | +$5.00\n7 ENE 2026 | SPEI recibido de Bo | +$7.00\nfoot"
     assert [c["direction"][0] for c in interpreters.read_one("STATEMENT_V1", "text/plain", lines)[2]] == ["OUTFLOW", "INFLOW"]
@@ -247,3 +254,40 @@ def test_registered_queries_equal_their_sql(spark):
         assert sorted(names) == cols
         want = sorted((tuple(str(dict(zip(names, r))[c]) for c in cols) for r in cur.fetchall()))
         assert sorted(tuple(str(r[c]) for c in cols) for r in got.collect()) == want, name
+
+
+def test_stages_store_once_retry_and_go_on(spark, tmp_path):
+    """Two sources tell of one movement, one artifact arrives twice, one fails and is read again when due; a failing stage stops no other."""
+    from datetime import datetime, timedelta
+
+    inbox, out, now = str(tmp_path / "in"), str(tmp_path / "out"), datetime(2026, 2, 1)
+    seen = datetime(2026, 1, 31)
+    text = b"6 ENE 2026 | Tienda Compra | -$10.00"
+    row = lambda i, source, ref, raw: (i, source, "MANUAL", ref, "text/plain", raw, seen)
+    names = "id string, source_id string, source_type string, source_reference string, content_type string, raw_content binary, observed_at timestamp"
+    put = lambda *rows: spark.createDataFrame(list(rows), names).coalesce(1).write.mode("append").parquet(inbox)
+    put(row("a", "s1", "1", text), row("b", "s2", "1", text), row("c", "s1", "2", b"6 ENE 2026 | Tienda Compra | -$1"))
+    assert pipeline.run_stages(spark, inbox, out, "STATEMENT_V1", now) == {}
+    put(row("a2", "s1", "1", text))
+    assert pipeline.run_stages(spark, inbox, out, "STATEMENT_V1", now) == {}
+    got = {r["id"]: r for r in pipeline.readings(spark, out).collect()}
+    assert got.keys() == {"a", "b", "c"} and got["c"]["status"] == "FAILED" and got["c"]["attempts"] == 1 and got["c"]["next_try"] > now
+    state = sorted((r["transaction_state"], r["reconciliation_state"]) for r in pipeline.transactions(spark, out).collect())
+    assert state == [("ACTIVE", "RECONCILED"), ("SUPERSEDED", "RECONCILED")]
+    assert pipeline.retry_due(spark, inbox, out, "STATEMENT_V1", now) == 0
+    assert pipeline.retry_due(spark, inbox, out, "STATEMENT_V1", now + timedelta(days=1)) == 1
+    assert {r["id"]: r["attempts"] for r in pipeline.readings(spark, out).collect()} == {"a": 1, "b": 1, "c": 2}
+    assert pipeline.build(spark, out) == 0 and pipeline.reconcile(spark, out) == 0
+    done = []
+    problems = pipeline.run_stages(spark, inbox, out, "STATEMENT_V1", now, {"one": lambda: 1 / 0, "two": lambda: done.append(2)})
+    assert list(problems) == ["one"] and done == [2]
+
+
+def test_oversized_artifacts_are_told(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources import artifacts
+
+    (tmp_path / "big").write_bytes(b"x" * 11)
+    (tmp_path / "small").write_bytes(b"x")
+    monkeypatch.setattr(artifacts, "FETCH_BYTES", 10)
+    rows = {r[0]: r[2:] for r in artifacts.ArtifactReader({"path": str(tmp_path)}).read(artifacts.Chunk(["big", "small"]))}
+    assert rows == {"big": (None, "OVERSIZED"), "small": (b"x", None)}
