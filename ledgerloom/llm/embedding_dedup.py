@@ -1,13 +1,15 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, reranking with the original vectors.
 
 Rotations that balance binary codes are learnt on a bounded sample (SAMPLE vectors). All vectors are indexed: each
-code is cut into substrings, a table for each, and vectors that share a substring meet in a bucket, where the
-original vectors decide in double precision. A pair counts in the first table it shares, so counts add up without
-a list of pairs; each bucket sends on counts and a spanning forest only. Buckets over BLOCK rows are dealt as pairs
-of blocks, every pair of blocks once. Equal vectors are one weighted row throughout.
+rotation's code is cut into substrings, a table for each. Vectors that share a substring meet in a bucket with their
+codes, where the Hamming distance of the whole codes rejects those that cannot reach the threshold; a bucket sends on
+edges that span the rest, no list of pairs. Connected vectors are a family. Each vector travels to its family once, and
+there the original vectors decide in double precision: counts and a spanning forest. Buckets and families over a block's
+size are dealt as pairs of blocks, every pair of blocks once. Equal vectors are one weighted row throughout.
 
 Vectors that are null, empty, zero, or hold null or non-finite parts, link with nothing. Lengths may differ: only
-equal lengths are compared. A repeated vec_id counts as one more vector.
+equal lengths are compared. A repeated vec_id counts as one more vector. Ties go to the least vec_id. Other columns are
+not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ RECALL = 0.93
 SUBSTRING = 16  # bits, for up to 2^12 vectors; a bit more for each doubling, so that chance meetings grow with n, not n^2
 SPARE = 4  # bits more than number the vectors: keys are cheap beside vectors that meet by chance
 LEARNT = 4  # rotations that the sample teaches; further ones are random, so that each finds other pairs
-BLOCK = 2000
+BLOCK = 2000  # vectors of a family that are compared at once
+BUCKET = 10_000  # codes of a bucket that are compared at once
+DEVIATIONS = 6  # Hamming distances up to so many standard deviations over the mean of pairs planted at the threshold pass
 
 
 def itq(x: np.ndarray, seed: int, rounds: int = 25) -> np.ndarray:
@@ -54,6 +58,12 @@ def keys_of(x: np.ndarray, rotations: list[np.ndarray], width: int) -> np.ndarra
     return np.stack(out, axis=1)
 
 
+def codes_of(x: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
+    """(n, words) codes of all rotations as uint64."""
+    packed = np.concatenate([np.packbits(x @ r > 0, axis=1) for r in rotations], axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
 def planted(s: np.ndarray, cosine: float, seed: int = 0) -> np.ndarray:
     """A neighbour at exactly `cosine` of each unit vector: of every second one in a random direction, else towards another vector."""
     rng = np.random.default_rng(seed)
@@ -82,6 +92,12 @@ def rotations_for(s: np.ndarray, width: int, threshold: float, learnt: int = LEA
     return out
 
 
+def limit_for(s: np.ndarray, rotations: list[np.ndarray], threshold: float) -> int:
+    """The largest Hamming distance of whole codes that still counts as near."""
+    far = np.bitwise_count(codes_of(s, rotations) ^ codes_of(planted(s, threshold, seed=1), rotations)).sum(1)
+    return int(np.ceil(far.mean() + DEVIATIONS * max(1.0, far.std())))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Edges that span what the edges a-b join."""
     up = list(range(n))
@@ -97,58 +113,91 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def bucket_starts(pdf: pd.DataFrame) -> np.ndarray:
-    key = pdf[["d", "t", "k", "i", "j"]].to_numpy()
+def starts_of(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    key = pdf[keys].to_numpy()
     return np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1) if len(pdf) else np.array([0])
 
 
-def compared(pdf: pd.DataFrame, bounds: np.ndarray, threshold: float):
-    """Counts (a, n) and spanning edges (a, b) of the buckets that end within bounds: those of two rows all at once."""
-    size = np.diff(bounds)
-    rep, w, own = (pdf[c].to_numpy() for c in ("rep", "w", "own"))
-    first, table, left_block, right_block = bounds[:-1], pdf["t"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy()
-    rows_a, rows_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    count = np.zeros(len(pdf), np.int64)
-    unit, keys = pdf["unit"].to_numpy(), pdf["keys"].to_numpy()
+def by_group(keys: list[str], work):
+    """For mapInPandas over rows sorted by keys: work(pdf, bounds) on whole groups; a group may run over from one batch to the next."""
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            bounds = starts_of(pdf, keys)
+            held = pdf.iloc[bounds[-1] :]
+            yield from work(pdf, bounds)
+        if held is not None and len(held):
+            held = held.reset_index(drop=True)
+            yield from work(held, np.array([0, len(held)]))
+
+    return run
+
+
+def near_codes(pdf: pd.DataFrame, bounds: np.ndarray, limit):
+    """Edges (a, b) that span what Hamming distances up to limit(d) join in the buckets that end within bounds: those of two rows all at once."""
+    size, first = np.diff(bounds), bounds[:-1]
+    rep, own, code, length = (pdf[c].to_numpy() for c in ("rep", "own", "code", "d"))
+    left_block, right_block = pdf["i"].to_numpy(), pdf["j"].to_numpy()
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     two = first[size == 2]
     two = two[(left_block[two] == right_block[two]) | (own[two] != own[two + 1])]
-    for d in np.unique(pdf["d"].to_numpy()[two]).tolist():
-        p = two[pdf["d"].to_numpy()[two] == d]
-        x, y = (np.frombuffer(b"".join(unit[q]), float).reshape(len(q), -1) for q in (p, p + 1))
-        p = p[(x * y).sum(1) >= threshold]
-        if len(p):
-            same = np.frombuffer(b"".join(keys[p]), np.uint32).reshape(len(p), -1) == np.frombuffer(b"".join(keys[p + 1]), np.uint32).reshape(len(p), -1)
-            p = p[~(same & (np.arange(same.shape[1]) < table[p][:, None])).any(1)]
-            np.add.at(count, p, w[p + 1])
-            np.add.at(count, p + 1, w[p])
-            rows_a.append(p)
-            rows_b.append(p + 1)
+    for d in np.unique(length[two]).tolist():
+        p = two[length[two] == d]
+        x, y = (np.frombuffer(b"".join(code[q]), np.uint64).reshape(len(q), -1) for q in (p, p + 1))
+        p = p[np.bitwise_count(x ^ y).sum(1) <= limit(d)]
+        a.append(p)
+        b.append(p + 1)
     for s, e in zip(first[size > 2].tolist(), bounds[1:][size > 2].tolist()):
+        x, most = np.frombuffer(b"".join(code[s:e]), np.uint64).reshape(e - s, -1), limit(int(length[s]))
+        left = np.flatnonzero(own[s:e] == left_block[s])
+        right = left if left_block[s] == right_block[s] else np.flatnonzero(own[s:e] == right_block[s])
+        label = np.arange(e - s)
+        for p in left.tolist():
+            q = right[label[right] != label[p]]
+            if not len(q):
+                continue
+            q = q[np.bitwise_count(x[q] ^ x[p]).sum(1) <= most]
+            for c in np.unique(label[q]).tolist():
+                a.append(np.array([s + p]))
+                b.append(np.array([s + int(q[label[q] == c][0])]))
+            label[np.isin(label, label[q])] = label[p]
+    a, b = np.concatenate(a), np.concatenate(b)
+    if len(a):
+        yield pd.DataFrame({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+
+
+def compared(pdf: pd.DataFrame, bounds: np.ndarray, threshold: float):
+    """Counts (a, n) and spanning edges (a, b) of the families' blocks that end within bounds."""
+    rep, w, own, unit = (pdf[c].to_numpy() for c in ("rep", "w", "own", "unit"))
+    left_block, right_block = pdf["i"].to_numpy(), pdf["j"].to_numpy()
+    count, edges = np.zeros(len(pdf), np.int64), []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         x = np.frombuffer(b"".join(unit[s:e]), float).reshape(e - s, -1)
-        k = np.frombuffer(b"".join(keys[s:e]), np.uint32).reshape(e - s, -1)
         left = np.flatnonzero(own[s:e] == left_block[s])
         right = left if left_block[s] == right_block[s] else np.flatnonzero(own[s:e] == right_block[s])
         linked = x[left] @ x[right].T >= threshold
         if left is right:
             linked &= np.tri(len(left), k=-1, dtype=bool)
         a, b = np.nonzero(linked)
-        for u in range(table[s]):
-            if not len(a):
-                break
-            new = k[left[a], u] != k[right[b], u]
-            a, b = a[new], b[new]
-        if not len(a):
-            continue
-        np.add.at(count, s + left[a], w[s + right[b]])
-        np.add.at(count, s + right[b], w[s + left[a]])
-        joined = forest(e - s, left[a], right[b])
-        rows_a.append(s + np.array([i for i, _ in joined], np.int64))
-        rows_b.append(s + np.array([j for _, j in joined], np.int64))
-    at, a, b = np.flatnonzero(count), np.concatenate(rows_a), np.concatenate(rows_b)
+        if len(a):
+            np.add.at(count, s + left[a], w[s + right[b]])
+            np.add.at(count, s + right[b], w[s + left[a]])
+            edges += [(s + i, s + j) for i, j in forest(e - s, left[a], right[b])]
+    at = np.flatnonzero(count)
     if len(at):
+        a, b = np.array(edges, np.int64).T
         yield pd.DataFrame({"a": np.append(rep[at], rep[a]), "b": np.append(np.zeros(len(at), np.int64), rep[b]), "n": np.append(count[at], np.zeros(len(a), np.int64))})
 
 
+def dealt(rows: DataFrame, group: list[str], most: int) -> DataFrame:
+    """Rows (group, rep, n: rows of the group, ...) once for each pair (i, j) of blocks that their own block is part of, sorted by these."""
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return rows.drop("n", "parts", "other").repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
+
+
 def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     src = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
@@ -164,17 +213,20 @@ def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str
     rows = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("x").collect()  # bounded sample
     for r in rows:
         by_size.setdefault(len(r[0]), []).append(np.array(r[0]) / np.abs(r[0]).max())
-    rotations = {}
+    learnt: dict[int, tuple[list[np.ndarray], int]] = {}
     for d, sample in by_size.items():
         s = np.array(sample)
         s /= np.linalg.norm(s, axis=1)[:, None]
-        rotations[d] = rotations_for(s, width, threshold)
+        turns = rotations_for(s, width, threshold)
+        learnt[d] = turns, limit_for(s, turns, threshold)
 
-    def turns(d):
-        if d not in rotations:  # no vector of this length is in the sample
+    def index_of(d):
+        if d not in learnt:  # no vector of this length is in the sample
             s = np.random.default_rng(d).standard_normal((SAMPLE, d))
-            rotations[d] = rotations_for(s / np.linalg.norm(s, axis=1)[:, None], width, threshold, learnt=0)
-        return rotations[d]
+            s /= np.linalg.norm(s, axis=1)[:, None]
+            turns = rotations_for(s, width, threshold, learnt=0)
+            learnt[d] = turns, limit_for(s, turns, threshold)
+        return learnt[d]
 
     def index(batches):
         for pdf in batches:
@@ -182,33 +234,25 @@ def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str
                 x = np.array(part["x"].tolist(), float)
                 x /= np.abs(x).max(1)[:, None]
                 x /= np.linalg.norm(x, axis=1)[:, None]
-                k = keys_of(x, turns(d), width)
-                yield pd.DataFrame({"rep": part["rep"], "w": part["w"], "d": d, "unit": [v.tobytes() for v in x], "keys": [v.tobytes() for v in k], "each": [v.view(np.int32).tolist() for v in k]})
+                turns, _ = index_of(d)
+                yield pd.DataFrame({
+                    "rep": part["rep"], "w": part["w"], "d": d, "unit": [v.tobytes() for v in x],
+                    "code": [v.tobytes() for v in codes_of(x, turns)], "each": [v.view(np.int32).tolist() for v in keys_of(x, turns, width)],
+                })
 
-    coded = stored(classes.select("rep", "w", "x").mapInPandas(index, "rep long, w long, d int, unit binary, keys binary, each array<int>"), "coded")
+    coded = stored(classes.select("rep", "w", "x").mapInPandas(index, "rep long, w long, d int, unit binary, code binary, each array<int>"), "coded")
     entries = coded.select("rep", "d", F.posexplode("each").alias("t", "k"))
     full = entries.groupBy("d", "t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = entries.join(full, ["d", "t", "k"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    met = met.select("rep", "d", "t", "k", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.select("rep", "d", "t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    met = met.join(coded.select("rep", "w", "unit", "keys"), "rep")
-
-    def compare(batches):
-        """Rows come sorted by bucket; a bucket may run over from one batch to the next."""
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            bounds = bucket_starts(pdf)
-            held = pdf.iloc[bounds[-1] :]
-            yield from compared(pdf, bounds, threshold)
-        if held is not None and len(held):
-            held = held.reset_index(drop=True)
-            yield from compared(held, np.array([0, len(held)]), threshold)
+    met = entries.join(full, ["d", "t", "k"]).join(coded.select("rep", "code"), "rep")
+    bucket = ["d", "t", "k"]
+    near_ = by_group([*bucket, "i", "j"], lambda pdf, bounds: near_codes(pdf, bounds, lambda d: index_of(d)[1]))
+    edges = stored(dealt(met, bucket, BUCKET).mapInPandas(near_, "a long, b long").distinct(), "near")
 
-    bucket = ["d", "t", "k", "i", "j"]
-    dealt = met.repartition(*bucket).sortWithinPartitions(*bucket)
-    found = stored(dealt.mapInPandas(compare, "a long, b long, n long"), "links")
+    comps = components(edges, "a", "b")
+    family = stored(comps.unionByName(comps.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("rep"), F.col("component").alias("g")), "families")
+    sizes = family.groupBy("g").agg(F.count("*").alias("n"))
+    members = family.join(sizes, "g").join(coded.select("rep", "w", "unit"), "rep")
+    found = stored(dealt(members, ["g"], BLOCK).mapInPandas(by_group(["g", "i", "j"], lambda pdf, bounds: compared(pdf, bounds, threshold)), "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comps = components(found.where("n = 0"), "a", "b")
     labelled = classes.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(

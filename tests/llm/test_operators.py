@@ -130,17 +130,21 @@ def test_embeddings_as_brute_force(vectors):
     unit = {i: np.array(rows[i][1], float) / np.linalg.norm(np.array(rows[i][1], float)) for i in good}
     pairs = [(i, j) for i in good for j in good if j < i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9]
     links = Counter(x for p in pairs for x in p)
-    block, embedding_dedup.BLOCK = embedding_dedup.BLOCK, 6
+    before = embedding_dedup.BLOCK, embedding_dedup.BUCKET
+    embedding_dedup.BLOCK, embedding_dedup.BUCKET = 6, 3
     try:
-        got = {r["vec_id"]: r for r in embedding_dedup.near(vectors).collect()}
+        got = {r["vec_id"]: r for r in embedding_dedup.near(vectors.unionByName(vectors.where("vec_id = 3"))).where("vec_id <> 3").collect()}
     finally:
-        embedding_dedup.BLOCK = block
+        embedding_dedup.BLOCK, embedding_dedup.BUCKET = before
+    rows = [r for r in rows if r["vec_id"] != 3]  # there twice
+    comp = roots(len(rows) + 1, pairs)
+    links = Counter({i - (i > 3): n for i, n in links.items()})
+    comp = [c - (c > 3) for i, c in enumerate(comp) if i != 3]
     assert len(got) == len(rows)
     found = sum(got[r["vec_id"]]["n_links"] for r in rows)
     assert 0.9 * 2 * len(pairs) <= found <= 2 * len(pairs)
     for i, r in enumerate(rows):
         assert got[r["vec_id"]]["n_links"] <= links[i]
-    comp = roots(len(rows), pairs)
     assert np.mean([got[r["vec_id"]]["component_id"] == rows[c]["vec_id"] for r, c in zip(rows, comp)]) > 0.97
     assert got[507]["component_id"] == 506 and got[505]["n_links"] == 0
 
@@ -189,10 +193,61 @@ def test_quality_classifier_separates(spark):
     out = {r["doc_id"]: r["score"] for r in quality_pu.score(df, quality_pu.fit(df, df)).collect()}
     assert all(0 <= v <= 1 for v in out.values()) and 1000 in out
     assert np.mean([(out[i] >= 0.3) == bool(i % 4) for i in range(400)]) > 0.97
+    # Rows not learnt from, repeated rows, a very long text and clashing columns.
+    other = [(5000 + i, good() if i % 4 else bad()) for i in range(200)] + [(6000, good() * 2000), (5001, good())]
+    far = spark.createDataFrame([(*r, "x", "y") for r in other], "doc_id long, text string, marks string, score string")
+    scored = quality_pu.score(far, quality_pu.fit(df, df)).select("doc_id", "score").collect()
+    assert len(scored) == 202 and np.mean([(r["score"] >= 0.3) == bool(r["doc_id"] % 4) for r in scored if r["doc_id"] < 5200]) > 0.95
     alone = quality_pu.fit(df.where("false"), df.where("false"))
     assert quality_pu.score(df, alone).count() == 402
 
 
+def test_pu_risk_finds_the_border_without_negatives():
+    """Two Gaussians, positives of one alone: the risk ranks, the prior cuts; a negative part that turns negative is stepped back from."""
+    rng = np.random.default_rng(9)
+    p, u_good, u_bad = (rng.normal(m, 1, (n, 2)) for m, n in ((2, 400), (2, 600), (-2, 400)))
+    u = np.concatenate([u_good, u_bad])
+    w = quality_pu.non_negative_pu(p, u, 0.6, steps=400)
+    z = np.hstack([u, np.ones((1000, 1))]) @ w
+    right = (z > quality_pu.border_of(z, 0.6)) == np.repeat([True, False], [600, 400])
+    assert right.mean() > 0.97 and np.isfinite(w).all()
+    assert quality_pu.border_of(np.array([1.0]), 0.5) == 1.0
+
+
+def test_registered_queries_give_their_digests(spark, documents, tmp_path):
+    """The columns that the queries derive, against their definitions, over the fixture as a table."""
+    import tiktoken
+
+    from ledgerloom.llm.queries import QUERIES
+
+    docs = documents.drop("component").where("doc_id is not null").dropDuplicates(["doc_id"])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    run = lambda name: {r["doc_id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    le = lambda ids: np.array(ids, "<u4").tobytes()
+    word, at = hf("word_bpe_49k.json"), 0
+    got = run("op4_token_shards")
+    for d in sorted(texts):
+        ids = [*word(texts[d]), 1]
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(le(ids)))
+        at += len(ids)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for d, r in run("op10_byte_bpe").items():
+        ids = own.encode_ordinary(texts[d])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(texts[d].encode()))
+    for r in run("op7_suffix_dedup").values():
+        raw = texts[r["doc_id"]].encode()
+        assert r["n_bytes"] == len(raw) and (r["n_removed"] > 0 or r["kept_sha256"] == sha(raw)) and (r["n_removed"] < len(raw) or r["kept_sha256"] == sha(b""))
+    for name, mod, left in (("op3_quality_pu", 5, 0), ("op9_language_id", 4, 2)):
+        for d, r in run(name).items():
+            assert r["held_out"] == (zlib.crc32(str(d).encode()) % mod == left) and 0 <= r["score"] <= 1
+            assert r["predicted"] == int(r["score"] >= 0.3) if mod == 5 else r["lang_pred"] in ("en", "fr", "und")
+
+
 def test_wavelet_round_trip_and_queries():
     rng = np.random.default_rng(2)
     for n in (0, 1, 511, 512, 3000):
