@@ -1,6 +1,10 @@
 """The corpus pipeline: language ID, MinHash near-dedup, suffix-array dedup, PII, best-fit packing.
 
 Every stage works on all rows that the stage before kept. All but the last return the columns of documents.
+
+Null and empty texts go in the first stage, as they hold no letter; null doc_ids, lang or source stay as they are. Very long
+texts are read whole by every stage. Of near duplicates the least doc_id stays; rows that repeat a doc_id and its text count
+once. An empty table gives no rows. Columns beside those of documents, clashing names among them, are not handed on.
 """
 
 from __future__ import annotations
