@@ -33,3 +33,17 @@ def test_language_stage_without_labels(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "cast(null as string) lang", "'s' source", "cast(length(text) as long) n_chars")
     kept = pipeline.keep_known_languages(spark, df, "")
     assert kept.columns == pipeline.COLUMNS and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """No rows; then nulls in every column, a very long text, repeated rows and columns that clash with what stages add."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, kept string, spans string, sequence_id long"
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(60_000))
+    full = [(1, long, "en", "s", 5, "x", "y", "z", 1), (1, long, "en", "s", 5, "x", "y", "z", 1), (None, "some other words here", None, None, None, None, None, None, None), (3, None, "en", "s", 0, "x", "y", "z", 1), (4, "", None, "s", 0, "x", "y", "z", 1)]
+    for rows, left in (([], 0), (full, 2)):
+        docs = spark.createDataFrame(rows, names)
+        for name, stage in pipeline.STAGES:
+            docs = pipeline.stored(stage(spark, docs, str(tmp_path)), name)
+            if name != "packing":
+                assert docs.columns == pipeline.COLUMNS and docs.count() == left + (left > 0 and name == "language_id")  # the repeated row goes in minhash
+        assert docs.select("doc_id").distinct().count() == left
