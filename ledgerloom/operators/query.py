@@ -71,8 +71,12 @@ def external(tx: DataFrame) -> DataFrame:
     return tx.where(~V.internal(F.col("counterparty")))
 
 
+def with_money(tx: DataFrame, currency: str = "MXN") -> DataFrame:
+    return tx.where(F.col("amount_minor").isNotNull() & (F.col("currency") == currency))
+
+
 def countable(tx: DataFrame, currency: str = "MXN") -> DataFrame:
-    return active(tx).where(F.col("amount_minor").isNotNull() & (F.col("currency") == currency))
+    return with_money(active(tx), currency)
 
 
 def totals(tx: DataFrame, since=None, before=None, currency: str = "MXN") -> DataFrame:

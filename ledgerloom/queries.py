@@ -212,7 +212,7 @@ FLT8 = "amount_minor IS NOT NULL AND currency = 'MXN' AND id LIKE 'A%'"
 
 @query_(f"WITH {TX}, {V_SQL} {listed_v(FLT8)}")
 def flt8_money(spark, d):
-    return rows_(query.countable(varied(spark, d)).where(F.col("id").startswith("A")))
+    return rows_(query.with_money(varied(spark, d)).where(F.col("id").startswith("A")))
 
 
 def work_queue(spark, d):

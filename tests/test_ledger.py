@@ -246,7 +246,7 @@ def test_registered_queries_equal_their_sql(spark):
     con = duckdb.connect()
     for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    for name in ("agg3_net", "srt2_page", "er1_candidates", "jn10_nearest_row", "prj2_claim_pivot", "snk1_insert_if_absent", "scl5_wall_date", "val3_claim_fields"):
+    for name in ("agg3_net", "srt2_page", "er1_candidates", "jn10_nearest_row", "prj2_claim_pivot", "snk1_insert_if_absent", "scl5_wall_date", "val3_claim_fields", "flt1_active", "flt4_currency", "flt8_money", "flt10_unreconciled", "er12_sticky", "jn1_tracking_lookup", "jn2_source_of", "jn3_confidence_lookup", "jn4_provenance", "jn5_active_claims", "jn6_claimless_kept", "jn7_victims"):
         got = entry.queries()[name](spark, "/root/testdata/sf0.001")
         cols = sorted(got.columns)
         cur = con.execute(entry.oracle_sql()[name])
