@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from .pii import BOOST, CONTEXT, KEEP_SCORE, KINDS
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS
 
 GAP = r"[^\x20\x09-\x0D]+"
@@ -54,4 +55,41 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_broken()}) AS kept FROM b"""
 
-ORACLES = {"op1_minhash": MINHASH, "op2_embedding_dedup": EMBEDDINGS, "op6_quality_rules": QUALITY_RULES}
+#: Of each kind: the pattern in RE2's terms, what a match must look like, what confirms it. RE2 has no look-behind: a \\b
+#: stands for it in texts whose _ are read as -, and an ssn is a whole run of digits and dashes.
+BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+LUHN = "list_sum([CASE WHEN i % 2 = 0 THEN CAST(g[len(g) - i] AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(g[len(g) - i] AS INTEGER) + 1] END for i in range(len(g))]) % 10 = 0".replace("g[", f"{DIGITS}[").replace("len(g)", f"len({DIGITS})")
+MOD97 = """list_reduce([0] || [CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END for c in string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], '')],
+  lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"""
+PII_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "true", f"regexp_full_match(m, '{BYTE}([.]{BYTE}){{3}}')"),
+    "card": (r"[0-9]([ -]?[0-9])+", f"len({DIGITS}) BETWEEN 14 AND 19", LUHN),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "true", f"len({DIGITS}) BETWEEN 10 AND 15"),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}\b", "true", MOD97),
+    "secret": (r"""\b(AKIA[A-Z0-9]{16}\b|(?i:password|passwd|secret|token|api-?key)["'']? ?[=:] ?["'']?[A-Za-z0-9+/-]{8,})""", "true", "regexp_matches(m, '[0-9]')"),
+    "ssn": (r"[0-9-]+", "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')", "true"),
+}
+
+
+def _pii_kind(i: int) -> str:
+    k = KINDS[i]
+    pattern, shape, confirms = PII_KINDS[k.name]
+    t = "translate(t, '_', '-')" if k.name in ("iban", "secret") else "t"
+    return f"""SELECT r, {i} AS ord, '{k.name}' AS kind, start, start + len(m) AS stop, round(least(1, {k.score} + CASE WHEN regexp_matches(lower(near), '{k.words}') THEN {BOOST} ELSE 0 END)::DOUBLE, 2) AS score
+ FROM (SELECT *, t[greatest(1, start - {CONTEXT - 1}):start] || chr(10) || t[start + len(m) + 1:least(start + len(m) + {CONTEXT}, coalesce(next, len(t)))] AS near
+ FROM (SELECT *, lead(start) OVER (PARTITION BY r ORDER BY start) AS next
+ FROM (SELECT r, t, m, sum(len(p) + coalesce(len(before), 0)) OVER (PARTITION BY r ORDER BY i) AS start
+ FROM (SELECT *, lag(m) OVER (PARTITION BY r ORDER BY i) AS before
+ FROM (SELECT r, t, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p
+ FROM (SELECT r, t, regexp_extract_all({t}, '{pattern}') AS ms, string_split_regex({t}, '{pattern}') AS ps FROM d)))) WHERE {shape})) WHERE {confirms}"""
+
+
+PII = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM ({" UNION ALL ".join(_pii_kind(i) for i in range(len(KINDS)))}) WHERE ord < {sum(k.base for k in KINDS)} OR score >= {KEEP_SCORE})
+SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in KINDS if k.base)},
+ sha256(coalesce(string_agg(span, ',' ORDER BY start, ord) FILTER (ord < {sum(k.base for k in KINDS)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, ord), '') AS spans,
+ count(kind) > 0 AS flagged, max(score) AS top_score FROM d LEFT JOIN s USING (r) GROUP BY r"""
+
+ORACLES = {"op1_minhash": MINHASH, "op2_embedding_dedup": EMBEDDINGS, "op5_pii": PII, "op6_quality_rules": QUALITY_RULES}

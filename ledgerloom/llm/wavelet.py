@@ -157,7 +157,9 @@ def write(df: DataFrame, path: str, cut: str = "blank", end: int = 1) -> DataFra
             yield shard()
 
     src = df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return stored(src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS), "wavelet")
+    # A doc_id that many rows share, null among them, is dealt to several tasks by a hash of the text.
+    placed = src.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    return stored(placed.mapInArrow(run, SHARDS), "wavelet")
 
 
 def read(shards: DataFrame) -> DataFrame:
