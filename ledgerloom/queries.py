@@ -627,17 +627,17 @@ def scl34_counterparty(spark, d):
     return t.select("id", V.counterparty_ok(F.col("counterparty")).alias("ok"), V.party(F.col("merchant"), F.col("counterparty")).alias("party"))
 
 
-@query_("SELECT page_id, to_base64(encode(left(html, 300))) AS raw, strlen(left(html, 300)) AS n_bytes, 'text/html' AS media FROM pages")
+@query_("SELECT page_id, to_base64(encode(html)) AS raw, strlen(html) AS n_bytes, 'text/html' AS media FROM pages")
 def scl35_raw_content(spark, d):
-    raw = F.encode(F.left("html", F.lit(300)), "UTF-8")
+    """Every byte of a page."""
+    raw = F.encode("html", "UTF-8")
     return table(spark, d, "pages").select("page_id", F.regexp_replace(F.base64(raw), "\r\n", "").alias("raw"), F.octet_length(raw).cast("bigint").alias("n_bytes"), V.media_type(F.lit(" Text/HTML ; charset=x")).alias("media"))
 
 
 @query_("SELECT page_id, to_base64(encode(html)) AS raw, strlen(html) AS n_bytes, 'text/html' AS media FROM pages")
 def scl35_whole_content(spark, d):
-    """Every byte of a page; scl35_raw_content, whose SQL stays as it is, takes the first 300 characters."""
-    raw = F.encode("html", "UTF-8")
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(F.base64(raw), "\r\n", "").alias("raw"), F.octet_length(raw).cast("bigint").alias("n_bytes"), V.media_type(F.lit(" Text/HTML ; charset=x")).alias("media"))
+    """The name under which scl35_raw_content read whole pages first."""
+    return scl35_raw_content(spark, d)
 
 
 @query_(f"WITH {TX} SELECT a.id, a.amount_minor = b.amount_minor AS equal, a.amount_minor = 0 AS zero FROM t a JOIN t b ON b.id = 'L' || a.id[2:] WHERE a.id LIKE 'A%'")
