@@ -198,6 +198,10 @@ def test_quality_classifier_separates(spark):
     far = spark.createDataFrame([(*r, "x", "y") for r in other], "doc_id long, text string, marks string, score string")
     scored = quality_pu.score(far, quality_pu.fit(df, df)).select("doc_id", "score").collect()
     assert len(scored) == 202 and np.mean([(r["score"] >= 0.3) == bool(r["doc_id"] % 4) for r in scored if r["doc_id"] < 5200]) > 0.95
+    # Every document labelled: the same rows without their labels are the unlabelled set.
+    marked = df.where("doc_id < 400").withColumn("quality", (F.col("doc_id") % 4 > 0).cast("int"))
+    ranked = quality_pu.score(marked, quality_pu.fit(marked, marked)).select("score", "quality").collect()
+    assert np.mean([(r["score"] >= 0.3) == bool(r["quality"]) for r in ranked]) > 0.9
     alone = quality_pu.fit(df.where("false"), df.where("false"))
     assert quality_pu.score(df, alone).count() == 402
 
