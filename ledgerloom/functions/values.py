@@ -154,6 +154,11 @@ def media_type(c: Column) -> Column:
     return F.lower(trim(F.substring_index(c, ";", 1)))
 
 
+def starts_with(raw: Column, magic: bytes = b"%PDF-") -> Column:
+    """Whether an artifact's bytes begin with the sign of their format; absent bytes do not."""
+    return F.coalesce(F.substring(raw, 1, len(magic)) == F.lit(bytearray(magic)), F.lit(False))
+
+
 def tracking_key(c: Column) -> Column:
     """The text after `Clave de rastreo ` up to a comma; `HSB` before a digit is completed to `HSBC`."""
     k = F.regexp_extract(c, r"Clave de rastreo ([^,]+)", 1)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..schemas import DIRECTIONS, FINANCIAL_STATUSES
+from ..schemas import CURRENCIES, DIRECTIONS, FINANCIAL_STATUSES, RECONCILIATION_STATES
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,12 @@ class TransactionQuery:
     def __post_init__(self) -> None:
         if not 1 <= self.limit <= 200:
             raise ValueError("limit: from 1 to 200")
-        for name, given, known in (("direction", self.directions, DIRECTIONS), ("financial_status", self.statuses, FINANCIAL_STATUSES)):
+        for name, given, known in (
+            ("direction", self.directions, DIRECTIONS),
+            ("financial_status", self.statuses, FINANCIAL_STATUSES),
+            ("reconciliation_state", self.states, RECONCILIATION_STATES),
+            ("currency", {self.currency} if self.currency else (), CURRENCIES),
+        ):
             if set(given) - set(known):
                 raise ValueError(f"{name}: one of {', '.join(known)}")
         if self.since and self.before and self.since >= self.before:

@@ -9,6 +9,7 @@ SELF = RESERVED + "self"
 # Closed vocabularies.
 CURRENCIES = {"MXN": 2}
 DIRECTIONS = ("INFLOW", "OUTFLOW")
+RECONCILIATION_STATES = ("UNRECONCILED", "RECONCILED", "CONFLICTED")
 FINANCIAL_STATUSES = ("UNKNOWN", "PENDING", "SETTLED", "REVERSED")
 CONFIDENCES = ("HIGH", "MEDIUM", "LOW")
 SOURCE_TYPES = ("GMAIL", "BANK_STATEMENT", "MANUAL")

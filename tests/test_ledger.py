@@ -113,9 +113,16 @@ def test_lists_and_totals(spark):
     assert sorted(seen) == sorted(r[0] for r in rows) and seen == [r["id"] for r in sorted(df.collect(), key=lambda r: (r["occurred_at"], r["id"]), reverse=True)]
     assert tuple(query.summary(df).first()) == (1 + 3 + 5 + 9, 0 + 2 + 4 + 6 + 8, 1, 18 - 20)
     assert {r[0]: r[1] for r in query.totals(df).collect()} == {"INFLOW": 18, "OUTFLOW": 20}
-    for bad in ({"limit": 0}, {"limit": 201}, {"directions": ("UP",)}, {"since": datetime(2026, 2, 1), "before": datetime(2026, 1, 1)}):
-        with pytest.raises(ValueError):
+    bounds = {"since": datetime(2026, 2, 1), "before": datetime(2026, 1, 1)}
+    for field, bad in (("limit", {"limit": 0}), ("limit", {"limit": 201}), ("direction", {"directions": ("UP",)}), ("from", bounds), ("reconciliation_state", {"states": ("DONE",)}), ("currency", {"currency": "XYZ"})):
+        with pytest.raises(ValueError, match=f"^{field}:"):
             query.TransactionQuery(**bad)
+    assert query.list_transactions(df, query.TransactionQuery(states=("UNRECONCILED", "CONFLICTED"), currency="MXN")).columns == df.columns
+
+
+def test_magic(spark):
+    df = spark.createDataFrame([(b"%PDF-1.7 x",), (b"%PDF",), (b" %PDF-",), (b"",), (None,)], "raw binary")
+    assert [r[0] for r in df.select(V.starts_with(df.raw)).collect()] == [True, False, False, False, False]
 
 
 def test_writes(spark):
