@@ -92,4 +92,12 @@ SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = '{k.nam
  sha256(coalesce(string_agg(span, ',' ORDER BY start, ord) FILTER (ord < {sum(k.base for k in KINDS)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, ord), '') AS spans,
  count(kind) > 0 AS flagged, max(score) AS top_score FROM d LEFT JOIN s USING (r) GROUP BY r"""
 
-ORACLES = {"op1_minhash": MINHASH, "op2_embedding_dedup": EMBEDDINGS, "op5_pii": PII, "op6_quality_rules": QUALITY_RULES}
+FILL_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS x FROM d),
+c AS (SELECT *, len(l) AS n, least(x[1] % (len(l) + 1), x[2] % (len(l) + 1)) AS i, greatest(x[1] % (len(l) + 1), x[2] % (len(l) + 1)) AS j,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(l[1:i], '') AS p, array_to_string(l[i + 1:j], '') AS m, array_to_string(l[j + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES = {"op1_minhash": MINHASH, "op2_embedding_dedup": EMBEDDINGS, "op5_pii": PII, "op6_quality_rules": QUALITY_RULES, "op13_fill_middle": FILL_MIDDLE}
