@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, embedding_dedup, fill_middle, language_id, minhash, packing, pii, quality_pu, quality_rules, suffix_dedup, wavelet
+from . import bpe_duckdb, embedding_dedup, fill_middle, language_id, minhash, packing, pii, quality_pu, quality_rules, suffix_dedup, wavelet, whitening
 from .common import fold, table
 from .oracles import ORACLES
 
@@ -77,12 +77,17 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+def op12_whitening(spark, sf_dir):
+    out = whitening.components_of(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 def op13_fill_middle(spark, sf_dir):
     out = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op3_quality_pu, op4_token_shards, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_packing, op9_language_id, op10_byte_bpe, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op3_quality_pu, op4_token_shards, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_packing, op9_language_id, op10_byte_bpe, op12_whitening, op13_fill_middle)}
 
 __all__ = ["ORACLES", "QUERIES", "vocabulary"]
