@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, embedding_dedup, fill_middle, language_id, minhash, packing, pii, quality_pu, quality_rules, suffix_dedup, wavelet, whitening
+from . import bpe_duckdb, embedding_dedup, fill_middle, language_id, minhash, multiset_hash, packing, pii, quality_pu, quality_rules, suffix_dedup, wavelet, whitening
 from .common import fold, table
 from .oracles import ORACLES
 
@@ -77,6 +77,11 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+def op11_multiset_hash(spark, sf_dir):
+    out = multiset_hash.with_next(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op12_whitening(spark, sf_dir):
     out = whitening.components_of(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
@@ -88,6 +93,6 @@ def op13_fill_middle(spark, sf_dir):
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op3_quality_pu, op4_token_shards, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_packing, op9_language_id, op10_byte_bpe, op12_whitening, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding_dedup, op3_quality_pu, op4_token_shards, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_packing, op9_language_id, op10_byte_bpe, op11_multiset_hash, op12_whitening, op13_fill_middle)}
 
 __all__ = ["ORACLES", "QUERIES", "vocabulary"]
