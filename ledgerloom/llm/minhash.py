@@ -11,8 +11,9 @@ a band of coordinates are candidates; equal sets are one row from the start. Can
 3. families, the components that doubt connects, are compared on full sets in one place: each member in doubt travels
    there once, and is compared with all members of other components.
 
-Groups over PART_SHINGLES are dealt as parts: those who ask go to every part, the others to one. Members of the largest
-component of a group never ask, so a group of very many copies costs its size, not its square.
+Groups are dealt to blocks, and a task compares two of them: blocks of rows that ask with each other and with those of rows
+that only answer. Members of the largest component of a group never ask, so a group of very many copies costs its size,
+not its square. Words are hashed under a key that each run draws, so texts cannot be built to look equal.
 
 Null or blank texts have no shingles and link with nothing. Texts of one to four words are one shingle. Very long texts
 are one set each. Repeated rows keep their rows and share their component, ties go to the least doc_id. Other columns
@@ -21,7 +22,10 @@ are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,8 @@ T, BANDS = 128, 32
 ESTIMATE = 0.18
 #: Up to this many rows of a few numbers may be broadcast to pick out texts; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-BLOCK = 10_000  # rows of a bucket that are compared at once
-PART_SHINGLES = 2_000_000  # shingles of a group that are compared at once, 8 bytes each
+BLOCK = 10_000  # rows of a block of a bucket; a task compares two blocks
+PART_SHINGLES = 2_000_000  # shingles of a block, 8 bytes each; a task compares two blocks
 CHUNK_CHARS = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
@@ -80,15 +84,46 @@ def inverse_powers(n: int) -> np.ndarray:
     return _NEGATIVE[:n]
 
 
-def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
+#: Words up to so many bytes are hashed by multiplication with KEYS of their positions, longer ones by keyed BLAKE2.
+LONG = 1024
+
+
+class Words:
+    """Keyed 64-bit hashes of words. Bytes times random keys of their positions, summed modulo 2^64: two given words agree with
+    probability 2^-57 at most, whatever they are, and nobody can build a pair that does without the key."""
+
+    def __init__(self, key: int):
+        self.key = key.to_bytes(8, "little")
+        self.keys = np.random.Generator(np.random.Philox(key)).integers(0, 1 << 64, LONG, np.uint64, endpoint=False)
+
+    def hashes(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the words b[start:end], which do not overlap and are in order."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        size = end - start
+        first = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(first, size)
+        at = np.repeat(start, size) + within
+        out = np.add.reduceat((b[at].astype(np.uint64) + U(1)) * self.keys[np.minimum(within, LONG - 1)], first)
+        for i in np.flatnonzero(size > LONG).tolist():
+            raw = b[start[i] : end[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=self.key).digest(), "little")
+        return mix(out + size.astype(np.uint64))
+
+
+@lru_cache(4)
+def keyed(key: int) -> Words:
+    return Words(key)
+
+
+def shingle_sets(texts: list[str], width: int = WIDTH, key: int = 0) -> list[np.ndarray]:
     """The sorted, distinct 64-bit fingerprints of each text's word shingles."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     b = LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
     gap = GAPS[b]
     start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + U(1)) * powers(len(b)))])
-    word = mix((sums[end] - sums[start]) * inverse_powers(len(b))[start] + (end - start).astype(np.uint64))
+    word = keyed(key).hashes(b, start, end)
     bounds = np.cumsum([1, *[len(r) + 1 for r in raw]])
     first = np.searchsorted(start, bounds)
     n = max(0, len(word) - width + 1)
@@ -150,14 +185,14 @@ def name_of(s: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def sketches(df: DataFrame) -> DataFrame:
+def sketches(df: DataFrame, key: int = 0) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, bands, small): h1, h2 name the set; small holds 8 bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(list(map(len, texts)), CHUNK_CHARS):
-                sets = shingle_sets(texts[a:b])
+                sets = shingle_sets(texts[a:b], key=key)
                 rows = [sketch(s) if len(s) else None for s in sets]
                 h1, h2 = np.array([name_of(s) for s in sets], np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
@@ -202,7 +237,7 @@ def joined(sets: list[np.ndarray], asks: np.ndarray, answers: np.ndarray, comp:
     return out
 
 
-def verified(wanted: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verified(wanted: DataFrame, docs: DataFrame, percent: int, key: int = 0) -> DataFrame:
     """Edges (a, b) that span the links, on full sets, inside the groups of wanted.
 
     wanted: (g, part, rep, h1, h2, c, asks, answers). Rows of one part meet; a row that asks is compared with all that
@@ -229,7 +264,7 @@ def verified(wanted: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             *keys, texts = [c.to_pylist() for c in batch.columns]
             for a, b in chunks(list(map(len, texts)), CHUNK_CHARS):
-                for s, g, part, rep, h1, h2, c, asks, answers in zip(shingle_sets(texts[a:b]), *[k[a:b] for k in keys]):
+                for s, g, part, rep, h1, h2, c, asks, answers in zip(shingle_sets(texts[a:b], key=key), *[k[a:b] for k in keys]):
                     if (g, part) != at:
                         close()
                         at = (g, part)
@@ -251,6 +286,22 @@ def verified(wanted: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return stored(in_batches(dealt, run, "a long, b long"), "links")
 
 
+def in_pairs(rows: DataFrame) -> DataFrame:
+    """rows (..., rep, asks, n_ask, n_rest) with part, asks and answers: those who ask are dealt to n_ask blocks, the others to n_rest,
+    and a part is two blocks that meet, or one with itself. Of two blocks that both ask, one asks and the other answers."""
+    blocks, own = F.col("n_ask") + F.col("n_rest"), F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("n_ask")).otherwise(F.col("n_rest")))
+    entry = lambda i, j, asks, answers: F.struct((i * blocks + j).alias("part"), asks.alias("asks"), answers.alias("answers"))
+    every = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    each, mine = every(F.col("n_ask")), F.col("own")
+    asking = F.concat(
+        F.transform(each, lambda j: entry(F.least(mine, j), F.greatest(mine, j), mine <= j, mine >= j)),
+        F.transform(every(F.col("n_rest")), lambda j: entry(mine, F.col("n_ask") + j, F.lit(True), F.lit(False))),
+    )
+    resting = F.transform(each, lambda i: entry(i, F.col("n_ask") + mine, F.lit(False), F.lit(True)))
+    held = [c for c in rows.columns if c not in ("asks", "n_ask", "n_rest")]
+    return rows.withColumn("own", own).select(*held, F.explode(F.when(F.col("asks"), asking).otherwise(resting)).alias("m")).select(*held, "m.*")
+
+
 def stars(met: DataFrame, reps: DataFrame) -> DataFrame:
     """Rows for verified(): each bucket's least member asks, its others answer; every such pair once."""
     pairs = met.where("rep <> pivot").select(F.col("pivot").alias("g"), "rep").distinct().join(reps.select("rep", "h1", "h2", "n_shingles"), "rep")
@@ -264,11 +315,10 @@ def doubted(met: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) ->
     """(rep, c, d, n): members of components c that sketches leave in doubt (n = 1), and pairs of components c, d that they connect (n = 0)."""
     labelled = met.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k", "n", "rep", F.coalesce("component", "rep").alias("c"))
     sizes = labelled.groupBy("k", "c").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("k").agg(F.max_by("c", "m").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k", "most")
-    rows = labelled.join(mixed, "k").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    asks = F.col("c") != F.col("most")
-    rows = rows.select("k", "rep", "c", "own", asks.alias("asks"), F.explode(F.when(asks, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))).alias("part"))
-    rows = rows.join(reps.select("rep", "small"), "rep").select("k", "part", "rep", "c", "asks", (F.col("own") == F.col("part")).alias("answers"), "small")
+    mixed = sizes.groupBy("k").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.max("m").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k", "most", "m")
+    blocks = F.ceil((F.col("n") - F.col("m")) / BLOCK).alias("n_ask"), F.ceil(F.col("m") / BLOCK).alias("n_rest")
+    rows = in_pairs(labelled.join(mixed, "k").select("k", "rep", "c", (F.col("c") != F.col("most")).alias("asks"), *blocks))
+    rows = rows.join(reps.select("rep", "small"), "rep").select("k", "part", "rep", "c", "asks", "answers", "small")
     least = T * (percent / 100 - ESTIMATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,17 +369,16 @@ def families(doubt: DataFrame, reps: DataFrame) -> DataFrame:
     near = components(doubt.where("n = 0"), "c", "d")
     members = doubt.where("n = 1").select("rep", "c").join(near.withColumnRenamed("node", "c"), "c", "left").select("rep", "c", F.coalesce("component", "c").alias("g"))
     members = stored(members.join(reps.select("rep", "h1", "h2", "n_shingles"), "rep"), "members")
-    size = members.groupBy("g").agg(F.ceil(F.sum("n_shingles") / PART_SHINGLES).cast("int").alias("parts"))
-    most = members.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", "m").alias("most"))
-    asks = F.col("c") != F.col("most")
-    rows = members.join(size, "g").join(most, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.select("g", "rep", "h1", "h2", "c", "own", asks.alias("asks"), F.explode(F.when(asks, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))).alias("part"))
-    return rows.select("g", "part", "rep", "h1", "h2", "c", "asks", (F.col("own") == F.col("part")).alias("answers"))
+    sizes = members.groupBy("g", "c").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    group = sizes.groupBy("g").agg(F.max_by(F.struct("c", "s"), F.struct("m", "c")).alias("most"), F.sum("s").alias("s"))
+    blocks = F.ceil((F.col("s") - F.col("most.s")) / PART_SHINGLES).alias("n_ask"), F.ceil(F.col("most.s") / PART_SHINGLES).alias("n_rest")
+    return in_pairs(members.join(group, "g").select("g", "rep", "h1", "h2", "c", (F.col("c") != F.col("most.c")).alias("asks"), *blocks))
 
 
-def near(df: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
-    sk = stored(sketches(df), "sketches")
+def near(df: DataFrame, percent: int = 75, key: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row. key: of the words' hashes, one for a run."""
+    key = secrets.randbits(64) if key is None else key
+    sk = stored(sketches(df, key), "sketches")
     named = sk.where("doc_id is not null and n_shingles > 0")
     reps = stored(named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "small"), "doc_id").alias("s")).select("h1", "h2", "n_shingles", "rep", "s.*"), "reps")
     docs = df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
@@ -337,8 +386,8 @@ def near(df: DataFrame, percent: int = 75) -> DataFrame:
     entries = reps.select("rep", F.explode("bands").alias("k"))
     full = entries.groupBy("k").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     met = stored(entries.join(full, "k"), "buckets")
-    comps = components(verified(stars(met, reps), docs, percent), "a", "b")
-    more = verified(families(doubted(met, comps, reps, percent), reps), docs, percent)
+    comps = components(verified(stars(met, reps), docs, percent, key), "a", "b")
+    more = verified(families(doubted(met, comps, reps, percent), reps), docs, percent, key)
     if more.limit(1).count():
         # The components so far stand in for the links that made them: fewer edges, nearly stars already.
         comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")

@@ -566,3 +566,40 @@ def test_no_rows(empty, vectors):
     assert bpe_duckdb.encode(empty, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True).count() == 0
     model = quality_pu.fit(empty, empty.withColumn("quality", F.lit(1)))
     assert quality_pu.score(empty, model).count() == 0
+
+
+def test_words_built_to_clash_do_not(spark):
+    """Sequences of the parity of an index's bits and their complements have equal polynomial hashes modulo 2^64, whatever the base."""
+    rows = []
+    for n in (64, 1024, 2048, 4096):
+        a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        rows += [(len(rows) + k, t) for k, t in enumerate([a, b, f"some words {a} stand around", f"some words {b} stand around"])]
+    got = minhash.near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["kept"] and r["n_shingles"] == 1 for r in got)
+
+
+def test_one_text_below_the_threshold_of_all_others(spark, monkeypatch):
+    """2,000 texts of similarity about 0.63 form one family without a link: parts stay within two blocks, whole texts within the product."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 60)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for at in rng.choice(np.arange(2, 58, 11), 2, replace=False):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    seen, verified = [], minhash.verified
+
+    def counted(wanted, *rest):
+        seen.append(wanted.groupBy("g", "part").count().agg(F.max("count"), F.count("*")).first())
+        return verified(wanted, *rest)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    monkeypatch.setattr(minhash, "PART_SHINGLES", 22_000)
+    got = minhash.near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.75]
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(roots(2000, pairs)))
+    most, parts = seen[-1]  # the families
+    assert parts > 10 and most < 2 * 1.4 * 22_000 / 56
