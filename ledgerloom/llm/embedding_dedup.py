@@ -1,15 +1,15 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, reranking with the original vectors.
 
 Rotations that balance binary codes are learnt on a bounded sample (SAMPLE vectors). All vectors are indexed: each
-rotation's code is cut into substrings, a table for each. Vectors that share a substring meet in a bucket with their
-codes, where the Hamming distance of the whole codes rejects those that cannot reach the threshold; a bucket sends on
+rotation's code is cut into substrings, a table for each. Vectors that share a substring meet in a bucket with CODE_BITS
+of their codes, where the Hamming distance rejects those that cannot reach the threshold; a bucket sends on
 edges that span the rest, no list of pairs. Connected vectors are a family. Each vector travels to its family once, and
 there the original vectors decide in double precision: counts and a spanning forest. Buckets and families over a block's
 size are dealt as pairs of blocks, every pair of blocks once. Equal vectors are one weighted row throughout.
 
 Vectors that are null, empty, zero, or hold null or non-finite parts, link with nothing. Lengths may differ: only
 equal lengths are compared. A repeated vec_id counts as one more vector. Ties go to the least vec_id. Other columns are
-not read, so their names cannot clash.
+not read, so their names cannot clash. An empty table gives no rows. Very long vectors (many dimensions) are compared whole.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ TABLES = 16  # at least; rotations are added until planted pairs at the threshol
 RECALL = 0.93
 SUBSTRING = 16  # bits, for up to 2^12 vectors; a bit more for each doubling, so that chance meetings grow with n, not n^2
 SPARE = 4  # bits more than number the vectors: keys are cheap beside vectors that meet by chance
+CODE_BITS = 256  # of a code that travels with a vector's substrings, 32 bytes whatever the number of tables
 LEARNT = 4  # rotations that the sample teaches; further ones are random, so that each finds other pairs
 BLOCK = 2000  # vectors of a family that are compared at once
 BUCKET = 10_000  # codes of a bucket that are compared at once
@@ -58,10 +59,11 @@ def keys_of(x: np.ndarray, rotations: list[np.ndarray], width: int) -> np.ndarra
     return np.stack(out, axis=1)
 
 
-def codes_of(x: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
-    """(n, words) codes of all rotations as uint64."""
-    packed = np.concatenate([np.packbits(x @ r > 0, axis=1) for r in rotations], axis=1)
-    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+def codes_of(x: np.ndarray, rotations: list[np.ndarray], bits: int = CODE_BITS) -> np.ndarray:
+    """(n, words) the first `bits` of the codes of all rotations, as uint64: the same number however many tables there are."""
+    used = rotations[: -(-bits // x.shape[1])]
+    packed = np.packbits(np.concatenate([x @ r > 0 for r in used], axis=1)[:, :bits], axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
 
 
 def planted(s: np.ndarray, cosine: float, seed: int = 0) -> np.ndarray:
@@ -93,7 +95,7 @@ def rotations_for(s: np.ndarray, width: int, threshold: float, learnt: int = LEA
 
 
 def limit_for(s: np.ndarray, rotations: list[np.ndarray], threshold: float) -> int:
-    """The largest Hamming distance of whole codes that still counts as near."""
+    """The largest Hamming distance of codes that still counts as near."""
     far = np.bitwise_count(codes_of(s, rotations) ^ codes_of(planted(s, threshold, seed=1), rotations)).sum(1)
     return int(np.ceil(far.mean() + DEVIATIONS * max(1.0, far.std())))
 
@@ -198,8 +200,8 @@ def dealt(rows: DataFrame, group: list[str], most: int) -> DataFrame:
     return rows.drop("n", "parts", "other").repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
 
 
-def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
+def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", width: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row. width: bits of a substring, from the number of vectors if not given."""
     src = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     top = F.aggregate("x", F.lit(0.0), lambda acc, v: F.greatest(acc, F.abs(v)))
     whole = ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -208,7 +210,7 @@ def near(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str
     classes = stored(marked.where("good").groupBy("h", "x").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "vectors")
 
     n = max(1, classes.count())
-    width = min(32, max(SUBSTRING, (n - 1).bit_length() + SPARE))
+    width = width or min(32, max(SUBSTRING, (n - 1).bit_length() + SPARE))
     by_size: dict[int, list[np.ndarray]] = {}
     rows = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("x").collect()  # bounded sample
     for r in rows:
