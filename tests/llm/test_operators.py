@@ -149,6 +149,13 @@ def test_embeddings_as_brute_force(vectors):
     assert got[507]["component_id"] == 506 and got[505]["n_links"] == 0
 
 
+def test_vec_id_with_different_vectors(spark):
+    """Links are between ids: one that has two vectors has the links of both, and joins their components."""
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (9, [1.0, 0.01, 0.0]), (9, [0.01, 1.0, 0.0]), (10, [0.0, 0.0, 1.0])]
+    got = sorted(map(tuple, embedding_dedup.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (9, 2, 1, False), (9, 2, 1, False), (10, 0, 10, True)]
+
+
 def test_itq_balances_codes():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1000, 16)) @ np.diag(np.linspace(0.2, 4, 16))
@@ -168,8 +175,21 @@ def test_planted_pairs_meet_at_every_width(width):
     assert met > embedding_dedup.RECALL - 0.03
 
 
-def test_pairs_near_the_threshold_are_linked(spark):
-    """Pairs planted at cosine 0.90, 0.91 and 0.92, against brute force, and at each cosine by itself."""
+@pytest.mark.parametrize("width", [16, 20, 24, 28])
+def test_shipped_codes_stay_within_three_vectors(width):
+    """With keys SPARE bits wider than the count of vectors, one entry in 2^SPARE meets another by chance and ships a code and its numbers."""
+    rng = np.random.default_rng(17)
+    s = rng.standard_normal((4096, 64))
+    s /= np.linalg.norm(s, axis=1)[:, None]
+    turns = embedding_dedup.rotations_for(s, width, 0.9)
+    tables = embedding_dedup.keys_of(s[:1], turns, width).shape[1]
+    assert embedding_dedup.codes_of(s[:5], turns).nbytes == 5 * 32
+    assert tables / 2**embedding_dedup.SPARE * (32 + 36) < 3 * 64 * 8
+
+
+@pytest.mark.parametrize("width", [16, 20, 24])
+def test_pairs_near_the_threshold_are_linked(spark, width):
+    """Pairs planted at cosine 0.90, 0.91 and 0.92, against brute force, and at each cosine by itself; with the keys of larger tables too."""
     rng = np.random.default_rng(13)
     x = rng.standard_normal((1500, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -177,7 +197,7 @@ def test_pairs_near_the_threshold_are_linked(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     want = np.tril(x @ x.T >= 0.9, -1).sum(1)
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
-    got = np.array([r[0] for r in embedding_dedup.near(df).orderBy("vec_id").select("n_links").collect()])
+    got = np.array([r[0] for r in embedding_dedup.near(df, width=width).orderBy("vec_id").select("n_links").collect()])
     assert want.sum() == 1500 and got.sum() <= 3000
     for at in (1500, 2000, 2500):
         assert got[at : at + 500].sum() >= 0.9 * want[at : at + 500].sum()
@@ -206,6 +226,22 @@ def test_quality_classifier_separates(spark):
     assert quality_pu.score(df, alone).count() == 402
 
 
+def test_unlabelled_rows_do_not_switch_the_classifier(spark):
+    """Held-out accuracy is the same whether no, one, some or all documents have a label; repeated and foreign labels change nothing."""
+    rng = np.random.default_rng(6)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(200)])
+    text = lambda i: " ".join(rng.choice(vocabulary, 60)).capitalize() + ".\n" if i % 4 else " ".join(w + "%%%" * (rng.random() < 0.4) for w in rng.choice(vocabulary, 60))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(800)], "doc_id long, text string")
+    held = [(10_000 + i, text(i)) for i in range(400)]
+    far = spark.createDataFrame(held, "doc_id long, text string")
+    right = {}
+    for missing in (0, 1, 20, 400):
+        labels = [(i, int(i % 4 > 0)) for i in range(800 - missing)] * 2 + [(90_000 + i, int(i % 4 > 0)) for i in range(100)]
+        model = quality_pu.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        right[missing] = np.mean([(r["score"] >= 0.3) == bool(r["doc_id"] % 4) for r in quality_pu.score(far, model).collect()])
+    assert max(right.values()) - min(right.values()) <= 0.01 and min(right.values()) > 0.95
+
+
 def test_pu_risk_finds_the_border_without_negatives():
     """Two Gaussians, positives of one alone: the risk ranks, the prior cuts; a negative part that turns negative is stepped back from."""
     rng = np.random.default_rng(9)
