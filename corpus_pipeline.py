@@ -19,18 +19,23 @@ from ledgerloom.llm.queries import vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: The language stage keeps a text whose likeliest language has this mean probability over the text's bytes, or more. With four
+#: languages, chance is 0.25; a text that no learnt language fits, or that several share, stays below.
+LEAST_SCORE = 0.4
+
+
 def with_text(docs: DataFrame, text) -> DataFrame:
     """The documents' columns with a new text and its length."""
     return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learnt language is recognised stay; those without a letter (`und`) go. With no labels to learn
-    from, every document with a letter stays."""
+    """Documents in which a learnt language is recognised, with LEAST_SCORE or more, stay; those without a letter (`und`) go. With
+    no labels to learn from, every document with a letter stays."""
     net = language_id.fit(docs)
     if not net.labels:
         return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
-    return language_id.predict(docs.select(*COLUMNS), net).where("lang_pred <> 'und'").select(*COLUMNS)
+    return language_id.predict(docs.select(*COLUMNS), net).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
