@@ -47,3 +47,17 @@ def test_stages_on_edges(spark, tmp_path):
             if name != "packing":
                 assert docs.columns == pipeline.COLUMNS and docs.count() == left + (left > 0 and name == "language_id")  # the repeated row goes in minhash
         assert docs.select("doc_id").distinct().count() == left
+
+
+def test_language_stage_drops_what_no_language_fits(spark):
+    """Four languages of letters of their own: a text that is a quarter of each is none of them, though it has letters."""
+    import random
+
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr", "dd": "stuvwx"}
+    words = lambda lang, n: " ".join("".join(rng.choices(alphabets[lang], k=5)) for _ in range(n))
+    rows = [(i, words(lang, 40), lang) for i, lang in enumerate(sorted(alphabets) * 30)]
+    rows += [(1000, " ".join(words(lang, 64) for lang in alphabets), None), (1001, words("bb", 12), None), (1002, "1234 !!", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' source", "cast(length(text) as long) n_chars")
+    kept = {r["doc_id"] for r in pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert kept == set(range(120)) | {1001}
