@@ -33,28 +33,43 @@ def pairs_of_two(rows: DataFrame, keys: list[str]) -> DataFrame:
     return groups.where("n = 2 and s0 <> s1").select("left", "right")
 
 
+def other_source() -> Column:
+    return F.coalesce(F.col("left.source_id"), F.lit("")) != F.coalesce(F.col("right.source_id"), F.lit(""))
+
+
 def same_side() -> Column:
     return V.internal(F.col("left.counterparty")) == V.internal(F.col("right.counterparty"))
 
 
+#: The sweeps in order, the fields that make their blocks, and those of which a block is a star.
+SWEEPS = ("tracking_key", "composite", "weak")
+KEYS = {"tracking_key": ["tracking_key"], "composite": ["currency", "amount_minor", "direction", "party", "day"], "weak": ["currency", "amount_minor", "direction"]}
+STARS = ("tracking_key", "weak")
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows with party and day, which composite blocks need."""
+    return rows.withColumns({"party": V.party(F.col("merchant"), F.col("counterparty")), "day": V.day_in_zone(F.col("occurred_at"))})
+
+
+def decided(pairs: DataFrame, sweep: str) -> DataFrame:
+    """Candidates of pairs (left, right) that a sweep found."""
+    both, alike = (F.col("left.direction") == F.col("right.direction")) & same_side(), same_side()
+    status = {"tracking_key": F.when(both, "MATCH"), "composite": F.when(alike, "MATCH"), "weak": F.when(alike, "AMBIGUOUS")}[sweep].otherwise("NO_MATCH")
+    return pairs.select(F.col("left.id").alias("left_ref"), F.col("right.id").alias("right_ref"), status.alias("status"), F.lit(sweep).alias("basis"))
+
+
 def tracking(rows: DataFrame) -> DataFrame:
-    ok = (F.col("left.direction") == F.col("right.direction")) & same_side()
-    return _decided(star_pairs(rows, ["tracking_key"]), F.when(ok, "MATCH").otherwise("NO_MATCH"), "tracking_key")
+    return decided(star_pairs(rows, KEYS["tracking_key"]), "tracking_key")
 
 
 def composite(rows: DataFrame) -> DataFrame:
-    keyed = rows.withColumns({"party": V.party(F.col("merchant"), F.col("counterparty")), "day": V.day_in_zone(F.col("occurred_at"))})
-    pairs = pairs_of_two(keyed, ["currency", "amount_minor", "direction", "party", "day"])
-    return _decided(pairs, F.when(same_side(), "MATCH").otherwise("NO_MATCH"), "composite")
+    return decided(pairs_of_two(keyed(rows), KEYS["composite"]), "composite")
 
 
 def weak(rows: DataFrame) -> DataFrame:
     pairs = star_pairs(rows.withColumn("way", F.col("direction")), ["currency", "amount_minor", "way"])
-    return _decided(pairs, F.when(same_side(), "AMBIGUOUS").otherwise("NO_MATCH"), "weak")
-
-
-def _decided(pairs: DataFrame, status: Column, basis: str) -> DataFrame:
-    return pairs.select(F.col("left.id").alias("left_ref"), F.col("right.id").alias("right_ref"), status.alias("status"), F.lit(basis).alias("basis"))
+    return decided(pairs, "weak")
 
 
 def new_candidates(found: DataFrame, prior: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import cut
@@ -15,19 +15,29 @@ def insert_if_absent(new: DataFrame, stored: DataFrame, keys: list[str], order:
     return first.join(stored.select(*keys).distinct(), keys, "left_anti").select(*new.columns)
 
 
-def events_of(rows: DataFrame, kind: str, payload: list[str], at: str, after: int = 0) -> DataFrame:
-    """Domain events with a JSON payload (absent fields left out) and numbers that follow `after`.
+def event_body(rows: DataFrame, kind: str, payload: list[str | Column], at: str) -> DataFrame:
+    """(type, payload, occurred_at): a JSON payload, absent fields left out."""
+    return rows.select(F.lit(kind).alias("type"), F.to_json(F.struct(*payload)).alias("payload"), F.col(at).alias("occurred_at"))
+
+
+def numbered(bodies: DataFrame, after: int = 0) -> DataFrame:
+    """(seq, type, payload, occurred_at): numbers without gaps that follow `after`, by time, payload and kind.
 
     Numbering counts rows per partition of the order first, so no task sees all rows.
     """
-    body = rows.select(F.col(at).alias("occurred_at"), F.to_json(F.struct(*payload)).alias("payload"))
-    placed = body.repartitionByRange("occurred_at", "payload").sortWithinPartitions("occurred_at", "payload").withColumn("m", F.monotonically_increasing_id())
+    order = ["occurred_at", "payload", "type"]
+    placed = bodies.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id())
     placed = cut(placed)  # counted and numbered from one sampling of the ranges
     placed = placed.withColumns({"p": F.shiftright("m", 33), "i": F.col("m").bitwiseAND((1 << 33) - 1)})
     sizes = placed.groupBy("p").agg(F.count("*").alias("c"))
     starts = sizes.select("p", (F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("s"))
     out = placed.join(F.broadcast(starts), "p")  # a row per partition
-    return out.select((F.col("s") + F.col("i") + 1 + after).alias("seq"), F.lit(kind).alias("type"), "payload", "occurred_at")
+    return out.select((F.col("s") + F.col("i") + 1 + after).alias("seq"), "type", "payload", "occurred_at")
+
+
+def events_of(rows: DataFrame, kind: str, payload: list[str], at: str, after: int = 0) -> DataFrame:
+    """Domain events of one kind, numbered."""
+    return numbered(event_body(rows, kind, payload, at), after)
 
 
 def compare_and_swap(slots: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -55,9 +65,8 @@ def whole_artifacts(built: DataFrame, taken: DataFrame) -> DataFrame:
 
 def pivot_claims(fields: DataFrame) -> DataFrame:
     """One row per claim: its nine fields as columns, UNKNOWN status where absent. A field that is there twice gives its greatest value."""
-    out = fields.groupBy("evidence_id", "claim_id").agg(F.collect_list(F.struct("field_name", "value_int", "value_text")).alias("f"))
-    pick = lambda n: F.array_max(F.transform(F.filter("f", lambda x: x["field_name"] == n), lambda x: x["value_int" if n == "amount_minor" else "value_text"])).alias(n)
-    out = out.select("evidence_id", "claim_id", *[pick(n) for n in CLAIM_FIELDS])
+    pick = lambda n: F.max(F.when(F.col("field_name") == n, F.col("value_int" if n == "amount_minor" else "value_text"))).alias(n)
+    out = fields.groupBy("evidence_id", "claim_id").agg(*map(pick, CLAIM_FIELDS))
     return out.withColumn("financial_status", F.coalesce("financial_status", F.lit("UNKNOWN")))
 
 

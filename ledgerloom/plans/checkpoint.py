@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:  # tests and single machines
         path = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .functions import values as V
@@ -634,12 +635,6 @@ def scl35_raw_content(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_replace(F.base64(raw), "\r\n", "").alias("raw"), F.octet_length(raw).cast("bigint").alias("n_bytes"), V.media_type(F.lit(" Text/HTML ; charset=x")).alias("media"))
 
 
-@query_("SELECT page_id, to_base64(encode(html)) AS raw, strlen(html) AS n_bytes, 'text/html' AS media FROM pages")
-def scl35_whole_content(spark, d):
-    """The name under which scl35_raw_content read whole pages first."""
-    return scl35_raw_content(spark, d)
-
-
 @query_(f"WITH {TX} SELECT a.id, a.amount_minor = b.amount_minor AS equal, a.amount_minor = 0 AS zero FROM t a JOIN t b ON b.id = 'L' || a.id[2:] WHERE a.id LIKE 'A%'")
 def scl39_money_equal(spark, d):
     t = transactions(spark, d).select("id", "amount_minor", "currency")
@@ -726,15 +721,60 @@ def scl12_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", html_text("html").alias("text"))
 
 
-@query_("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'READ' WHEN 1 THEN 'UNRECOGNISED' WHEN 2 THEN 'FAILED' ELSE 'FAILED' END AS status,
- CASE WHEN c_custkey % 4 = 0 THEN CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) * 100 AS BIGINT) END AS amount_minor FROM customer""")
+def xhtml(*placed) -> Column:
+    """A document of one page: (x, y, text column) each a block of one line and one word; a NULL text leaves its block out."""
+    block = lambda x, y, t: F.concat(F.lit(f'<block xMin="{x}" yMin="{y}" xMax="0" yMax="{y + 10}"><line xMin="{x}" yMin="{y}"><word xMin="{x}" yMin="{y}">'), t, F.lit("</word></line></block>"))
+    return F.encode(F.concat(F.lit("<doc><page>"), *[F.coalesce(block(*p), F.lit("")) for p in placed], F.lit("</page></doc>")), "UTF-8")
+
+
+def field(name: str, claim: int = 0) -> Column:
+    return F.get("claims", F.lit(claim))[name]["value"].alias(name)
+
+
+@query_("""WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS m, CAST((CAST(abs(c_acctbal) AS DECIMAL(18,2)) + 1) * 100 AS BIGINT) AS a FROM customer)
+ SELECT id, CASE m WHEN 0 THEN 'READ' WHEN 1 THEN 'UNRECOGNISED' ELSE 'FAILED' END AS status, CASE m WHEN 2 THEN 'the statement changed' WHEN 3 THEN 'DISPATCH' END AS problem,
+ CASE WHEN m < 2 THEN 1 ELSE 0 END AS unread_rows, CASE WHEN m = 0 THEN a END AS amount_minor, CASE WHEN m = 0 THEN 'Tienda ' || id END AS merchant,
+ CASE WHEN m = 0 THEN 'Ana ' || id END AS counterparty, CASE WHEN m = 0 THEN 'K' || id END AS tracking_key FROM c""")
 def utf1_statement_interpreters(spark, d):
-    """Account balances as one-line statements: readable, of no known shape, with a contradictory row, and of a wrong media type."""
+    """Account balances as block statements: readable (a purchase, a transfer and a row of no shape), of no known shape, with a
+    direction that contradicts its sign, and of a wrong media type."""
     k = F.col("c_custkey")
-    amount = F.format_number(F.abs("c_acctbal").cast("decimal(18,2)"), 2)
-    text = F.when(k % 4 == 1, "hello").when(k % 4 == 2, F.concat(F.lit("5 ENE 2026 | SPEI recibido de X | -$"), amount)).otherwise(F.concat(F.lit("5 ENE 2026 | Tienda Compra | -$"), amount))
-    ev = table(spark, d, "customer").select(k.cast("string").alias("id"), F.lit("STATEMENT_V1").alias("extraction_profile"), F.when(k % 4 == 3, "text/html").otherwise("text/plain; charset=utf-8").alias("content_type"), F.encode(text, "UTF-8").alias("raw_content"))
-    return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", F.get("claims", F.lit(0))["amount_minor"]["value"].cast("bigint").alias("amount_minor"))
+    m, name = k % 4, k.cast("string")
+    amount = F.format_number(F.abs("c_acctbal").cast("decimal(18,2)") + 1, 2)
+    only = lambda *kinds: F.when(m.isin(list(kinds)), F.lit("5 ENE 2026"))
+    raw = xhtml(
+        (60, 100, F.lit("5 ENE 2026")), (500, 100, F.concat(F.lit("-$"), amount)), (140, 101, F.when(m == 0, F.concat(F.lit("Tienda "), name, F.lit(" Compra"))).when(m == 2, "Bo").otherwise("hello")),
+        (135.84, 115, F.when(m == 2, "Depósito SPEI, Del cliente Bo (Dato no verificado por esta institución)")),
+        (60, 140, only(0)), (500, 140, F.when(m == 0, "+$7.00")), (140, 140, F.concat(F.when(m == 0, "Ana "), name)),
+        (135.84, 155, F.concat(F.when(m == 0, "Depósito SPEI, Del cliente Ana "), name, F.lit(" (Dato no verificado por esta institución), Hora: 10:20:30, Clave de rastreo K"), name, F.lit(" , Concepto x"))),
+        (60, 180, only(0)), (500, 180, F.when(m == 0, "+$1.00")), (140, 180, F.when(m == 0, "SPEI recibido de nadie")),
+    )
+    ev = table(spark, d, "customer").select(name.alias("id"), F.lit("STATEMENT_BLOCKS_V1").alias("extraction_profile"), F.when(m == 3, "text/html").otherwise("application/xhtml+xml; charset=utf-8").alias("content_type"), raw.alias("raw_content"))
+    return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", "problem", "unread_rows", field("amount_minor").cast("bigint").alias("amount_minor"), field("merchant"), field("counterparty", 1), field("tracking_key", 1))
+
+
+@query_("""WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderkey % 5 AS m, o_orderstatus = 'F' AS inward, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS a FROM orders)
+ SELECT id, CASE WHEN m = 4 THEN 'FAILED' ELSE 'READ' END AS status, CASE WHEN m = 4 THEN 'the statement changed' END AS problem, CASE WHEN m < 4 THEN a END AS amount_minor,
+ CASE WHEN m < 4 THEN CASE WHEN inward THEN 'INFLOW' ELSE 'OUTFLOW' END END AS direction, CASE WHEN m = 0 THEN '12345 67890 SHOP ' || id END AS merchant, CASE WHEN m = 1 THEN 'ACME ' || id END AS counterparty,
+ CASE WHEN m < 4 AND id % 3 = 0 THEN 'HSBC' || id END AS tracking_key, CASE WHEN m < 4 THEN strftime(day, '%Y-%m-%d') END AS day FROM o""")
+def utf13_column_statements(spark, d):
+    """Orders as column statements of a month with an annex: a card's line, a charge that names someone, a bare charge, a line of
+    another kind, and a line without its day, which fails the document."""
+    k = F.col("o_orderkey")
+    m, name, day = k % 5, k.cast("string"), F.to_date("o_orderdate")
+    amount = F.concat(F.lit("$"), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2))
+    inward, dmy = F.col("o_orderstatus") == "F", lambda c: F.date_format(c, "dd/MM/yyyy")
+    annex = lambda c: F.when(k % 3 == 0, c)
+    raw = xhtml(
+        (60, 5, dmy(F.trunc(day, "month"))), (120, 5, F.lit("al")), (180, 5, dmy(F.last_day(day))),
+        (45, 20, F.when(m == 4, "40").otherwise(F.day(day).cast("string"))), (60, 20, F.when(m == 0, "12345 67890").when(m.isin(1, 2), "CGO").otherwise("G20")),
+        (150, 20, F.when(m == 0, F.concat(F.lit("SHOP "), name)).when(m == 1, F.concat(F.lit("ACME "), name)).when(m == 3, "PAGO")),
+        (370, 20, F.when(~inward, amount)), (430, 20, F.when(inward, amount)), (520, 20, F.lit("$9.00")),
+        (60, 40, annex(F.when(inward, "SPEI-Recibidos").otherwise("SPEI-Enviados"))), (60, 60, annex(dmy(day))), (130, 60, annex(F.lit("10:20:30"))), (200, 60, annex(amount)), (470, 60, annex(F.concat(F.lit("HSB"), name))),
+    )
+    ev = table(spark, d, "orders").select(name.alias("id"), F.lit("STATEMENT_COLUMNS_V1").alias("extraction_profile"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"))
+    day_told = F.date_format(V.day_in_zone(F.try_to_timestamp(F.get("claims", F.lit(0))["occurred_at"]["value"]), "America/Mexico_City"), "yyyy-MM-dd").alias("day")
+    return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", "problem", field("amount_minor").cast("bigint").alias("amount_minor"), *map(field, ("direction", "merchant", "counterparty", "tracking_key")), day_told)
 
 
 @query_("""WITH m AS (SELECT DISTINCT l_orderkey AS evidence_id, sha256('interpretation:' || l_orderkey) AS id FROM lineitem) SELECT id, evidence_id, 'EMAIL_V1' AS extraction_profile, 0 AS unread_rows FROM m""")

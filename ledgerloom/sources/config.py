@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import SOURCE_TYPES, SOURCES_CONFIG
 
-PROFILES = ("EMAIL_V1", "STATEMENT_V1", "STATEMENT_BLOCKS_V1", "STATEMENT_COLUMNS_V1")
+PROFILES = ("EMAIL_V1", "STATEMENT_BLOCKS_V1", "STATEMENT_COLUMNS_V1")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HTML_BYTES = 4 << 20
+
+
+class TooLarge(ValueError):
+    """The markup is over HTML_BYTES."""
 MIME_DEPTH = 4
 # Elements whose content is dropped, elements that end a line, named entities.
 SILENT = ("script", "style", "head", "title", "noscript")
@@ -36,7 +40,7 @@ def text_of(html: str | None) -> str | None:
     if html is None:
         return None
     if len(html.encode("utf-8", "surrogatepass")) > HTML_BYTES:
-        raise ValueError("HTML over the size limit")
+        raise TooLarge("HTML over the size limit")
     out: list[str] = []
     at, n = 0, len(html)
     while at < n:

@@ -1,17 +1,20 @@
 """Notification e-mails and statements read into claims: one artifact in, none or more claims out.
 
 An artifact that no template knows is an ordinary outcome (no claims, status UNRECOGNISED); one that a template knows
-but cannot read is FAILED with a fixed phrase, never a half-read claim. A failure never leaves its own row.
+but cannot read is FAILED with one of PHRASES_OF, never a half-read claim and never a part of its text. A failure never
+leaves its own row. Statements come as PDFs, which an extractor turns into XHTML, or as that XHTML.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..sources.extractor import Extractor, NotExtracted, by_program
 from . import coordinates, html
 
 # Subjects, labels and months of the templates.
@@ -24,8 +27,20 @@ Claim = dict[str, tuple]
 SCHEMA = "status string, problem string, claims array<map<string,struct<value:string,confidence:string>>>, unread_rows int"
 
 
+# What a failure is told as, whatever its cause said.
+PHRASES_OF = {
+    "amount": "the amount did not parse", "date": "the date did not parse", "timestamp": "the timestamp did not parse", "html": "the artifact has no html part",
+    "size": "the artifact exceeds the size cap", "template": "the template changed", "statement": "the statement changed", "extraction": "the statement could not be extracted",
+    "coordinates": "the coordinate document could not be read", "encoding": "the encoding table could not be read", "other": "the artifact could not be read", "dispatch": "DISPATCH",
+}
+
+
 class Unreadable(ValueError):
-    """A template was recognised and a required part of it could not be read."""
+    """A part that could not be read; its kind is a key of PHRASES_OF."""
+
+    @property
+    def phrase(self) -> str:
+        return PHRASES_OF[self.args[0]]
 
 
 def money(text: str | None) -> str:
@@ -47,7 +62,7 @@ def wall(text: str | None, clock: str | None = None) -> str:
     if m[4] is None and clock:
         c = re.fullmatch(r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?", clock.strip())
         if not c:
-            raise Unreadable("clock")
+            raise Unreadable("date")
         hour = c[1], c[2], c[3]
     try:
         return pd.Timestamp(int(m[3]), month or 0, int(m[1]), *[int(x or 0) for x in hour]).tz_localize("America/Mexico_City").tz_convert("UTC").strftime("%Y-%m-%dT%H:%M:%S.000Z")
@@ -102,7 +117,7 @@ def transfer_in(lines: list[str]) -> Claim:
 def card_payment(lines: list[str]) -> Claim:
     at = next((i for i, x in enumerate(lines) if between([x], "el pago que hiciste a tu ", " por")), None)
     if at is None:
-        raise Unreadable("payment sentence")
+        raise Unreadable("template")
     amount = next((x for x in lines[at:] if x.startswith("$") and " " not in x and "\t" not in x), None)
     return base(money(amount), "MEDIUM", "OUTFLOW")
 
@@ -135,11 +150,10 @@ def movement(date: str, text: str, detail: str, amount: str) -> Claim | None:
     own = next((w for p, w in INTERNAL.items() if text.startswith(p)), None)
     party = next(((field, m[1]) for shape, field in DESCRIPTORS if (m := shape.fullmatch(text))), None)
     spei = next((x for p, x in SPEI.items() if detail.startswith(p)), None)
-    spoken = re.fullmatch(r"SPEI(?: .*?)?? (?:de|a) (.*)", text, re.S)
-    if not (text.endswith(" Compra") or own or party or text in PHRASES or spei or spoken):
+    if not (text.endswith(" Compra") or own or party or text in PHRASES or spei):
         return None
     if amount[:1] not in ("+", "-"):
-        raise Unreadable("sign")
+        raise Unreadable("statement")
     way = "OUTFLOW" if amount[0] == "-" else "INFLOW"
     claim = base(money(amount[1:]), "HIGH", way) | {"occurred_at": (wall(date), "HIGH"), "financial_status": ("SETTLED", "MEDIUM")}
     if text.endswith(" Compra"):
@@ -154,144 +168,150 @@ def movement(date: str, text: str, detail: str, amount: str) -> Claim | None:
         marker, said = spei
         name, end, _ = detail.partition(marker)[2].partition(UNVERIFIED)
         if said != way:
-            raise Unreadable("direction")
+            raise Unreadable("statement")
         if not end or not name.strip():
-            raise Unreadable("party")
+            raise Unreadable("statement")
         clock, key = CLOCK.search(detail), KEY.search(detail)
         claim |= {"counterparty": (name.strip(), "HIGH"), "occurred_at": (wall(date, clock and clock[1]), "HIGH")}
         return claim | ({"tracking_key": (key[1].strip(), "HIGH")} if key and key[1].strip() else {})
-    if spoken:
-        if way != ("INFLOW" if text.startswith("SPEI recibido") else "OUTFLOW"):
-            raise Unreadable("direction")
-        return claim | {"counterparty": (spoken[1], "HIGH")}
     return None  # the mirror of a row of the account
 
 
-def movement_rows(lines: list[str]) -> tuple[list[Claim], int]:
-    """Statement lines `date | description | signed amount`, a row's detail in the lines below it: claims, and the number of rows that no shape reads."""
-    rows: list[tuple[str, str, list[str], str]] = []
-    for line in lines:
-        parts = [p.strip() for p in line.split("|")]
-        if len(parts) == 3 and DATE.fullmatch(parts[0]):
-            rows.append((parts[0], parts[1], [], parts[2]))
-        elif rows and line.strip():
-            rows[-1][2].append(line.strip())
-    return claims_and_unread([(date, text, " ".join(detail), amount) for date, text, detail, amount in rows])
-
-
 def claims_and_unread(rows: list[tuple[str, str, str, str]]) -> tuple[list[Claim], int]:
     read = [movement(*r) for r in rows]
     return [c for c in read if c is not None], sum(c is None for c in read)
 
 
-def read_mail(raw: bytes) -> tuple[str, str | None, list[Claim]]:
-    """(status, problem, claims) of one message."""
+def read_mail(raw: bytes) -> tuple[list[Claim] | None, int]:
+    """Claims of one message, None where no template knows it."""
     try:
         subject, body = html.html_body(raw)
+    except html.TooLarge:
+        raise Unreadable("size") from None
     except ValueError:
-        return "FAILED", "MIME", []
+        raise Unreadable("html") from None
     template = SUBJECTS.get(subject)
     if template is None:
-        return "UNRECOGNISED", None, []
+        return None, 0
     try:
-        return "READ", None, [TEMPLATES[template](html.text_of(body).split("\n"))]
+        return [TEMPLATES[template](html.text_of(body).split("\n"))], 0
+    except html.TooLarge:
+        raise Unreadable("size") from None
     except Unreadable as e:
-        return "FAILED", str(e), []
+        raise Unreadable("timestamp" if e.args[0] == "date" else e.args[0]) from None
 
 
-def read_statement(raw: bytes) -> tuple[str, str | None, list[Claim], int]:
-    """(status, problem, claims, rows unread)."""
+PERIOD = re.compile(r"(\d{2}/\d{2}/\d{4}) al (\d{2}/\d{2}/\d{4})", re.ASCII)
+
+
+def coordinates_of(read: Callable, xhtml: bytes):
     try:
-        claims, unread = movement_rows(raw.decode("utf-8", "replace").split("\n"))
-    except Unreadable as e:
-        return "FAILED", str(e), [], 0
-    return ("READ" if claims else "UNRECOGNISED"), None, claims, unread
+        return read(xhtml)
+    except (coordinates.Refused, expat.ExpatError, ValueError, AssertionError):
+        raise Unreadable("coordinates") from None
 
 
-PERIOD = re.compile(r"(\d{2}/\d{2}/\d{4}) al (\d{2}/\d{2}/\d{4})", re.ASCII)
+def glyphs_of(pdf: bytes | None) -> dict[int, str] | None:
+    """The table of a PDF's own encoding; None where it has none, or where there is no PDF."""
+    try:
+        return coordinates.glyph_table(pdf) if pdf is not None else None
+    except ValueError:
+        raise Unreadable("encoding") from None
 
 
-def read_columns(raw: bytes) -> tuple[str, str | None, list[Claim]]:
+def described(text: str) -> Claim:
+    """Who a ledger line names: a card's whole description, or what follows CGO; nobody where there is neither."""
+    if re.match(r"(\s*[0-9]){10}", text, re.ASCII):
+        return {"merchant": (text, "MEDIUM")}
+    rest = text.removeprefix("CGO").strip()
+    return {"counterparty": (rest, "MEDIUM")} if text.startswith("CGO") and rest else {}
+
+
+def read_columns(xhtml: bytes, pdf: bytes | None = None) -> tuple[list[Claim] | None, int]:
     """A column statement: day numbers become dates inside its period; an annex entry that fits one row alone completes it."""
-    placed = coordinates.words(raw)
+    placed = coordinates.decoded(coordinates_of(coordinates.words, xhtml), glyphs_of(pdf))
     lines: dict[tuple[int, float], list[str]] = {}
     for w in placed:
         lines.setdefault((w.page, w.y), []).append(w.text)
     found = next((m for x in lines.values() if (m := PERIOD.search(" ".join(x)))), None)
     if found is None:
-        return "FAILED", "period", []
-    days = pd.date_range(*[pd.to_datetime(d, format="%d/%m/%Y") for d in found.groups()])
-    claims: list[Claim] = []
+        raise Unreadable("statement")
     try:
-        for row in coordinates.column_rows(placed):
-            day = next((d for d in days if d.day == int(row.first("day"))), None)
-            cargo, abono = row.first("cargo"), row.first("abono")
-            if day is None or bool(cargo) == bool(abono):
-                raise Unreadable("row")
-            claim = base(money(cargo or abono), "HIGH", "OUTFLOW" if cargo else "INFLOW")
-            claim["occurred_at"] = (wall(f"{day.day}/{day.month}/{day.year}"), "HIGH")
-            text = " ".join(row.cells["description"])
-            if re.match(r"(\s*[0-9]){10}", text, re.ASCII):
-                claim["merchant"] = (re.sub(r"\A[0-9\s]+", "", text, flags=re.ASCII) or text, "MEDIUM")
-            elif text.startswith("CGO"):
-                claim["counterparty"] = (text.removeprefix("CGO").strip() or text, "MEDIUM")
-            claims.append(claim)
-        fits: dict[tuple, list[Claim]] = {}
-        for c in claims:
-            fits.setdefault((c["occurred_at"][0], c["amount_minor"][0], c["direction"][0]), []).append(c)
-        for a in coordinates.annex_rows(placed):
-            d, m, y = a["date"].split("/")
-            hits = fits.get((wall(f"{int(d)}/{int(m)}/{y}"), money(a["amount"]), a["direction"]), [])
-            if len(hits) == 1:
-                if a["key"]:
-                    hits[0]["tracking_key"] = (a["key"], "HIGH")
-                if a["clock"]:
-                    hits[0]["occurred_at"] = (wall(f"{int(d)}/{int(m)}/{y}", a["clock"]), "HIGH")
-    except Unreadable as e:
-        return "FAILED", str(e), []
-    return ("READ" if claims else "UNRECOGNISED"), None, claims
-
-
-def read_blocks(raw: bytes) -> tuple[str, str | None, list[Claim], int]:
-    """A block statement: its rows read by the shapes of movement."""
-    rows = coordinates.block_rows(coordinates.parse(raw))
+        days = pd.date_range(*[pd.to_datetime(d, format="%d/%m/%Y") for d in found.groups()])
+    except ValueError:
+        raise Unreadable("date") from None
+    claims: list[Claim] = []
+    for row in coordinates.column_rows(placed):
+        day = next((d for d in days if d.day == int(row.first("day"))), None)
+        cargo, abono = row.first("cargo"), row.first("abono")
+        if day is None or bool(cargo) == bool(abono):
+            raise Unreadable("statement")
+        claim = base(money(cargo or abono), "HIGH", "OUTFLOW" if cargo else "INFLOW")
+        claim["occurred_at"] = (wall(f"{day.day}/{day.month}/{day.year}"), "HIGH")
+        claims.append(claim | described(" ".join(" ".join(row.cells["description"]).split())))
+    fits: dict[tuple, list[Claim]] = {}
+    for c in claims:
+        fits.setdefault((c["occurred_at"][0], c["amount_minor"][0], c["direction"][0]), []).append(c)
+    for a in coordinates.annex_rows(placed):
+        d, m, y = a["date"].split("/")
+        hits = fits.get((wall(f"{int(d)}/{int(m)}/{y}"), money(a["amount"]), a["direction"]), [])
+        if len(hits) == 1:
+            if a["key"]:
+                hits[0]["tracking_key"] = (a["key"], "HIGH")
+            if a["clock"]:
+                hits[0]["occurred_at"] = (wall(f"{int(d)}/{int(m)}/{y}", a["clock"]), "HIGH")
+    return claims, 0
+
+
+def read_blocks(xhtml: bytes, pdf: bytes | None = None) -> tuple[list[Claim], int]:
+    """A block statement: its rows read by the shapes of movement, and the number of rows that no shape reads."""
+    rows = coordinates.block_rows(coordinates_of(coordinates.parse, xhtml))
+    return claims_and_unread([(r.said("date"), r.said("beside"), r.said("below"), r.said("amount")) for r in rows])
+
+
+XHTML, PDF, MAGIC = "application/xhtml+xml", "application/pdf", b"%PDF-"
+#: By extraction profile: the media types that it takes, and its reader. A PDF must begin with MAGIC.
+REGISTRY: dict[str, tuple[tuple[str, ...], Callable]] = {
+    "EMAIL_V1": (("message/rfc822",), read_mail), "STATEMENT_BLOCKS_V1": ((PDF, XHTML), read_blocks), "STATEMENT_COLUMNS_V1": ((PDF, XHTML), read_columns),
+}
+
+
+def read_whole(profile: str | None, media: str | None, raw: bytes | None, extract: Extractor | None = None) -> tuple[str, str | None, list[Claim], int]:
+    """(status, problem, claims, rows that no shape reads), by profile, media type and first bytes; whatever goes wrong stays with this artifact."""
+    types, reader = REGISTRY.get(profile or "", ((), None))
+    kind = (media or "").split(";")[0].strip().lower()
+    if raw is None or kind not in types or (kind == PDF and not bytes(raw).startswith(MAGIC)):
+        return "FAILED", PHRASES_OF["dispatch"], [], 0
     try:
-        claims, unread = claims_and_unread([(r.date, " ".join(r.beside), " ".join(r.below), r.amount) for r in rows])
+        if kind == PDF:
+            claims, unread = reader((extract or by_program())(bytes(raw)), bytes(raw))
+        else:
+            claims, unread = reader(bytes(raw))
     except Unreadable as e:
-        return "FAILED", str(e), [], 0
-    return ("READ" if claims else "UNRECOGNISED"), None, claims, unread
-
-
-#: Interpreter by extraction profile, with the media type that it takes.
-REGISTRY = {"EMAIL_V1": ("message/rfc822", read_mail), "STATEMENT_V1": ("text/plain", read_statement), "STATEMENT_BLOCKS_V1": ("application/xhtml+xml", read_blocks), "STATEMENT_COLUMNS_V1": ("application/xhtml+xml", read_columns)}
-
-
-def read_whole(profile: str | None, media: str | None, raw: bytes | None) -> tuple[str, str | None, list[Claim], int]:
-    """Dispatch by profile and media type; whatever goes wrong stays with this artifact. Last, the rows that no shape reads."""
-    known = REGISTRY.get(profile or "")
-    if known is None or (media or "").split(";")[0].strip().lower() != known[0] or raw is None:
-        return "FAILED", "DISPATCH", [], 0
-    try:
-        status, problem, claims, *unread = known[1](bytes(raw))
-        return status, problem, claims, sum(unread)
-    except Exception as e:  # noqa: BLE001  an artifact's failure must not end its batch
-        return "FAILED", type(e).__name__, [], 0
+        return "FAILED", e.phrase, [], 0
+    except NotExtracted:
+        return "FAILED", PHRASES_OF["extraction"], [], 0
+    except Exception:  # noqa: BLE001  an artifact's failure must not end its batch, and its words must not be told
+        return "FAILED", PHRASES_OF["other"], [], 0
+    return ("READ" if claims else "UNRECOGNISED"), None, claims or [], unread
 
 
-def read_one(profile: str | None, media: str | None, raw: bytes | None) -> tuple[str, str | None, list[Claim]]:
-    return read_whole(profile, media, raw)[:3]
+def read_one(profile: str | None, media: str | None, raw: bytes | None, extract: Extractor | None = None) -> tuple[str, str | None, list[Claim]]:
+    return read_whole(profile, media, raw, extract)[:3]
 
 
-def interpret(evidence: DataFrame) -> DataFrame:
-    """evidence (id, extraction_profile, content_type, raw_content) to (id, status, problem, claims, unread_rows)."""
+def interpret(evidence: DataFrame, extract: Extractor | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """evidence (id, extraction_profile, content_type, raw_content) to (id, status, problem, claims, unread_rows, carried columns).
+    extract: turns a PDF into XHTML; Poppler's program if not given."""
 
     def run(batches):
         for pdf in batches:
-            rows = [read_whole(*r) for r in zip(pdf["extraction_profile"], pdf["content_type"], pdf["raw_content"])]
-            yield pd.DataFrame({
-                "id": pdf["id"], "status": [r[0] for r in rows], "problem": [r[1] for r in rows],
-                "claims": [[{k: {"value": v[0], "confidence": v[1]} for k, v in c.items()} for c in r[2]] for r in rows],
-                "unread_rows": [r[3] for r in rows],
-            })
-
-    return evidence.select("id", "extraction_profile", "content_type", "raw_content").mapInPandas(run, f"id string, {SCHEMA}")
+            rows = [read_whole(*r, extract) for r in zip(pdf["extraction_profile"], pdf["content_type"], pdf["raw_content"])]
+            out = pdf[["id", *carry]].copy()
+            out["status"], out["problem"], out["unread_rows"] = [r[0] for r in rows], [r[1] for r in rows], [r[3] for r in rows]
+            out["claims"] = [[{k: {"value": v[0], "confidence": v[1]} for k, v in c.items()} for c in r[2]] for r in rows]
+            yield out
+
+    kept = evidence.select("id", *carry).schema
+    asked = evidence.select("id", *dict.fromkeys((*carry, "extraction_profile", "content_type", "raw_content")))
+    return asked.mapInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kept)}, {SCHEMA}")

@@ -2,21 +2,10 @@
 
 import pytest
 
+from helpers import document
 from ledgerloom.text import coordinates as C
 
 
-def document(*pages):
-    """Pages of (x, y, bottom, text) blocks."""
-    out = []
-    for blocks in pages:
-        body = "".join(
-            f'<block xMin="{x}" yMin="{y}" xMax="0" yMax="{b}"><line xMin="{x}" yMin="{y}">' + "".join(f'<word xMin="{x + 30 * i}" yMin="{y}">{w}</word>' for i, w in enumerate(t.split())) + "</line></block>"
-            for x, y, b, t in blocks
-        )
-        out.append(f"<page><flow>{body}</flow></page>")
-    return ("<!DOCTYPE html><html xmlns='http://www.w3.org/1999/xhtml'><body><doc>" + "".join(out) + "</doc></body></html>").encode()
-
-
 def test_block_rows():
     doc = document(
         [
@@ -26,9 +15,14 @@ def test_block_rows():
         [(135.84, 20, 30, "carried over"), (60, 40, 50, "8 ENE 2026"), (500, 40, 50, "-$8.00"), (500, 40, 50, "-$9.00")],
     )
     rows = C.block_rows(C.parse(doc))
-    assert [(r.page, r.date, r.amount) for r in rows] == [(1, "5 ENE 2026", "-$10.00"), (1, "7 ENE 2026", "+$7.00"), (2, "8 ENE 2026", "-$8.00")]
-    assert rows[0].beside == ["Tienda Compra"] and rows[0].below == ["extra words"] and rows[0].converted == ["rate", "USD 1.00"]
-    assert rows[1].below == ["carried over"]
+    assert [(r.place[0], r.said("date"), r.said("amount")) for r in rows] == [(1, "5 ENE 2026", "-$10.00"), (1, "7 ENE 2026", "+$7.00"), (2, "8 ENE 2026", "-$8.00")]
+    assert rows[0].texts["beside"] == ["Tienda Compra"] and rows[0].texts["below"] == ["extra words"] and rows[0].texts["converted"] == ["rate", "USD 1.00"]
+    assert rows[1].texts["below"] == ["carried over"]
+    # Of two lines in reach of a text, equally near, the later one; two dates and two amounts with the same edges go in order.
+    near = C.block_rows(C.parse(document([(60, 100, 110, "1 ENE 2026"), (500, 100, 110, "-$1.00"), (60, 103, 113, "2 ENE 2026"), (500, 103, 113, "-$2.00"), (140, 101.5, 111, "between")])))
+    assert [r.texts["beside"] for r in near] == [[], ["between"]]
+    twin = C.block_rows(C.parse(document([(60, 100, 110, "1 ENE 2026"), (70, 100, 110, "2 ENE 2026"), (500, 100, 110, "-$1.00"), (520, 100, 110, "-$2.00")])))
+    assert [(r.said("date"), r.said("amount")) for r in twin] == [("1 ENE 2026", "-$1.00"), ("2 ENE 2026", "-$2.00")]
 
 
 def test_column_rows():
@@ -47,11 +41,13 @@ def test_annex_rows():
 def test_glyphs_and_limits():
     names = " ".join(f"/EX{65 + i % 26:03d}000" for i in range(40))
     table = C.glyph_table(f"x /Differences [ 1 {names} ] y".encode())
-    assert C.with_glyphs("\x01\x02é", table) == "ABé" and C.glyph_table(b"none") is None and C.with_glyphs("x", None) == "x"
+    assert C.with_glyphs("\x01\x02é", table) == "AB" and C.glyph_table(b"none") is None and C.with_glyphs("x", None) == "x"
     for bad in (b"/Differences [ 1 /A ]", b"/Differences [ /EX065000 ]", b"/Differences [ 300 /EX065000 ]"):
         with pytest.raises(ValueError):
             C.glyph_table(bad)
     assert C.with_glyphs("’", {0x92: "Q"}) == "Q" and C.with_glyphs("字", {0x92: "Q"}) == "字"
+    assert C.with_glyphs("a\nb\x01é\t\r", {97: "X", 10: "Z"}) == "X\n\t\r" and C.with_glyphs("ab", {97: "\0", 98: "B"}) == "B" and C.with_glyphs("€", {0x80: "E", 0x20AC: "no"}) == "E"
+    assert [w.text for w in C.decoded([C.Word(1, 0, 0, "\x01"), C.Word(1, 0, 0, "\x90")], {1: "A"})] == ["A"]
     bomb = "<?xml version='1.0' encoding='{}'?><!DOCTYPE x [<!ENTITY a 'boom'>]><x><page><word xMin='1' yMin='1'>&a;&a;</word></page></x>"
     for read in (C.parse, C.words):
         for coding in ("utf-8", "utf-16"):
@@ -73,5 +69,36 @@ def test_statement_interpreters():
     ])
     status, problem, claims = I.read_one("STATEMENT_COLUMNS_V1", "application/xhtml+xml", columns)
     assert (status, problem, len(claims)) == ("READ", None, 1)
-    assert claims[0]["tracking_key"] == ("HSBC77", "HIGH") and claims[0]["occurred_at"][0] == "2026-01-09T16:20:30.000Z" and claims[0]["merchant"][0] == "SHOP"
-    assert I.read_one("STATEMENT_COLUMNS_V1", "application/xhtml+xml", blocks)[:2] == ("FAILED", "period")
+    assert claims[0]["tracking_key"] == ("HSBC77", "HIGH") and claims[0]["occurred_at"][0] == "2026-01-09T16:20:30.000Z" and claims[0]["merchant"][0] == "1234567890 SHOP"
+    assert I.read_one("STATEMENT_COLUMNS_V1", "application/xhtml+xml", blocks)[:2] == ("FAILED", I.PHRASES_OF["statement"])
+    line = lambda *words: I.read_one("STATEMENT_COLUMNS_V1", I.XHTML, document([(60, 5, 6, "01/01/2026"), (120, 5, 6, "al"), (180, 5, 6, "31/01/2026"), (45, 20, 21, "9"), *[(60 + 40 * i, 20, 21, w) for i, w in enumerate(words)], (430, 20, 21, "$4.00")]))
+    named = lambda *words: {k: v for k, v in line(*words)[2][0].items() if k in ("merchant", "counterparty")}
+    assert named("12 345", "67890", "SHOP") == {"merchant": ("12 345 67890 SHOP", "MEDIUM")} and named("123456789", "SHOP") == {}
+    assert named("CGO") == {} and named("CGO", "ACME", "SA") == {"counterparty": ("ACME SA", "MEDIUM")} and named("G20", "x") == {} and named("NETNM", "DEPOSITO") == {}
+    assert I.read_one("STATEMENT_BLOCKS_V1", I.XHTML, b"<doc><page>")[:2] == ("FAILED", I.PHRASES_OF["coordinates"])
+    assert I.read_one("STATEMENT_BLOCKS_V1", I.XHTML, document([]))[0] == "UNRECOGNISED"
+
+
+def test_pdf_goes_through_an_extractor(tmp_path):
+    """Magic, the glyph table of the PDF itself, a program that is missing, fails, hangs or writes too much."""
+    import sys
+
+    from ledgerloom.sources.extractor import NotExtracted, by_program
+    from ledgerloom.text import interpreters as I
+
+    code = {c: i + 128 for i, c in enumerate(dict.fromkeys("0123456789/al$.CGO SHPQRTUVWXYZBDEFIJKLMN"))}
+    hidden = lambda text: "".join(bytes([code[c]]).decode("latin-1") for c in text)
+    names = " ".join(f"/EX{ord(c):03d}000" for c in code)
+    pdf = f"%PDF-1.7 /Differences [ 128 {names} ]".encode()
+    page = document([(x, y, y + 1, hidden(t)) for x, y, t in [(60, 5, "01/01/2026"), (120, 5, "al"), (180, 5, "31/01/2026"), (45, 20, "9"), (60, 20, "CGO"), (100, 20, "SHOP"), (370, 20, "$4.00")]])
+    status, problem, claims = I.read_one("STATEMENT_COLUMNS_V1", "application/pdf", pdf, lambda raw: page)
+    assert (status, problem) == ("READ", None) and claims[0]["counterparty"] == ("SHOP", "MEDIUM") and claims[0]["amount_minor"] == ("400", "HIGH")
+    assert I.read_one("STATEMENT_COLUMNS_V1", "application/pdf", b" " + pdf, lambda raw: page)[:2] == ("FAILED", "DISPATCH")
+    assert I.read_one("STATEMENT_COLUMNS_V1", "application/pdf", b"%PDF-1.7 /Differences [ 128 /A ]", lambda raw: page)[:2] == ("FAILED", I.PHRASES_OF["encoding"])
+    assert I.read_one("EMAIL_V1", "application/pdf", pdf)[:2] == ("FAILED", "DISPATCH")
+    assert I.read_one("STATEMENT_BLOCKS_V1", "application/pdf", pdf, by_program(("/no/such/program",)))[:2] == ("FAILED", I.PHRASES_OF["extraction"])
+    program = lambda text, **bounds: by_program((sys.executable, "-c", f"import sys, time; raw = sys.stdin.buffer.read(); {text}"), **bounds)
+    assert program("sys.stdout.buffer.write(raw[::-1])")(b"abc" * 100_000) == b"cba" * 100_000
+    for bad in (program("sys.exit(1)"), program("time.sleep(60)", seconds=0.5), program("print('x' * 1000)", most=100)):
+        with pytest.raises(NotExtracted):
+            bad(b"x")
