@@ -13,22 +13,39 @@ def pair_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], order: l
     return side(left, names[0]).join(side(right, names[1]), [*keys, "__r"]).drop("__r")
 
 
-def nearest_within(points: DataFrame, rows: DataFrame, tolerance: int) -> DataFrame:
+def _cell(y: str, tolerance: float) -> Column:
+    """Cells as wide as the tolerance: what is within it of a point is in the point's cell or one beside it."""
+    return F.floor(F.col(y) / F.lit(tolerance)) if tolerance else F.col(y)
+
+
+def _around(points: DataFrame, tolerance: float) -> DataFrame:
+    """points once for each cell in reach."""
+    cell = _cell("y", tolerance)
+    return points.withColumn("__cell", F.explode(F.array(cell - 1, cell, cell + 1) if tolerance else F.array(cell)))
+
+
+def nearest_within(points: DataFrame, rows: DataFrame, tolerance: float) -> DataFrame:
     """Each point (page, y, ...) with the row (page, row_y, ...) nearest in y, within the tolerance; the later row wins ties.
 
-    An equi-join on the 2 * tolerance + 1 candidate places, not a range join; the best by a combinable aggregate.
+    An equi-join on cells of the tolerance's width, not a range join, for whole and other numbers; the best by a combinable
+    aggregate. Points that are equal in all columns count once.
     """
-    keys = [c for c in points.columns]
-    spread = points.withColumn("row_y", F.explode(F.sequence(F.col("y") - tolerance, F.col("y") + tolerance)))
-    near = spread.join(rows, ["page", "row_y"])
-    best = near.groupBy(*keys).agg(F.min_by(F.struct("row_y", *[c for c in rows.columns if c not in ("page", "row_y")]), F.struct(F.abs(F.col("row_y") - F.col("y")), -F.col("row_y"))).alias("best"))
-    return best.select(*keys, "best.*")
+    near = _around(points, tolerance).join(rows.withColumn("__cell", _cell("row_y", tolerance)), ["page", "__cell"]).where(F.abs(F.col("row_y") - F.col("y")) <= tolerance)
+    rest = [c for c in rows.columns if c not in ("page", "row_y")]
+    best = near.groupBy(*points.columns).agg(F.min_by(F.struct("row_y", *rest), F.struct(F.abs(F.col("row_y") - F.col("y")), -F.col("row_y"))).alias("best"))
+    return best.select(*points.columns, "best.*")
 
 
-def near_any(points: DataFrame, rows: DataFrame, tolerance: int) -> DataFrame:
+def near_any(points: DataFrame, rows: DataFrame, tolerance: float) -> DataFrame:
     """Points with any row of their page within the tolerance in y."""
-    places = rows.withColumn("y", F.explode(F.sequence(F.col("y") - tolerance, F.col("y") + tolerance))).select("page", "y").distinct()
-    return points.join(places, ["page", "y"], "left_semi")
+    places = rows.select("page", F.col("y").alias("row_y"), _cell("y", tolerance).alias("__cell")).distinct()
+    cell = _cell("y", tolerance)
+    near = None
+    for shift in (-1, 0, 1) if tolerance else (0,):
+        side = places.select("page", "row_y", (F.col("__cell") - shift).alias("__cell"))
+        near = side if near is None else near.unionByName(side)
+    at = points.withColumn("__cell", cell).alias("p")
+    return at.join(near.alias("r"), (F.col("p.page") == F.col("r.page")) & (F.col("p.__cell") == F.col("r.__cell")) & (F.abs(F.col("r.row_y") - F.col("p.y")) <= tolerance), "left_semi").drop("__cell")
 
 
 def last_above(df: DataFrame, keys: list[str], order: str, is_row: Column, out: str = "above") -> DataFrame:

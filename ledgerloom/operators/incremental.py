@@ -21,7 +21,8 @@ from ..plans.commits import Snapshot
 from ..schemas import CANDIDATE, TRANSACTION
 from . import match
 
-PARTS = 64
+#: Parts that the index is split into, the same for the life of a ledger: more for larger ones.
+PARTS = 16
 ROW = "struct<id:string,direction:string,counterparty:string,source_id:string>"
 KEYED = f"sweep string, key string, row {ROW}"
 SCHEMAS = {
@@ -62,16 +63,21 @@ class Blocks:
 
     def stored(self, table: str, wanted: DataFrame, on: list[str]) -> DataFrame:
         """Rows of a stored table that wanted has keys for, read from the parts that these are in."""
-        wanted = wanted.select(*on).distinct().withColumn("part", part_of(*on))
-        parts = sorted(r[0] for r in wanted.select("part").distinct().collect())  # PARTS at most
-        rows = self.snap.read(table).where(F.col("part").isin(parts))
-        if "sweep" in on:
-            rows = rows.where(F.col("sweep").isin(sorted(r[0] for r in wanted.select("sweep").distinct().collect())))  # three at most
-        return rows.join(wanted.select(*on), on, "left_semi")
+        if table not in self.snap.tables:
+            return self.snap.read(table)
+        wanted = wanted.select(*on).distinct()
+        split = [c for c in SPLIT[table] if c != "part" and c in on]
+        parts = wanted.select(part_of(*on).alias("part"), *split).distinct().collect()  # three times PARTS at most
+        rows = self.snap.read(table)
+        for c in ("part", *split):
+            rows = rows.where(F.col(c).isin(sorted({r[c] for r in parts})))
+        return rows.join(wanted, on, "left_semi")
 
     def open(self, keyed: DataFrame) -> DataFrame:
         """Rows (sweep, key, row) whose transactions are open."""
         ids = keyed.select(F.col("row.id").alias("id")).distinct()
+        if self.states is None and "states" not in self.snap.tables:
+            return keyed
         closed = self.stored("states", ids, ["id"]).select("id", "transaction_state", "reconciliation_state", "step")
         if self.states is not None:
             closed = closed.unionByName(self.states.select(*closed.columns))
@@ -111,7 +117,8 @@ class Blocks:
         else:
             again = lost | ((F.col("n_left") > 0) & (F.col("now") == 2))
         at = cut(at.withColumn("again", again & (F.col("now") > 0)))
-        whole = cut(self.members(at.where("again")))
+        again = at.where("again")
+        whole = cut(self.members(again)) if again.limit(1).count() else self.new_keys.where("false")
         fresh = at.where("not again").withColumn("centre", F.when(F.col("was") > 0, F.col("head")).otherwise(F.col("least")))
         if star:
             grown = adds.join(fresh.where("n_came > 0").select("sweep", "key", "centre"), ["sweep", "key"]).where("row.id > centre.id").select(F.col("centre").alias("left"), F.col("row").alias("right"))
@@ -126,7 +133,7 @@ class Blocks:
         gone = at.where("now <= 0").select("sweep", "key", F.lit(None).cast(ROW).alias("head"), F.lit(0).cast("long").alias("n"))
         heads = cut(renewed.unionByName(kept).unionByName(gone).withColumn("step", F.lit(self.step).cast("long")).withColumn("part", part_of("sweep", "key")))
         self.heads = heads if self.heads is None else self.heads.unionByName(heads)
-        decided = match.decided(found, sweep)
+        decided = cut(match.decided(found, sweep))
         fresh = cut(decided.join(self._prior(decided), match.PAIR, "left_anti").withColumns({"step": F.lit(self.step).cast("long"), "part": part_of("left_ref")}))
         self.candidates = fresh if self.candidates is None else self.candidates.unionByName(fresh)
         return fresh

@@ -77,6 +77,20 @@ def new_candidates(found: DataFrame, prior: DataFrame) -> DataFrame:
     return found.join(prior.select(*PAIR), PAIR, "left_anti")
 
 
+def merge_problems(tx: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(left_ref, right_ref, problem) of MATCH candidates that may not be merged: ids out of order or equal, and rows that are not
+    there or not active."""
+    state = tx.select(F.col("id"), (F.col("transaction_state") == "ACTIVE").alias("ok"))
+    hits = candidates.where("status = 'MATCH'").select(*PAIR)
+    for side in PAIR:
+        hits = hits.join(state.select(F.col("id").alias(side), F.col("ok").alias(f"{side}_ok")), side, "left")
+    bad = F.array_compact(F.array(
+        F.when(F.col("left_ref") == F.col("right_ref"), "SELF"), F.when(F.col("left_ref") > F.col("right_ref"), "ORDER"),
+        F.when(~F.coalesce("left_ref_ok", F.lit(False)), "SURVIVOR_NOT_ACTIVE"), F.when(~F.coalesce("right_ref_ok", F.lit(False)), "SUPERSEDED_NOT_ACTIVE"),
+    ))
+    return hits.select(*PAIR, F.explode(bad).alias("problem"))
+
+
 def merged(tx: DataFrame, candidates: DataFrame) -> DataFrame:
     """tx after its MATCH candidates: the smaller id survives reconciled, the other is superseded by it."""
     match = candidates.where("status = 'MATCH'")

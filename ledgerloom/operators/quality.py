@@ -56,3 +56,11 @@ def interpretation_checks(membership: DataFrame) -> DataFrame:
     """(interpretation_id, claims, repeats): claims counted, and whether a claim id stands twice."""
     g = membership.groupBy("interpretation_id").agg(F.count("*").alias("claims"), F.count_distinct("claim_id").alias("d"))
     return g.select("interpretation_id", "claims", (F.col("d") < F.col("claims")).alias("repeats"))
+
+
+def point_read(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The evidence rows of some keys (by id, or by source and reference), each checked again as it is read: one that its own
+    constructor would refuse is an error, not an answer."""
+    found = evidence_violations(rows.join(keys.select(*on).distinct(), on, "left_semi"))
+    told = F.concat(F.lit("stored evidence is not valid: "), F.array_join("violations", ", "))
+    return found.withColumn("id", F.when(F.size("violations") > 0, F.raise_error(told).cast("string")).otherwise(F.col("id"))).drop("violations")

@@ -104,3 +104,33 @@ def api_row(tx: DataFrame) -> DataFrame:
         "id", V.decimal_text(F.col("amount_minor"), F.col("currency")).alias("amount"), V.rfc3339(F.col("occurred_at")).alias("occurred_at"),
         "direction", "financial_status", shown.alias("other_party"), V.internal(F.col("counterparty")).alias("internal"),
     )
+
+
+def checked_sum(amount: Column, currency: Column) -> Column:
+    """The sum of amounts of one currency, as an aggregate; amounts of several are an error, as is a sum that no long holds."""
+    mixed = F.min(F.when(amount.isNotNull(), currency)) != F.max(F.when(amount.isNotNull(), currency))
+    return F.when(F.coalesce(mixed, F.lit(False)), F.raise_error(F.lit("amounts of different currencies")).cast("bigint")).otherwise(F.sum(amount))
+
+
+def api_response(tx: DataFrame, support: DataFrame, bridge: DataFrame) -> DataFrame:
+    """The nested row that a machine client sees: absent money and texts are NULL, texts carry their confidence, and evidence is named.
+
+    support: (id, merchant_confidence, counterparty_confidence, account_identifier, account_confidence); bridge: (id, evidence_id)."""
+    ids = bridge.groupBy("id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
+    rows = tx.join(support, "id", "left").join(ids, "id", "left")
+    text = lambda value, confidence: F.when(F.coalesce(F.col(value), F.lit("")) != "", F.struct(F.col(value).alias("value"), F.col(confidence).alias("confidence")))
+    return rows.select(
+        "id", F.when(F.col("amount_minor").isNotNull(), F.struct("amount_minor", "currency")).alias("amount"), "direction", "financial_status", "reconciliation_state", V.rfc3339(F.col("occurred_at")).alias("occurred_at"),
+        text("merchant", "merchant_confidence").alias("merchant"), text("counterparty", "counterparty_confidence").alias("counterparty"), text("account_identifier", "account_confidence").alias("account"),
+        V.internal(F.col("counterparty")).alias("internal"), F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"), F.array().cast("array<string>").alias("relationships"),
+    )
+
+
+def terminal_rows(tx: DataFrame, zone: str = V.ZONE) -> DataFrame:
+    """What a terminal table shows: local time to the minute, money as text, a dash for what is absent."""
+    shown = lambda c: F.coalesce(F.when(V.trim(c) != "", c), F.lit("—"))
+    return tx.select(
+        F.date_format(F.from_utc_timestamp("occurred_at", zone), "yyyy-MM-dd HH:mm").alias("date"), "direction", shown(V.decimal_text(F.col("amount_minor"), F.col("currency"))).alias("amount"),
+        shown(F.when(V.internal(F.col("counterparty")), F.lit("self")).otherwise(F.col("counterparty"))).alias("counterparty"), shown(F.col("merchant")).alias("merchant"),
+        "financial_status", "reconciliation_state", "id",
+    )

@@ -8,12 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .functions import values as V
-from .operators import geometry, lookups, match, quality, query, store
+from .operators import geometry, incremental, lookups, match, quality, query, store
 from .plans import migrations
-from .plans.checkpoint import cut
+from .plans.checkpoint import cut, scratch
+from .plans.commits import Store
 from .plans.projection import claim_fields, table, transactions
 from .schemas import SELF
 from .sources import config, uploads
+from .streaming import pipeline
 from .text.html import html_text
 from .text.interpreters import interpret
 
@@ -134,8 +136,7 @@ def agg8_unread_rows(spark, d):
 
 @query_(f"WITH {TX} SELECT source_id, CASE WHEN count(DISTINCT currency) <= 1 THEN CAST(sum(amount_minor) AS BIGINT) END AS total_minor FROM t GROUP BY 1")
 def agg9_money_add(spark, d):
-    g = transactions(spark, d).groupBy("source_id").agg(F.min("currency").alias("lo"), F.max("currency").alias("hi"), F.sum("amount_minor").alias("s"))
-    return g.select("source_id", F.when(F.col("lo") == F.col("hi"), F.col("s")).alias("total_minor"))
+    return transactions(spark, d).groupBy("source_id").agg(query.checked_sum(F.col("amount_minor"), F.col("currency")).alias("total_minor"))
 
 
 # ---- filters, lists ------------------------------------------------------------------------------------------------
@@ -250,9 +251,40 @@ def prj1_api_row(spark, d):
     return query.api_row(transactions(spark, d))
 
 
-@query_(f"WITH {CLAIMS} SELECT evidence_id, claim_id, amount_minor, currency, direction, coalesce(financial_status, 'UNKNOWN') AS financial_status, merchant, tracking_key, CAST(NULL AS VARCHAR) AS account_identifier, CAST(NULL AS VARCHAR) AS occurred_at, CAST(NULL AS VARCHAR) AS counterparty FROM c")
+@query_(f"""WITH {TX} SELECT id, to_json({{'id': id, 'amount': {{'amount_minor': amount_minor, 'currency': currency}}, 'direction': direction, 'financial_status': financial_status, 'reconciliation_state': 'UNRECONCILED',
+ 'occurred_at': strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || '.000Z', 'merchant': CASE WHEN merchant IS NOT NULL THEN {{'value': merchant, 'confidence': CASE k % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' END}} END,
+ 'counterparty': CASE WHEN counterparty IS NOT NULL THEN {{'value': counterparty, 'confidence': CASE WHEN k % 3 < 2 THEN 'LOW' END}} END, 'account': CASE WHEN k % 9 = 0 THEN {{'value': 'ACC' || k, 'confidence': 'HIGH'}} END,
+ 'internal': self, 'evidence_ids': CASE WHEN k % 4 = 0 THEN CAST([] AS VARCHAR[]) WHEN k % 4 = 1 THEN ['E' || k] ELSE ['E' || k, 'F' || k] END, 'relationships': CAST([] AS VARCHAR[])}}) AS body FROM t""")
+def prj1_api_response(spark, d):
+    """The whole nested response as JSON, absent parts as null."""
+    tx = transactions(spark, d)
+    k = F.substr("id", F.lit(2)).cast("long")
+    support = tx.select("id", F.when(k % 3 == 0, "HIGH").when(k % 3 == 1, "MEDIUM").alias("merchant_confidence"), F.when(k % 3 < 2, "LOW").alias("counterparty_confidence"), F.when(k % 9 == 0, F.concat(F.lit("ACC"), k.cast("string"))).alias("account_identifier"), F.lit("HIGH").alias("account_confidence"))
+    names = lambda *signs: F.array(*[F.concat(F.lit(c), k.cast("string")) for c in signs])
+    bridge = tx.select("id", F.explode(F.when(k % 4 == 1, names("E", "E")).when(k % 4 > 1, names("F", "E", "F"))).alias("evidence_id"))
+    rows = query.api_response(tx, support, bridge)
+    return rows.select("id", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("body"))
+
+
+@query_(f"""WITH {TX} SELECT id, strftime(timezone('America/Mexico_City', timezone('UTC', occurred_at)), '%Y-%m-%d %H:%M') AS date, direction, (amount_minor // 100) || '.' || lpad(CAST(amount_minor % 100 AS VARCHAR), 2, '0') || ' MXN' AS amount,
+ CASE WHEN self THEN 'self' ELSE coalesce(counterparty, '—') END AS counterparty, coalesce(merchant, '—') AS merchant, financial_status, 'UNRECONCILED' AS reconciliation_state FROM t""")
+def snk8_terminal_rows(spark, d):
+    return query.terminal_rows(transactions(spark, d))
+
+
+@query_(f"""WITH {CLAIMS} SELECT evidence_id, claim_id, amount_minor, currency, direction, coalesce(financial_status, 'UNKNOWN') AS financial_status, merchant, tracking_key, CASE WHEN line % 2 = 0 THEN 'ACC' || line END AS account_identifier,
+ CASE WHEN evidence_id % 3 = 0 THEN '2026-01-0' || line END AS occurred_at, CASE WHEN evidence_id % 5 = 0 THEN 'Z' || evidence_id END AS counterparty FROM c""")
 def prj2_claim_pivot(spark, d):
-    return store.pivot_claims(claim_fields(spark, d))
+    """All nine fields; a counterparty that is stated twice gives the greater one."""
+    f = claim_fields(spark, d)
+    k, line = F.col("evidence_id").cast("string"), F.substring_index("claim_id", "-", -1)
+    row = lambda name, text: F.struct(F.lit(name).alias("field_name"), F.lit(None).cast("long").alias("value_int"), text.alias("value_text"), F.lit("LOW").alias("confidence"))
+    more = F.array_compact(F.array(
+        F.when(line.cast("int") % 2 == 0, row("account_identifier", F.concat(F.lit("ACC"), line))), F.when(F.col("evidence_id") % 3 == 0, row("occurred_at", F.concat(F.lit("2026-01-0"), line))),
+        *[F.when(F.col("evidence_id") % 5 == 0, row("counterparty", F.concat(F.lit(c), k))) for c in "ZA"],
+    ))
+    extra = f.where("field_name = 'currency'").select("evidence_id", "claim_id", F.explode(more).alias("f")).select("evidence_id", "claim_id", "f.*")
+    return store.pivot_claims(f.unionByName(extra))
 
 
 @query_("SELECT e.event_id, epoch_ms(coalesce(CASE WHEN event_id % 4 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END, ts)) AS occurred_at, coalesce(event_id % 4 = 0 OR o_orderdate IS NULL, true) AS from_evidence FROM events e LEFT JOIN orders ON o_orderkey = event_id")
@@ -345,13 +377,13 @@ def src12_not_stored(spark, d):
 
 
 def words_on_pages(spark, d):
-    """Line items as coordinates: a part is a page, suppliers give x, days y."""
+    """Line items as coordinates: a supplier is a page, of which there are more in larger tables, and days give y."""
     li = table(spark, d, "lineitem")
     y = (F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")) % 200).cast("int")
-    return li.select((F.col("l_partkey") % 50).alias("page"), y.alias("y"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), "l_returnflag")
+    return li.select(F.col("l_suppkey").alias("page"), y.alias("y"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), "l_returnflag")
 
 
-COORD = "w AS (SELECT l_partkey % 50 AS page, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) % 200 AS INTEGER) AS y, l_orderkey AS k, l_linenumber AS line, l_returnflag FROM lineitem)"
+COORD = "w AS (SELECT l_suppkey AS page, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) % 200 AS INTEGER) AS y, l_orderkey AS k, l_linenumber AS line, l_returnflag FROM lineitem)"
 
 
 @query_(f"""WITH {COORD}, d AS (SELECT *, row_number() OVER (PARTITION BY page, y ORDER BY k, line) AS r FROM w WHERE l_returnflag = 'R'), a AS (SELECT *, row_number() OVER (PARTITION BY page, y ORDER BY k, line) AS r FROM w WHERE l_returnflag = 'A')
@@ -369,6 +401,15 @@ def jn10_nearest_row(spark, d):
     return geometry.nearest_within(w.where("l_returnflag = 'A'").select("page", "y", "k", "line"), rows, 2).select("page", "k", "line", "row_y", "row_k")
 
 
+@query_(f"""WITH {COORD}, rws AS (SELECT page, y / 7.0::DOUBLE AS row_y, min(k) AS row_k FROM w WHERE l_returnflag = 'R' GROUP BY 1, 2), s AS (SELECT page, y / 7.0::DOUBLE AS y, k, line FROM w WHERE l_returnflag = 'A')
+ SELECT page, y, k, line, row_y, row_k FROM (SELECT s.*, row_y, row_k, row_number() OVER (PARTITION BY k, line, s.page, s.y ORDER BY abs(row_y - y), row_y DESC) AS r FROM s JOIN rws ON rws.page = s.page AND abs(row_y - y) <= 0.3::DOUBLE) WHERE r = 1""")
+def jn10_nearest_decimal(spark, d):
+    """The nearest row on coordinates that are no whole numbers."""
+    w = words_on_pages(spark, d).withColumn("y", F.col("y") / F.lit(7.0))
+    rows = w.where("l_returnflag = 'R'").groupBy("page", F.col("y").alias("row_y")).agg(F.min("k").alias("row_k"))
+    return geometry.nearest_within(w.where("l_returnflag = 'A'").select("page", "y", "k", "line"), rows, 0.3).select("page", "y", "k", "line", "row_y", "row_k")
+
+
 @query_("""WITH c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations)
  SELECT conv_id, turn, (SELECT max(p.turn) FROM c p WHERE p.conv_id = c.conv_id AND p.role = 'user' AND p.turn < c.turn) AS above FROM c WHERE role <> 'user'""")
 def jn11_asof_above(spark, d):
@@ -714,6 +755,126 @@ def val5_interpretations(spark, d):
     return quality.interpretation_checks(li)
 
 
+@query_("""SELECT row_number() OVER (ORDER BY event_id % 3 = 0, ts, payload, kind) AS seq, kind AS type, payload, epoch_ms(ts) AS occurred_at FROM (
+ SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'EvidenceIngested' ELSE 'TransactionCreated' END AS kind, CASE WHEN event_id % 2 = 0 THEN '{"evidenceId":' || event_id || '}' ELSE '{"transactionId":' || event_id || '}' END AS payload FROM events)""")
+def snk7_numbered_batches(spark, d):
+    """Events of two kinds in two batches: numbers of the second follow those of the first without a gap."""
+    e = table(spark, d, "events").select("event_id", "ts")
+    out, after = None, 0
+    for part in (e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0")):
+        even = part.where("event_id % 2 = 0").withColumnRenamed("event_id", "evidenceId")
+        odd = part.where("event_id % 2 <> 0").withColumnRenamed("event_id", "transactionId")
+        rows = store.numbered(store.event_body(even, "EvidenceIngested", ["evidenceId"], "ts").unionByName(store.event_body(odd, "TransactionCreated", ["transactionId"], "ts")), after)
+        after, out = after + part.count(), rows if out is None else out.unionByName(rows)
+    return out.select("seq", "type", "payload", ms("occurred_at"))
+
+
+@query_("SELECT CAST(c_custkey AS VARCHAR) AS id, 's' || c_nationkey AS source_id, c_name AS source_reference, 'MANUAL' AS source_type FROM customer WHERE c_custkey % 3 = 0")
+def src11_point_read(spark, d):
+    """Evidence read by source and reference, each row checked again as it is read."""
+    c = table(spark, d, "customer")
+    ev = c.select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("source_id"), F.lit("MANUAL").alias("source_type"), F.col("c_name").alias("source_reference"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("binary").alias("raw_content"), F.lit(SINCE).alias("observed_at"))
+    keys = ev.where(F.col("id").cast("long") % 3 == 0).select("source_id", "source_reference")
+    return quality.point_read(ev, keys, ["source_id", "source_reference"]).select("id", "source_id", "source_reference", "source_type")
+
+
+@query_(f"""WITH {TX}, s AS (SELECT id, CASE WHEN k % 7 = 0 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS state, k FROM t),
+ c AS (SELECT CASE k % 5 WHEN 1 THEN a.id WHEN 2 THEN 'L' || a.id[2:] ELSE a.id END AS l, CASE k % 5 WHEN 1 THEN a.id WHEN 2 THEN a.id WHEN 3 THEN 'missing' ELSE 'L' || a.id[2:] END AS r FROM s a WHERE a.id LIKE 'A%'),
+ j AS (SELECT l, r, x.state AS ls, y.state AS rs FROM c LEFT JOIN s x ON x.id = l LEFT JOIN s y ON y.id = r)
+ SELECT l AS left_ref, r AS right_ref, unnest(list_filter([CASE WHEN l = r THEN 'SELF' END, CASE WHEN l > r THEN 'ORDER' END, CASE WHEN ls IS DISTINCT FROM 'ACTIVE' THEN 'SURVIVOR_NOT_ACTIVE' END, CASE WHEN rs IS DISTINCT FROM 'ACTIVE' THEN 'SUPERSEDED_NOT_ACTIVE' END], lambda x: x IS NOT NULL)) AS problem FROM j""")
+def val7_merge_preconditions(spark, d):
+    """Pairs that may not be merged: with oneself, out of order, and with rows that are missing or no longer active."""
+    t = transactions(spark, d)
+    k = F.substr("id", F.lit(2)).cast("long")
+    t = t.withColumn("transaction_state", F.when(k % 7 == 0, "SUPERSEDED").otherwise("ACTIVE"))
+    other = F.concat(F.lit("L"), F.substr("id", F.lit(2)))
+    pairs = t.where(F.col("id").startswith("A")).select(
+        F.when(k % 5 == 2, other).otherwise(F.col("id")).alias("left_ref"), F.when(k % 5 == 1, F.col("id")).when(k % 5 == 2, F.col("id")).when(k % 5 == 3, "missing").otherwise(other).alias("right_ref"), F.lit("MATCH").alias("status"))
+    return match.merge_problems(t, pairs)
+
+
+@query_("""WITH m AS (SELECT DISTINCT l_orderkey AS evidence_id, sha256('interpretation:' || l_orderkey) AS id FROM lineitem) SELECT id, evidence_id, 'EMAIL_V1' AS extraction_profile, 0 AS unread_rows, 3 AS schema FROM m""")
+def snk10_version_log(spark, d):
+    """Stored tables brought to the newest version, a commit a step."""
+    root = scratch(spark, "migrated")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("claim_id"))
+    Store(spark, root, migrations.VERSIONS[0]).snapshot().commit({"claim_evidence": li})
+    snap = migrations.upgrade(spark, root)
+    return snap.read("interpretations").withColumn("schema", F.lit(snap.marks["schema"]))
+
+
+# ---- the stored pipeline ------------------------------------------------------------------------------------------
+def customer_statements(spark, d):
+    """Customers as stored artifacts: a block statement each, by number readable, of no known shape, unreadable, and of another
+    media type."""
+    k = F.col("c_custkey")
+    m, name = k % 4, k.cast("string")
+    raw = xhtml((60, 100, F.lit("5 ENE 2026")), (500, 100, F.lit("-$10.00")), (140, 101, F.when(m == 1, "hello").otherwise(F.concat(F.lit("Tienda "), name, F.lit(" Compra")))), (60, 140, F.when(m == 2, "6 ENE 2026")), (500, 140, F.lit("-$0.00")), (140, 140, F.lit("Otra Compra")))
+    return table(spark, d, "customer").select(name.alias("id"), F.lit("s").alias("source_id"), F.lit("MANUAL").alias("source_type"), F.col("c_name").alias("source_reference"), F.when(m == 3, "text/html").otherwise("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"), F.lit(SINCE).alias("observed_at"))
+
+
+@query_("""WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS m FROM customer)
+ SELECT id, CASE WHEN m < 2 THEN 'EXTRACTED' ELSE 'RECEIVED' END AS processing_stage, CASE m WHEN 2 THEN 'the amount did not parse' WHEN 3 THEN 'DISPATCH' END AS problem, 1 AS attempts,
+ CASE WHEN m = 0 THEN 1 ELSE 0 END AS claims, CASE WHEN m = 0 THEN 6 ELSE 0 END AS fields, CASE WHEN m = 0 THEN 1 ELSE 0 END AS slots, CASE WHEN m = 0 THEN 2 ELSE 1 END AS events, true AS stored FROM c""")
+def snk2_interpretation_set(spark, d):
+    """One commit of raw evidence, stages, interpretations, claims, fields, slots and events; what it made visible, by artifact. A
+    second arrival of the same artifacts adds nothing."""
+    root, ev, now = scratch(spark, "ledger"), customer_statements(spark, d), BEFORE
+    snap, _ = pipeline.receive(pipeline.ledger(spark, root).snapshot(), ev, "STATEMENT_BLOCKS_V1", now)
+    pipeline.receive(snap, ev, "STATEMENT_BLOCKS_V1", now)
+    snap = pipeline.ledger(spark, root).snapshot()
+    told = lambda name: F.coalesce(F.get_json_object("payload", f"$.{name}"), F.lit(None).cast("string"))
+    of = lambda rows, key, n: rows.groupBy(F.col(key).alias("id")).agg(F.count("*").cast("int").alias(n))
+    events = snap.read("events").withColumn("id", F.coalesce(told("evidenceId"), F.get_json_object("payload", "$.evidenceIds[0]")))
+    out = pipeline.latest(snap.read("stages"), "id").select("id", "processing_stage", "problem", "attempts")
+    for rows, key, n in ((snap.read("claims"), "evidence_id", "claims"), (snap.read("fields").join(snap.read("claims"), "claim_id"), "evidence_id", "fields"), (snap.read("slots"), "evidence_id", "slots"), (events, "id", "events")):
+        out = out.join(of(rows, key, n), "id", "left").withColumn(n, F.coalesce(n, F.lit(0)))
+    raw = snap.read("evidence").join(ev.select("id", F.sha2("raw_content", 256).alias("h")), "id").select("id", (F.sha2("raw_content", 256) == F.col("h")).alias("stored"))
+    return out.join(raw, "id").withColumn("id", F.col("id").cast("bigint"))
+
+
+@query_("SELECT count(*) AS processed, count(*) FILTER (c_custkey % 4 = 0) AS claimed, count(*) FILTER (c_custkey % 4 = 1) AS unrecognised, count(*) FILTER (c_custkey % 4 > 1) AS failed, count(*) FILTER (c_custkey % 4 = 1) AS skipped FROM customer")
+def agg7_observed_counters(spark, d):
+    """The counters of an extraction pass, observed while it wrote, without another pass."""
+    _, seen = pipeline.receive(pipeline.ledger(spark, scratch(spark, "ledger")).snapshot(), customer_statements(spark, d), "STATEMENT_BLOCKS_V1", BEFORE)
+    names = ("processed", "claimed", "unrecognised", "failed", "skipped")
+    return spark.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query_("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AS again FROM supplier)
+ SELECT k AS id, 'BLOCKS' AS layout, CASE WHEN again THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS transaction_state, 1000 + k AS amount_minor FROM s
+ UNION ALL SELECT k, 'COLUMNS', 'ACTIVE', 500000 + k FROM s WHERE again""")
+def stm11_reextraction(spark, d):
+    """Suppliers as statements that two profiles read: all are read by one, every third again by the other, whose transactions
+    take the place of the first ones."""
+    k = F.col("s_suppkey")
+    money = lambda minor: F.concat(F.lit("$"), F.format_number((minor / 100).cast("decimal(18,2)"), 2))
+    raw = xhtml((60, 100, F.lit("6 ENE 2026")), (500, 100, F.concat(F.lit("-"), money(k + 1000))), (140, 100, F.lit("Tienda Compra")), (60, 5, F.lit("01/01/2026")), (120, 5, F.lit("al")), (180, 5, F.lit("31/01/2026")), (45, 20, F.lit("9")), (60, 20, F.lit("CGO")), (430, 20, money(k + 500_000)))
+    ev = table(spark, d, "supplier").select(k.cast("string").alias("id"), F.lit("s").alias("source_id"), F.lit("MANUAL").alias("source_type"), F.col("s_name").alias("source_reference"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"), F.lit(SINCE).alias("observed_at"))
+    root = scratch(spark, "ledger")
+    pipeline.receive(pipeline.ledger(spark, root).snapshot(), ev, "STATEMENT_BLOCKS_V1", BEFORE)
+    pipeline.build(spark, root)
+    pipeline.reconcile(spark, root, BEFORE)
+    pipeline.reextract(spark, root, ev.where(F.col("id").cast("long") % 3 == 0), "STATEMENT_COLUMNS_V1", BEFORE)
+    pipeline.build(spark, root)
+    pipeline.reconcile(spark, root, BEFORE)
+    layout = F.when(F.col("amount_minor") < 500_000, "BLOCKS").otherwise("COLUMNS")
+    return pipeline.transactions(spark, root).select(F.col("evidence_id").cast("bigint").alias("id"), layout.alias("layout"), "transaction_state", "amount_minor")
+
+
+@query_()
+def er14_incremental(spark, d):
+    """Transactions in two parts, decided through the stored block index: the candidates by sweep and outcome. Tests hold it to full sweeps."""
+    tx = transactions(spark, d).withColumns({"claim_id": F.col("id"), "evidence_id": F.col("id")})
+    snap = Store(spark, scratch(spark, "ledger"), incremental.SCHEMAS, incremental.SPLIT).snapshot()
+    columns = [c for c in snap.read("transactions").columns if c not in ("step", "part")]
+    for half in (0, 1):
+        new = cut(tx.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).select(*columns))
+        work = incremental.reconciled(snap, new)
+        snap = snap.commit(incremental.additions(work) | {"transactions": new.select("*", F.lit(snap.version + 1).cast("long").alias("step"), incremental.part_of("id").alias("part"))})
+    return snap.read("candidates").groupBy("basis", "status").agg(F.count("*").alias("n"))
+
+
 # ---- text ---------------------------------------------------------------------------------------------------------
 @query_()
 def scl12_html_text(spark, d):
