@@ -7,7 +7,8 @@ each word's leftmost pair of least rank until no pair is left. decode(): token i
 ordered aggregation puts the bytes together.
 
 Null texts count as empty (no ids). Repeated rows are encoded one by one. Pre-tokens over LONG_WORD bytes, where a
-merge a round would take thousands of rounds, are contracted by the same rule with a heap.
+merge a round would take thousands of rounds, are contracted by the same rule with a heap. Very long texts are encoded whole.
+Columns beside doc_id and text are not read, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

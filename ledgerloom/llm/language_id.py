@@ -6,7 +6,7 @@ as many at most, LEAST a label if labels are many), PER_DOC segments from random
 
 Null texts and texts without a letter (Unicode category L) are `und` with score 1; so is every text where no label could
 be learnt. Labels are never read in prediction. Very long texts are read whole, CHUNK_CHARS of texts at a time or one text.
-Repeated rows are predicted one by one; ties go to the label that sorts first. Other columns are carried; columns named
+An empty table gives no rows. Repeated rows are predicted one by one; ties go to the label that sorts first. Other columns are carried; columns named
 lang_pred or score are replaced.
 """
 

@@ -17,7 +17,7 @@ not its square. Words are hashed under a key that each run draws, so texts canno
 
 Null or blank texts have no shingles and link with nothing. Texts of one to four words are one shingle. Very long texts
 are one set each. Repeated rows keep their rows and share their component, ties go to the least doc_id. Other columns
-are not read, so their names cannot clash.
+are not read, so their names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

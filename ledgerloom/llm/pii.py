@@ -5,7 +5,7 @@ nearby, up to CONTEXT characters before a span and CONTEXT behind it (up to the
 Base kinds (email, ip, card, phone) stay whatever their score; other kinds stay from KEEP_SCORE on. Offsets are code
 points, end exclusive. Null and empty texts have no spans. Repeated rows are read one by one; of spans that start
 together, the kind listed first comes first; find() and redact() carry other columns, and replace one that has the
-result's name; report() reads doc_id and text only.
+result's name; report() reads doc_id and text only. Very long texts are read whole; an empty table gives no rows.
 
 The patterns are linear forms of the stated ones: possessive loops, and a look-behind (or the end of the match
 before) in place of retries inside a run, so that a run of 100,000 letters is read once.

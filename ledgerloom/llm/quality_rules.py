@@ -1,7 +1,8 @@
 """Quality rules: one threshold table compiled into one Spark projection, without user functions.
 
 Null texts count as empty, an empty text has no words and fails the base rule. Repeated rows are judged
-one by one; other columns are carried unless they clash with a result's name, which then wins.
+one by one; other columns are carried unless they clash with a result's name, which then wins. Very long texts are
+counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ SHORT bytes or more, that another document has too. They are reported, and cut w
 
 Matches never cross documents and are judged on the input. Null texts count as empty. Rows that repeat both doc_id and
 text are repeats of each other; ties name the leftmost place. Very long texts are read whole, one at a time. Columns that
-are not named in carry are not read, so their names cannot clash; carry must not name doc_id or text. Places, contexts
+are not named in carry are not read, so their names cannot clash; carry must not name doc_id or text. An empty table gives no rows. Places, contexts
 and documents are told apart by 128 bits of fingerprints; partial matches by their bytes.
 """
 

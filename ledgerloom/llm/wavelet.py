@@ -6,7 +6,9 @@ rank directory. A shard is one row of a zstd-compressed Parquet file in the shar
 lost executor's shards are written again and half-written ones never show. read() rebuilds the ids from the planes;
 WaveletMatrix answers access, rank, select, count and locate on one shard without rebuilding it.
 
-Null texts hold only the end id; null doc_ids come first; rows that repeat a doc_id follow each other, by text.
+Null texts hold only the end id; null doc_ids come first; rows that repeat a doc_id follow each other, by text. A very long
+text is a shard of its own. Columns beside doc_id and text are not read, so their names cannot clash. An empty table makes
+no shards and reads back as no rows. Ids are held in 16 bits: a vocabulary of more than 65,536 ids is an error.
 """
 
 from __future__ import annotations

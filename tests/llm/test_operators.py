@@ -279,9 +279,29 @@ def test_registered_queries_give_their_digests(spark, documents, tmp_path):
     for d, r in run("op10_byte_bpe").items():
         ids = own.encode_ordinary(texts[d])
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(texts[d].encode()))
+    # Every byte under a 400-byte string that starts anywhere else too, by brute force.
+    raw_of = {d: t.encode() for d, t in texts.items()}
+    starts = Counter(raw[i : i + 400] for raw in raw_of.values() for i in range(len(raw) - 399))
     for r in run("op7_suffix_dedup").values():
-        raw = texts[r["doc_id"]].encode()
-        assert r["n_bytes"] == len(raw) and (r["n_removed"] > 0 or r["kept_sha256"] == sha(raw)) and (r["n_removed"] < len(raw) or r["kept_sha256"] == sha(b""))
+        raw = raw_of[r["doc_id"]]
+        gone = np.zeros(len(raw) + 1, bool)
+        for i in range(len(raw) - 399):
+            if starts[raw[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        runs = int((gone[1:] < gone[:-1]).sum())
+        kept = bytes(c for c, g in zip(raw, gone) if not g)
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), int(gone.sum()), runs, sha(kept)), r["doc_id"]
+    # The packing's digest: pieces cover their documents, and places are gapless.
+    byte, pieces = hf("byte_bpe_50k.json"), QUERIES["op8_packing"](spark, str(tmp_path)).collect()
+    place = {}
+    for r in pieces:
+        ids = [*byte(texts[r["doc_id"]]), 0]
+        assert r["ids_crc32"] == zlib.crc32(le(ids[r["start"] : r["start"] + r["length"]]))
+        place.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in pieces) == sum(len(byte(t)) + 1 for t in texts.values())
+    for parts in place.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0, *[n for _, n in parts]])[:-1].tolist() and sum(n for _, n in parts) <= 2048
     for name, mod, left in (("op3_quality_pu", 5, 0), ("op9_language_id", 4, 2)):
         for d, r in run(name).items():
             assert r["held_out"] == (zlib.crc32(str(d).encode()) % mod == left) and 0 <= r["score"] <= 1
@@ -568,6 +588,21 @@ def test_language_id(spark):
     assert np.allclose(slow.transpose(0, 2, 1), net.fast_states(np.arange(20).reshape(10, 2), "b"), atol=1e-5)
 
 
+def test_language_id_replaces_clashing_columns_and_keeps_repeated_rows(spark):
+    net = language_id.train([b"the of and", b"der und das"], np.array([0, 1]), ["en", "de"], steps=2)
+    df = spark.createDataFrame([(1, "the of", "mine", "x"), (1, "the of", "mine", "y"), (2, None, "mine", "z")], "doc_id long, text string, score string, lang_pred string")
+    out = language_id.predict(df, net)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "lang_pred", "score"] and len(rows) == 3 and dict(out.dtypes)["score"] == "double"
+    assert len({(r["lang_pred"], r["score"]) for r in rows if r["doc_id"] == 1}) == 1 and {r["lang_pred"] for r in rows if r["doc_id"] == 2} == {"und"}
+
+
+def test_quality_rules_win_over_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "one two three", "mine", "mine")], "doc_id long, text string, n_words string, kept string")
+    row = quality_rules.judge(df).first()
+    assert row["n_words"] == 3 and row["kept"] is False and row["base_failed"] is True
+
+
 def test_rare_language_is_learnt(spark):
     """Two rows among many are few for a sample of all rows, yet their label is learnt."""
     rows = [(i, "the house of words" if i % 2 else "das schöne haus", "en" if i % 2 else "de") for i in range(3000)]
