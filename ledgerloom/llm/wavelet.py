@@ -179,6 +179,44 @@ def read(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs, pa.array(ends - n + r["base"] + r["part_start"]), pa.array(n), column], names=["doc_id", "start", "n_tokens", "ids"])
 
     # One row per partition of the writer, a few numbers each: that many rows are a safe broadcast at any size.
+    return shards.join(F.broadcast(starts_of_parts(shards)), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def starts_of_parts(shards: DataFrame) -> DataFrame:
+    """(part, part_start): ids before each of the writer's partitions, one row for each, a few numbers."""
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    starts = sizes.selectExpr("part", "sum(size) over (order by part rows between unbounded preceding and current row) - size as part_start")
-    return shards.join(F.broadcast(starts), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return sizes.selectExpr("part", "sum(size) over (order by part rows between unbounded preceding and current row) - size as part_start")
+
+
+def counted(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of a stated list of ids stands in all shards, by rank on their planes; nothing is rebuilt."""
+    tokens = list(dict.fromkeys(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = WaveletMatrix(r["n_tokens"], r["zeros"], r["planes"], r["ranks"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([m.count(t) for t in tokens], pa.int64())], names=["token", "n"])
+
+    told = shards.select("n_tokens", "zeros", "planes", "ranks").mapInArrow(run, "token long, n long")
+    asked = shards.sparkSession.createDataFrame([(t,) for t in tokens], "token long")
+    return asked.join(told.groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def located(shards: DataFrame, tokens: list[int], most: int = 65_536) -> DataFrame:
+    """(token, doc_id, offset, place): every occurrence of a stated list of ids, by select; place counts all ids before it, offset those
+    of its document. A task hands on at most `most` occurrences at once, however many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = WaveletMatrix(r["n_tokens"], r["zeros"], r["planes"], r["ranks"])
+                ids, nulls, ends = np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["nulls"], np.bool_), np.cumsum(np.frombuffer(r["lengths"], np.int64))
+                for t in dict.fromkeys(tokens):
+                    for k in range(0, m.count(t), most):
+                        at = np.array([m.select(t, i) for i in range(k, min(k + most, m.count(t)))], np.int64)
+                        doc = np.searchsorted(ends, at, "right")
+                        first = np.concatenate([[0], ends])[doc]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t)), pa.array(ids[doc], mask=nulls[doc]), pa.array(at - first), pa.array(at + r["base"] + r["part_start"])], names=["token", "doc_id", "offset", "place"])
+
+    return shards.join(F.broadcast(starts_of_parts(shards)), "part").mapInArrow(run, "token long, doc_id long, offset long, place long")

@@ -408,6 +408,19 @@ def test_pii_as_its_sql(spark, tmp_path):
     assert kinds == {k.name for k in pii.KINDS}
 
 
+def test_shards_count_and_locate_ids(documents, monkeypatch):
+    """Over several shards, against the ids themselves; ids that are nowhere count 0."""
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 400)
+    shards = wavelet.write(documents, public_tokenizers.path("word_bpe_49k.json"))
+    assert shards.count() > 5
+    rows = [(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in wavelet.read(shards).collect()]
+    every = Counter(t for _, _, ids in rows for t in ids)
+    asked = [1, *[t for t, _ in every.most_common(3)], min(every), 49_000, 60_000]
+    assert {r["token"]: r["n"] for r in wavelet.counted(shards, asked).collect()} == {t: every[t] for t in asked}
+    want = sorted((t, -1 if d is None else d, i, at + i) for d, at, ids in rows for i, t in enumerate(ids) if t in asked)
+    assert sorted((r["token"], -1 if r["doc_id"] is None else r["doc_id"], r["offset"], r["place"]) for r in wavelet.located(shards, asked, most=7).collect()) == want
+
+
 def test_token_shards_split_a_hot_id(spark):
     """Rows of one doc_id are dealt to several shards, none lost, numbered without a gap."""
     df = spark.createDataFrame([(None, f"a text of its own {i}", i) for i in range(400)] + [(7, "same", 0)] * 20, "doc_id long, text string, start long")
