@@ -65,8 +65,7 @@ def list_transactions(tx: DataFrame, q: TransactionQuery) -> DataFrame:
     """One page and one row more, newest first; the row beyond the limit says that more follow."""
     out = active(tx).where(in_window(F.col("occurred_at"), q.since, q.before) & any_of(F.col("direction"), q.directions))
     out = out.where(any_of(F.col("financial_status"), q.statuses) & any_of(F.col("reconciliation_state"), q.states))
-    if q.currency:
-        out = out.where(F.col("currency") == q.currency)
+    out = in_currency(out, q.currency)
     if q.after:
         out = out.where(keyset_before(F.col("occurred_at"), F.col("id"), F.lit(q.after[0]), F.lit(q.after[1])))
     return out.orderBy(F.col("occurred_at").desc(), F.col("id").desc()).limit(q.limit + 1)
@@ -76,8 +75,13 @@ def external(tx: DataFrame) -> DataFrame:
     return tx.where(~V.internal(F.col("counterparty")))
 
 
+def in_currency(tx: DataFrame, currency: str | None) -> DataFrame:
+    """Rows of a currency; all rows where none is asked for."""
+    return tx.where(F.col("currency") == currency) if currency else tx
+
+
 def with_money(tx: DataFrame, currency: str = "MXN") -> DataFrame:
-    return tx.where(F.col("amount_minor").isNotNull() & (F.col("currency") == currency))
+    return in_currency(tx.where("amount_minor is not null"), currency)
 
 
 def countable(tx: DataFrame, currency: str = "MXN") -> DataFrame:

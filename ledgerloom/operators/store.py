@@ -70,7 +70,11 @@ def pivot_claims(fields: DataFrame) -> DataFrame:
     return out.withColumn("financial_status", F.coalesce("financial_status", F.lit("UNKNOWN")))
 
 
+def free(queue: DataFrame, stage: str, now) -> DataFrame:
+    """The rows of a stage that nobody holds."""
+    return queue.where((F.col("processing_stage") == stage) & (F.col("locked_until").isNull() | (F.col("locked_until") <= F.lit(now))))
+
+
 def claimable(queue: DataFrame, stage: str, now, batch: int = 100) -> DataFrame:
     """The next rows of a stage that nobody holds, oldest first, with one attempt more."""
-    rows = queue.where((F.col("processing_stage") == stage) & (F.col("locked_until").isNull() | (F.col("locked_until") <= F.lit(now))))
-    return rows.orderBy("observed_at", "id").limit(batch).withColumn("attempts", F.col("attempts") + 1)
+    return free(queue, stage, now).orderBy("observed_at", "id").limit(batch).withColumn("attempts", F.col("attempts") + 1)

@@ -188,7 +188,7 @@ FLT4 = "currency = 'MXN'"
 
 @query_(f"WITH {TX}, {V_SQL} {listed_v(FLT4)}")
 def flt4_currency(spark, d):
-    return rows_(varied(spark, d).where(F.col("currency") == "MXN"))
+    return rows_(query.in_currency(varied(spark, d), "MXN"))
 
 
 FLT5 = "occurred_at < TIMESTAMP '1995-06-01' OR (occurred_at = TIMESTAMP '1995-06-01' AND id < 'L')"
@@ -235,9 +235,7 @@ def now_of(spark, d):
 
 @query_(f"WITH {QUEUE} SELECT id, epoch_ms(observed_at) AS observed_at FROM q, n WHERE processing_stage = 'RECEIVED' AND (locked_until IS NULL OR locked_until <= now)")
 def flt9_claimable(spark, d):
-    now = now_of(spark, d).first()[0]
-    q = work_queue(spark, d)
-    return q.where((F.col("processing_stage") == "RECEIVED") & (F.col("locked_until").isNull() | (F.col("locked_until") <= F.lit(now)))).select("id", ms("observed_at"))
+    return store.free(work_queue(spark, d), "RECEIVED", now_of(spark, d).first()[0]).select("id", ms("observed_at"))
 
 
 @query_(f"WITH {TX}, {V_SQL} SELECT id FROM v WHERE transaction_state = 'ACTIVE' AND reconciliation_state = 'UNRECONCILED'")
