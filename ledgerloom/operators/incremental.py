@@ -133,8 +133,11 @@ class Blocks:
         gone = at.where("now <= 0").select("sweep", "key", F.lit(None).cast(ROW).alias("head"), F.lit(0).cast("long").alias("n"))
         heads = cut(renewed.unionByName(kept).unionByName(gone).withColumn("step", F.lit(self.step).cast("long")).withColumn("part", part_of("sweep", "key")))
         self.heads = heads if self.heads is None else self.heads.unionByName(heads)
-        decided = cut(match.decided(found, sweep))
-        fresh = cut(decided.join(self._prior(decided), match.PAIR, "left_anti").withColumns({"step": F.lit(self.step).cast("long"), "part": part_of("left_ref")}))
+        decided = match.decided(found, sweep)
+        if self.candidates is not None or "candidates" in self.snap.tables:
+            decided = cut(decided)
+            decided = decided.join(self._prior(decided), match.PAIR, "left_anti")
+        fresh = cut(decided.withColumns({"step": F.lit(self.step).cast("long"), "part": part_of("left_ref")}))
         self.candidates = fresh if self.candidates is None else self.candidates.unionByName(fresh)
         return fresh
 
@@ -169,9 +172,10 @@ def reconciled(snap: Snapshot, new: DataFrame, rounds: int = 50) -> Blocks:
             out = sweep_of(closed, sweep)
             if turn == 0:  # new rows that an earlier sweep closed have never come to this one
                 out = out.join(work.new_rows.select("id"), F.col("row.id") == F.col("id"), "left_anti")
-            leaves = cut(sweep_of(waiting[sweep], sweep).unionByName(out))
+            still = closed is none and waiting[sweep] is none  # nothing was closed: no need to ask
+            leaves = none if still else cut(sweep_of(waiting[sweep], sweep).unionByName(out))
             waiting[sweep] = none
-            if not adds.limit(1).count() and not leaves.limit(1).count():
+            if not adds.limit(1).count() and (still or not leaves.limit(1).count()):
                 continue
             fresh = work.evaluate(sweep, adds, leaves)
             if sweep == match.SWEEPS[-1] or not fresh.where("status = 'MATCH'").limit(1).count():
