@@ -16,7 +16,7 @@ from .plans.projection import claim_fields, table, transactions
 from .schemas import SELF
 from .sources import config, uploads
 from .streaming import pipeline
-from .text.html import html_text
+from .text.html import html_text, mail_html
 from .text.interpreters import interpret
 
 QUERIES: dict = {}
@@ -874,9 +874,14 @@ def er14_incremental(spark, d):
 
 
 # ---- text ---------------------------------------------------------------------------------------------------------
-@query_()
+@query_(r"""WITH a AS (SELECT page_id, regexp_replace(html, '[\r\n]', ' ', 'g') AS t FROM pages),
+ b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<!--.*?-->', '', 'g'), '(?i)<head(\s[^>]*)?>.*?</head\s*>|<script(\s[^>]*)?>.*?</script\s*>|<style(\s[^>]*)?>.*?</style\s*>|<title(\s[^>]*)?>.*?</title\s*>|<noscript(\s[^>]*)?>.*?</noscript\s*>', chr(10), 'g') AS t FROM a),
+ c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<[!?][^>]*>', '', 'g'), '(?i)</?(p|div|br|tr|td|th|table|li|ul|ol|h[1-6]|section|article|header|footer|hr|body|html|tbody|thead)(\s[^>]*|/)?>', chr(10), 'g'), '</?[A-Za-z][A-Za-z0-9]*(\s[^>]*|/)?>', '', 'g') AS t FROM b),
+ e AS (SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)&(nbsp|#160);|\x{00A0}', ' ', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&quot;', '"', 'g'), '(?i)&apos;|&#39;', '''', 'g'), '&amp;', '&') AS t FROM c)
+ SELECT page_id, list_aggregate(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10)) AS text FROM e""")
 def scl12_html_text(spark, d):
-    """Pages as text: a scanner beyond SQL; tests hold it to cases."""
+    """Pages as text. The SQL says it by a chain of patterns, which fits pages whose markup is well formed; tests hold the scanner to
+    what is not."""
     return table(spark, d, "pages").select("page_id", html_text("html").alias("text"))
 
 
@@ -940,3 +945,132 @@ def utf13_column_statements(spark, d):
 def snk10_migrations(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("claim_id"))
     return migrations.migrate({"claim_evidence": li}, 0)[0]["interpretations"]
+
+
+def joined(*parts) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def utf8(*parts) -> Column:
+    return F.encode(joined(*parts), "UTF-8")
+
+
+def encoded_word(c: Column) -> Column:
+    return joined("=?UTF-8?B?", F.base64(F.encode(c, "UTF-8")), "?=")
+
+
+@query_("""SELECT page_id, CASE WHEN page_id % 7 < 5 AND page_id % 11 > 0 THEN 'Página ' || page_id END AS subject, CASE WHEN page_id % 7 < 5 AND page_id % 11 > 0 THEN length(html) END AS n_chars,
+ CASE WHEN page_id % 7 < 5 AND page_id % 11 > 0 THEN sha256(html) END AS html_sha256 FROM pages""")
+def scl13_mail_bodies(spark, d):
+    """Pages as messages: one part or within up to six multiparts (four levels are read), behind a plain part, in every transfer
+    encoding and in one that is unknown; subjects as encoded words."""
+    k = F.col("page_id")
+    body = F.encode("html", "UTF-8")
+    kind = F.when(k % 11 == 0, "x-own").when(k % 3 == 0, "base64").when(k % 3 == 1, "quoted-printable").otherwise("8bit")
+    sent = F.when(k % 3 == 0, F.encode(F.base64(body), "UTF-8")).when(k % 3 == 1, F.encode(F.regexp_replace(F.hex(body), "(..)", "=$1"), "UTF-8")).otherwise(body)
+    # Deeper parts first: a multipart of n levels holds the page at level n + 1. Levels: none, 1, 2, 3, 3 behind a text, then 4 and 5.
+    depth = F.element_at(F.array(*map(F.lit, (0, 1, 2, 3, 3, 4, 5))), (k % 7 + 1).cast("int"))
+    opened = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i < depth, joined("Content-Type: multipart/mixed; boundary=b", i.cast("string"), "\r\n\r\n--b", i.cast("string"), "\r\n")).otherwise("")))
+    plain = F.when((k % 7 == 4), "Content-Type: text/plain\r\n\r\n<p>no</p>\r\n--b2\r\n").otherwise("")
+    closed = F.concat_ws("", F.transform(F.sequence(F.lit(4), F.lit(0), F.lit(-1)), lambda i: F.when(i < depth, joined("\r\n--b", i.cast("string"), "--")).otherwise("")))
+    raw = F.concat(utf8("Subject: ", encoded_word(joined("Página ", k.cast("string"))), "\r\n", opened, plain, "Content-Type: TEXT/html; charset=utf-8\r\nContent-Transfer-Encoding: ", kind, "\r\n\r\n"), sent, utf8(closed))
+    m = table(spark, d, "pages").select("page_id", raw.alias("raw")).select("page_id", mail_html("raw").alias("m"))
+    return m.select("page_id", "m.subject", F.length("m.html").cast("bigint").alias("n_chars"), F.sha2(F.encode("m.html", "UTF-8"), 256).alias("html_sha256"))
+
+
+TOLD = ("amount_minor", "currency", "direction", "occurred_at", "counterparty", "merchant", "financial_status", "tracking_key")
+
+
+def told(claim: int = 0) -> list[Column]:
+    """What a claim says: money as a number, time in milliseconds, other fields as text, and all confidences in TOLD's order."""
+    c = F.get("claims", F.lit(claim))
+    whole = F.when(c.isNotNull(), F.concat_ws(" ", *[F.when(c[f].isNotNull(), joined(f, ":", c[f]["confidence"])) for f in TOLD])).alias("confidences")
+    value = lambda f: c[f]["value"].alias(f)
+    return [value("amount_minor").cast("bigint").alias("amount_minor"), F.unix_millis(F.try_to_timestamp(c["occurred_at"]["value"])).alias("occurred_at"), *[value(f) for f in TOLD if f not in ("amount_minor", "occurred_at")], whole]
+
+
+@query_("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 4 AS m, o_orderkey % 13 AS f, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS a, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day FROM orders),
+ s AS (SELECT *, CASE WHEN f = 2 THEN 'the artifact has no html part' WHEN f = 3 THEN NULL WHEN f = 6 THEN 'DISPATCH' WHEN f = 5 AND m = 2 THEN 'the template changed' WHEN f IN (0, 4) THEN 'the amount did not parse' WHEN f = 1 AND m <> 2 THEN 'the timestamp did not parse' END AS problem FROM o),
+ r AS (SELECT *, f <> 3 AND problem IS NULL AS ok FROM s)
+ SELECT id, CASE WHEN problem IS NOT NULL THEN 'FAILED' WHEN ok THEN 'READ' ELSE 'UNRECOGNISED' END AS status, problem, CASE WHEN ok THEN a END AS amount_minor, CASE WHEN ok THEN 'MXN' END AS currency,
+ CASE WHEN ok THEN CASE m WHEN 1 THEN 'INFLOW' ELSE 'OUTFLOW' END END AS direction,
+ CASE WHEN ok AND m <> 2 THEN epoch_ms(timezone('UTC', timezone('America/Mexico_City', day + CASE m WHEN 3 THEN INTERVAL 560 MINUTE ELSE INTERVAL 37230 SECOND END))) END AS occurred_at,
+ CASE WHEN ok AND m = 0 THEN CASE WHEN id % 3 = 0 THEN 'Ana & Co ' || id ELSE 'Bo ' || id END END AS counterparty, CASE WHEN ok AND m = 1 THEN 'Zoé ' || id WHEN ok AND m = 3 THEN 'Luz ' || id END AS merchant,
+ CASE WHEN ok AND m < 2 THEN 'SETTLED' END AS financial_status, CASE WHEN ok AND m = 0 AND id % 7 < 3 THEN 'K' || id END AS tracking_key,
+ CASE WHEN ok THEN 'amount_minor:' || CASE m WHEN 2 THEN 'MEDIUM' ELSE 'HIGH' END || ' currency:LOW direction:HIGH' || CASE m WHEN 2 THEN '' WHEN 3 THEN ' occurred_at:MEDIUM' ELSE ' occurred_at:HIGH' END
+ || CASE WHEN m = 0 THEN CASE WHEN id % 3 = 0 THEN ' counterparty:HIGH' ELSE ' counterparty:MEDIUM' END ELSE '' END || CASE m WHEN 1 THEN ' merchant:MEDIUM' WHEN 3 THEN ' merchant:HIGH' ELSE '' END
+ || CASE WHEN m = 1 OR m = 0 AND id % 5 > 0 THEN ' financial_status:MEDIUM' WHEN m = 0 THEN ' financial_status:HIGH' ELSE '' END || CASE WHEN m = 0 AND id % 7 < 3 THEN ' tracking_key:HIGH' ELSE '' END END AS confidences FROM r""")
+def utf1_mail_claims(spark, d):
+    """Orders as notification mails of the four templates, in five ways to encode a body, with and without the optional labels. By
+    key some have a malformed or zero amount, a day that is none, no HTML part, a subject that no template has, a changed
+    sentence, or another media type."""
+    k = F.col("o_orderkey")
+    m, f, name = k % 4, k % 13, k.cast("string")
+    day = F.to_date("o_orderdate")
+    amount = F.when(f == 0, "$12.5").when(f == 4, "$0.00").otherwise(joined("$", F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)))
+    month = F.element_at(F.array(*[F.lit(x) for x in "ENE FEB MAR ABR MAY JUN JUL AGO SEP OCT NOV DIC".split()]), F.month(day))
+    date = F.when(f == 1, "31/FEB/1996").when(k % 2 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(joined(F.day(day).cast("string"), " ", month, " ", F.year(day).cast("string")))
+    p = lambda *parts: joined("<p class=\"a>b\">", *parts, "</p>")
+    no = F.lit("")
+    usual = joined(p("<b>Monto:</b>"), p(amount), p("Fecha: ", date), p("Hora:<span> 10:20:30</span>"))
+    out = joined(usual, F.when(k % 3 == 0, p("Nombre: Ana &amp; Co&nbsp;", name)).otherwise(p("Enviaste a la cuenta de Bo ", name, " en un banco")), F.when(k % 5 == 0, p("Estatus: hecha")).otherwise(no), F.when(k % 7 < 3, p("Clave de rastreo: K", name)).otherwise(no))
+    came = joined(usual, p("Zoé ", name, " hizo una transferencia a tu cuenta"))
+    card = joined(p("$77.00"), p(F.when(f == 5, "Recibimos tu pago").otherwise("Recibimos el pago que hiciste a tu tarjeta, por:")), p("$ 5.00 de ayer"), p(amount))
+    service = joined(p("Monto:"), p(amount), p("Nombre: quien paga"), p("Costo extra: $9.00"), p(date, " - 09:20"), p("Empresa a la cual se realizará el pago:"), p("Luz ", name))
+    html = joined("<html><head><title>Monto: $1.00</title></head><body><style>p{}</style><!-- Monto: $2.00 -->", F.when(m == 0, out).when(m == 1, came).when(m == 2, card).otherwise(service), "</body></html>")
+    subject = F.element_at(F.array(*map(F.lit, ("Tu transferencia fue exitosa", "¡Recibiste una transferencia!", "¡Recibimos tu pago!", "Tu comprobante de pago de servicio"))), (m + 1).cast("int"))
+    subject = F.when(f == 3, F.lower(subject)).otherwise(subject)
+    way = (k / 4).cast("int") % 5
+    kind = F.when(f == 2, "text/plain").otherwise("text/html")
+    typed = lambda charset, coding: joined("Content-Type: ", kind, charset, "\r\nContent-Transfer-Encoding: ", coding, "\r\n\r\n")
+    quoted = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, "=", "=3D"), "á", "=E1"), "é", "=E9"), "</p>", "</p>=\r\n")
+    b64 = F.base64(F.encode(html, "UTF-8"))
+    part = (
+        F.when(way == 0, utf8(typed("; charset=utf-8", "base64"), b64)).when(way == 1, utf8(typed("; charset=ISO-8859-1", "Quoted-Printable"), quoted)).when(way == 2, utf8(typed("", "8bit"), html))
+        .when(way == 3, F.concat(utf8(typed("; charset=latin1", "binary")), F.encode(html, "ISO-8859-1")))
+        .otherwise(utf8("Content-Type: multipart/mixed; boundary=x\r\n\r\n--x\r\nContent-Type: text/plain\r\n\r\nMonto: $3.00\r\n--x\r\nContent-Type: multipart/related; boundary=y\r\n\r\n--y\r\n", typed("; charset=utf-8", "base64"), b64, "\r\n--y--\r\n--x--"))
+    )
+    raw = F.concat(utf8("From: a@b.example\r\nSubject: ", F.when((m == 0) & (k % 3 == 0), subject).otherwise(encoded_word(subject)), "\r\nMIME-Version: 1.0\r\n"), part)
+    ev = table(spark, d, "orders").select(name.alias("id"), F.lit("EMAIL_V1").alias("extraction_profile"), F.when(f == 6, "application/pdf").otherwise("message/rfc822").alias("content_type"), raw.alias("raw_content"))
+    return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", "problem", *told())
+
+
+@query_(f"""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 17 AS m, (o_orderkey // 17) % 2 = 0 AS inward, o_orderkey % 19 = 0 AS bad, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS a, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day FROM orders),
+ s AS (SELECT *, m = 16 OR m IN (1, 3, 4) AND NOT inward OR m = 2 AND inward AS unread FROM o),
+ p AS (SELECT *, CASE WHEN unread THEN NULL WHEN bad THEN 'the date did not parse' WHEN m IN (13, 15) AND NOT inward OR m = 14 AND inward THEN 'the statement changed' END AS problem FROM s), r AS (SELECT *, NOT unread AND problem IS NULL AS ok FROM p)
+ SELECT id, CASE WHEN problem IS NOT NULL THEN 'FAILED' WHEN ok THEN 'READ' ELSE 'UNRECOGNISED' END AS status, problem, CASE WHEN unread THEN 1 ELSE 0 END AS unread_rows, CASE WHEN ok THEN a END AS amount_minor, CASE WHEN ok THEN 'MXN' END AS currency, CASE WHEN ok THEN CASE WHEN inward THEN 'INFLOW' ELSE 'OUTFLOW' END END AS direction,
+ CASE WHEN ok THEN epoch_ms(timezone('UTC', timezone('America/Mexico_City', day + CASE WHEN m IN (13, 14) THEN INTERVAL 37230 SECOND ELSE INTERVAL 0 SECOND END))) END AS occurred_at,
+ CASE WHEN ok THEN CASE WHEN m BETWEEN 1 AND 4 THEN '{SELF}' WHEN m = 8 THEN 'Sol ' || id WHEN m BETWEEN 13 AND 15 THEN 'Ana de ' || id END END AS counterparty, CASE WHEN ok AND m IN (0, 5, 6, 7) THEN 'Sol ' || id END AS merchant,
+ CASE WHEN ok THEN 'SETTLED' END AS financial_status, CASE WHEN ok AND m IN (13, 14) THEN 'K' || id END AS tracking_key,
+ CASE WHEN ok THEN 'amount_minor:HIGH currency:LOW direction:HIGH occurred_at:HIGH' || CASE WHEN m BETWEEN 1 AND 4 OR m BETWEEN 13 AND 15 THEN ' counterparty:HIGH' WHEN m = 8 THEN ' counterparty:MEDIUM' ELSE '' END
+ || CASE WHEN m IN (0, 5, 6, 7) THEN ' merchant:MEDIUM' ELSE '' END || ' financial_status:MEDIUM' || CASE WHEN m IN (13, 14) THEN ' tracking_key:HIGH' ELSE '' END END AS confidences FROM r""")
+def utf9_statement_shapes(spark, d):
+    """Orders as block statements of one row each, by key of every shape and both signs: purchases, moves between accounts of one
+    user and their mirrors, described rows, fixed phrases, transfers told by two lines below, and an unknown one. Some days are none."""
+    k = F.col("o_orderkey")
+    m, name, day = k % 17, k.cast("string"), F.to_date("o_orderdate")
+    month = F.element_at(F.array(*[F.lit(x) for x in "ENE FEB MAR ABR MAY JUN JUL AGO SEP OCT NOV DIC".split()]), F.month(day))
+    date = F.when(k % 19 == 0, "31 FEB 1996").otherwise(joined(F.day(day).cast("string"), " ", month, " ", F.year(day).cast("string")))
+    amount = joined(F.when((k / 17).cast("long") % 2 == 0, "+$").otherwise("-$"), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2))
+    shapes = (
+        ("Sol ", name, " Compra"), ("Retiro de Cajita: ", name), ("Depósito en Cajita: ", name), ("Retirado de tu dinero de respaldo",), ("Descongelamos saldo de tu Cajita: ", name),
+        ("Sol ", name, " Devolución"), ("Sol ", name, " Ajuste realizado"), ("Pago de servicio - Sol ", name), ("Cajero Sol ", name, " Retiro de efectivo"),
+        ("Pago a tu tarjeta de crédito Nu",), ("Bonificación por beneficio de Nu",), ("Compensación de retraso SPEI",), ("Depósito en punto de venta",), *[("Ana de ", name)] * 3,
+    )
+    text = F.element_at(F.array(*[joined(*x) for x in shapes], F.lit("otra cosa")), (m + 1).cast("int"))
+    opening = F.when(m == 14, "Transferencia SPEI, Al cliente Ana de").when(m.isin(13, 15), "Depósito SPEI, Del cliente Ana de")
+    rest = joined(name, " (Dato no verificado por esta institución)", F.when(m < 15, joined(", Hora: 10:20:30, Clave de rastreo K", name, " , Concepto x")).otherwise(""))
+    raw = xhtml((60, 100, date), (500, 100, amount), (140, 101, text), (135.84, 115, opening), (135.84, 125, F.when(m.isin(13, 14, 15), rest)), (300, 300, F.lit("pie de página")))
+    ev = table(spark, d, "orders").select(name.alias("id"), F.lit("STATEMENT_BLOCKS_V1").alias("extraction_profile"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"))
+    return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", "problem", "unread_rows", *told())
+
+
+@query_("""WITH e AS (SELECT event_id AS k, ts FROM events) SELECT k AS event_id, unnest(list_filter([CASE WHEN k % 11 = 0 THEN 'ID' END, CASE WHEN k % 7 < 2 THEN 'SOURCE' END, CASE WHEN k % 5 = 0 THEN 'REFERENCE' END, CASE WHEN k % 4 > 2 THEN 'TYPE' END, CASE WHEN k % 3 = 0 THEN 'OBSERVED_AT' END], lambda x: x IS NOT NULL)) AS violation FROM e""")
+def val1_evidence_fields(spark, d):
+    """Evidence whose required fields are by key empty, null or, for the type, outside the vocabulary."""
+    k = F.col("event_id")
+    ev = table(spark, d, "events").select(
+        k, F.when(k % 11 > 0, k.cast("string")).alias("id"), F.when(k % 7 == 0, "").when(k % 7 > 1, "s").alias("source_id"), F.when(k % 5 > 0, "r").otherwise("").alias("source_reference"),
+        F.when(k % 4 < 3, F.element_at(F.array(F.lit("GMAIL"), F.lit("BANK_STATEMENT"), F.lit("MANUAL")), (k % 4 + 1).cast("int"))).when(k % 8 == 3, "gmail").alias("source_type"), F.when(k % 3 > 0, F.col("ts")).alias("observed_at"),
+    )
+    return quality.evidence_violations(ev).select("event_id", F.explode("violations").alias("violation"))

@@ -133,3 +133,18 @@ def _texts(s: pd.Series) -> pd.Series:
 def html_text(col: str) -> Column:
     """text_of over a column, in Arrow batches; NULL where the input is too large."""
     return F.pandas_udf(_texts, "string")(F.col(col))
+
+
+def _mails(s: pd.Series) -> pd.DataFrame:
+    def safe(raw):
+        try:
+            return html_body(bytes(raw)) if raw is not None else (None, None)
+        except ValueError:
+            return None, None
+
+    return pd.DataFrame([safe(x) for x in s], columns=["subject", "html"])
+
+
+def mail_html(col: str) -> Column:
+    """struct(subject, html) of html_body over a binary column, in Arrow batches; both NULL where a message has no readable HTML."""
+    return F.pandas_udf(_mails, "subject string, html string")(F.col(col))

@@ -155,7 +155,10 @@ def movement(date: str, text: str, detail: str, amount: str) -> Claim | None:
     if amount[:1] not in ("+", "-"):
         raise Unreadable("statement")
     way = "OUTFLOW" if amount[0] == "-" else "INFLOW"
-    claim = base(money(amount[1:]), "HIGH", way) | {"occurred_at": (wall(date), "HIGH"), "financial_status": ("SETTLED", "MEDIUM")}
+    claim = base(money(amount[1:]), "HIGH", way)
+    if own not in (None, way) and not (text.endswith(" Compra") or party or text in PHRASES or spei):
+        return None  # the mirror of a row of the account, whatever else it says
+    claim |= {"occurred_at": (wall(date), "HIGH"), "financial_status": ("SETTLED", "MEDIUM")}
     if text.endswith(" Compra"):
         return claim | {"merchant": (text.removesuffix(" Compra"), "MEDIUM")}
     if own == way:
@@ -164,17 +167,13 @@ def movement(date: str, text: str, detail: str, amount: str) -> Claim | None:
         return claim | {party[0]: (party[1], "MEDIUM")}
     if text in PHRASES:
         return claim
-    if spei:
-        marker, said = spei
-        name, end, _ = detail.partition(marker)[2].partition(UNVERIFIED)
-        if said != way:
-            raise Unreadable("statement")
-        if not end or not name.strip():
-            raise Unreadable("statement")
-        clock, key = CLOCK.search(detail), KEY.search(detail)
-        claim |= {"counterparty": (name.strip(), "HIGH"), "occurred_at": (wall(date, clock and clock[1]), "HIGH")}
-        return claim | ({"tracking_key": (key[1].strip(), "HIGH")} if key and key[1].strip() else {})
-    return None  # the mirror of a row of the account
+    marker, said = spei
+    name, end, _ = detail.partition(marker)[2].partition(UNVERIFIED)
+    if said != way or not end or not name.strip():
+        raise Unreadable("statement")
+    clock, key = CLOCK.search(detail), KEY.search(detail)
+    claim |= {"counterparty": (name.strip(), "HIGH"), "occurred_at": (wall(date, clock and clock[1]), "HIGH")}
+    return claim | ({"tracking_key": (key[1].strip(), "HIGH")} if key and key[1].strip() else {})
 
 
 def claims_and_unread(rows: list[tuple[str, str, str, str]]) -> tuple[list[Claim], int]:
