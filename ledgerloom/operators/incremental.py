@@ -198,6 +198,14 @@ def additions(work: Blocks, indexed: DataFrame | None = None) -> dict[str, DataF
     return out | {k: v for k, v in (("heads", work.heads), ("states", work.states), ("candidates", work.candidates)) if v is not None}
 
 
+def compacted(snap: Snapshot) -> dict[str, DataFrame]:
+    """What a commit puts in place of the index's tables so that only their last rows are left: the newest head of each block that
+    has one, the newest state of each transaction, the decisions that stand. Passes go on as they would have without it."""
+    last = lambda name, keys: snap.read(name).groupBy(*keys).agg(F.max_by(F.struct(*[c for c in snap.read(name).columns if c not in keys]), "step").alias("r")).select(*keys, "r.*")
+    rules = {"heads": (["sweep", "key"], "head is not null"), "states": (["id"], "true"), "candidates": (match.PAIR, f"status <> '{RETRACTED}'")}
+    return {name: last(name, keys).where(kept) for name, (keys, kept) in rules.items() if name in snap.tables}
+
+
 def standing(candidates: DataFrame) -> DataFrame:
     """The decisions that were not taken back."""
     last = candidates.groupBy(*match.PAIR).agg(F.max_by(F.struct("status", "basis"), "step").alias("c"))

@@ -61,6 +61,18 @@ def with_events(snap: Snapshot, appended: dict[str, DataFrame], bodies: list[Dat
     return snap.commit(appended | {"events": events}, marks={**(marks or {}), "seq": after + events.count()})
 
 
+def tidy(spark: SparkSession, root: str, keep: int = 10, grace_seconds: float = 7 * 86400) -> dict[str, list[str]]:
+    """One commit in which stages and the block index hold their last rows only, then the folders go that none of the newest `keep`
+    versions reads. Raises Conflict where a stage commits meanwhile; nothing has changed then."""
+    snap = ledger(spark, root).snapshot()
+    if snap.version:
+        rows = incremental.compacted(snap)
+        if "stages" in snap.tables:
+            rows["stages"] = latest(snap.read("stages"), "id")
+        snap.commit({}, rows)
+    return snap.store.vacuum(keep, grace_seconds)
+
+
 def feed(snap: Snapshot, after: int = 0, limit: int = 100) -> DataFrame:
     """A page of events behind a cursor, in order."""
     return snap.read("events").where(F.col("seq") > after).orderBy("seq").limit(limit)

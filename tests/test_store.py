@@ -52,6 +52,29 @@ def test_a_commit_is_whole_or_nothing(spark, tmp_path):
         store.snapshot(9)
 
 
+def test_vacuum_leaves_what_is_read_or_being_written(spark, tmp_path):
+    store = Store(spark, str(tmp_path), {"a": "x int", "b": "y int"})
+    rows = lambda n: spark.range(n).selectExpr("cast(id as int) x")
+    assert store.vacuum() == {}
+    one = store.snapshot().commit({"a": rows(3), "b": rows(1).withColumnRenamed("x", "y")})
+    two = one.commit({"a": rows(2)})
+    three = two.commit({}, {"a": rows(4)})
+    with pytest.raises(Conflict):  # leaves a folder that no marker names
+        two.commit({"a": rows(7)})
+    assert store.vacuum(keep=3) == {} and store.snapshot(1).read("a").count() == 3
+    gone = store.vacuum(keep=1)  # the loser's folder is young: it might be at work
+    assert {k: len(v) for k, v in gone.items()} == {"a": 2} and len(list((tmp_path / "data" / "a").iterdir())) == 2
+    assert (three.read("a").count(), store.snapshot().read("b").count(), store.versions()) == (4, 1, [1, 2, 3])
+    with pytest.raises(ValueError, match="vacuumed"):
+        store.snapshot(2)
+    with pytest.raises(Conflict):  # a writer from a version of long ago is still told
+        one.commit({"b": rows(1).withColumnRenamed("x", "y")})
+    assert {k: len(v) for k, v in store.vacuum(keep=1, grace_seconds=-1).items()} == {"a": 1, "b": 1}
+    assert store.vacuum(keep=5) == {} and store.oldest() == 3 and store.snapshot().read("a").count() == 4
+    with pytest.raises(ValueError):
+        store.vacuum(keep=0)
+
+
 def test_stages_store_once_retry_for_ever_and_go_on(spark, tmp_path):
     """Two sources tell of one movement, one artifact arrives twice, one fails and is read again when due; a failing stage stops no other."""
     inbox, root = str(tmp_path / "in"), str(tmp_path / "out")
@@ -88,6 +111,15 @@ def test_stages_store_once_retry_for_ever_and_go_on(spark, tmp_path):
         assert pipeline.retry_due(spark, root, at) == 1
     assert pipeline.latest(pipeline.ledger(spark, root).snapshot().read("stages"), "id").where("id = 'c'").first()["attempts"] == 11
     assert pipeline.build(spark, root) == 0 and pipeline.reconcile(spark, root) == 0
+    # Tidied, it reads as before from fewer rows and folders.
+    held = lambda s: {t: sorted(map(str, s.read(t).collect())) for t in ("evidence", "claims", "fields", "slots", "events")}
+    snap = pipeline.ledger(spark, root).snapshot()
+    was, stood, folders = held(snap), sorted(map(str, pipeline.transactions(spark, root).collect())), sum(map(len, snap.tables.values()))
+    gone = pipeline.tidy(spark, root, keep=1)
+    now = pipeline.ledger(spark, root).snapshot()
+    assert held(now) == was and sorted(map(str, pipeline.transactions(spark, root).collect())) == stood and now.marks == snap.marks
+    assert now.read("stages").count() == 4 and sum(map(len, now.tables.values())) < folders and len(gone["stages"]) > 10
+    assert pipeline.retry_due(spark, root, at + timedelta(days=1)) == 1
     done = []
     problems = pipeline.run_stages(spark, None, root, BLOCKS, NOW, {"one": lambda: 1 / 0, "two": lambda: done.append(2)})
     assert list(problems) == ["one"] and done == [2]
@@ -135,6 +167,10 @@ def test_incremental_equals_full_sweeps(spark, some, tmp_path):
     base = [c for c in some.columns if c not in ("claim_id", "evidence_id")]
     tx, known = drained(first.select(*base))
     assert same(snap.read("candidates").drop("step", "part"), known)
+    # Compaction between the parts changes nothing but what is stored.
+    before = {t: snap.read(t).count() for t in ("heads", "states")}
+    snap = snap.commit({}, incremental.compacted(snap))
+    assert all(snap.read(t).count() == snap.read(t).select(*k).distinct().count() <= before[t] for t, k in (("heads", ["sweep", "key"]), ("states", ["id"]))) and snap.read("heads").count() < before["heads"]
     snap = pass_over(snap, second)
     tx, known = drained(tx.unionByName(second.select(*base)), known)
     assert same(snap.read("candidates").drop("step", "part"), known)
