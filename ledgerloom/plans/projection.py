@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Few narrow columns dealt to all cores by key, however few row groups their file has: for queries that make large artifacts of
+    them, after this, and read each one."""
+    n = max(4 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, key)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Python workers get at most so many rows and bytes at once: artifacts are large, and workers share an
+    executor's memory."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", "16m")):
+        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", most)
+    return df
+
+
 def minor(price: Column) -> Column:
     return (price.cast("decimal(18,2)") * 100).cast("bigint")
 

@@ -12,7 +12,7 @@ from .operators import geometry, incremental, lookups, match, quality, query, st
 from .plans import migrations
 from .plans.checkpoint import cut, scratch
 from .plans.commits import Store
-from .plans.projection import claim_fields, table, transactions
+from .plans.projection import claim_fields, small_batches, spread, table, transactions
 from .schemas import SELF
 from .sources import config, uploads
 from .streaming import pipeline
@@ -808,7 +808,7 @@ def customer_statements(spark, d):
     k = F.col("c_custkey")
     m, name = k % 4, k.cast("string")
     raw = xhtml((60, 100, F.lit("5 ENE 2026")), (500, 100, F.lit("-$10.00")), (140, 101, F.when(m == 1, "hello").otherwise(F.concat(F.lit("Tienda "), name, F.lit(" Compra")))), (60, 140, F.when(m == 2, "6 ENE 2026")), (500, 140, F.lit("-$0.00")), (140, 140, F.lit("Otra Compra")))
-    return table(spark, d, "customer").select(name.alias("id"), F.lit("s").alias("source_id"), F.lit("MANUAL").alias("source_type"), F.col("c_name").alias("source_reference"), F.when(m == 3, "text/html").otherwise("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"), F.lit(SINCE).alias("observed_at"))
+    return spread(table(spark, d, "customer"), "c_custkey").select(name.alias("id"), F.lit("s").alias("source_id"), F.lit("MANUAL").alias("source_type"), F.col("c_name").alias("source_reference"), F.when(m == 3, "text/html").otherwise("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"), F.lit(SINCE).alias("observed_at"))
 
 
 @query_("""WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS m FROM customer)
@@ -848,7 +848,7 @@ def stm11_reextraction(spark, d):
     k = F.col("s_suppkey")
     money = lambda minor: F.concat(F.lit("$"), F.format_number((minor / 100).cast("decimal(18,2)"), 2))
     raw = xhtml((60, 100, F.lit("6 ENE 2026")), (500, 100, F.concat(F.lit("-"), money(k + 1000))), (140, 100, F.lit("Tienda Compra")), (60, 5, F.lit("01/01/2026")), (120, 5, F.lit("al")), (180, 5, F.lit("31/01/2026")), (45, 20, F.lit("9")), (60, 20, F.lit("CGO")), (430, 20, money(k + 500_000)))
-    ev = table(spark, d, "supplier").select(k.cast("string").alias("id"), F.lit("s").alias("source_id"), F.lit("MANUAL").alias("source_type"), F.col("s_name").alias("source_reference"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"), F.lit(SINCE).alias("observed_at"))
+    ev = spread(table(spark, d, "supplier"), "s_suppkey").select(k.cast("string").alias("id"), F.lit("s").alias("source_id"), F.lit("MANUAL").alias("source_type"), F.col("s_name").alias("source_reference"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"), F.lit(SINCE).alias("observed_at"))
     root = scratch(spark, "ledger")
     pipeline.receive(pipeline.ledger(spark, root).snapshot(), ev, "STATEMENT_BLOCKS_V1", BEFORE)
     pipeline.build(spark, root)
@@ -882,7 +882,7 @@ def er14_incremental(spark, d):
 def scl12_html_text(spark, d):
     """Pages as text. The SQL says it by a chain of patterns, which fits pages whose markup is well formed; tests hold the scanner to
     what is not."""
-    return table(spark, d, "pages").select("page_id", html_text("html").alias("text"))
+    return small_batches(table(spark, d, "pages")).select("page_id", html_text("html").alias("text"))
 
 
 def xhtml(*placed) -> Column:
@@ -913,7 +913,7 @@ def utf1_statement_interpreters(spark, d):
         (135.84, 155, F.concat(F.when(m == 0, "Depósito SPEI, Del cliente Ana "), name, F.lit(" (Dato no verificado por esta institución), Hora: 10:20:30, Clave de rastreo K"), name, F.lit(" , Concepto x"))),
         (60, 180, only(0)), (500, 180, F.when(m == 0, "+$1.00")), (140, 180, F.when(m == 0, "SPEI recibido de nadie")),
     )
-    ev = table(spark, d, "customer").select(name.alias("id"), F.lit("STATEMENT_BLOCKS_V1").alias("extraction_profile"), F.when(m == 3, "text/html").otherwise("application/xhtml+xml; charset=utf-8").alias("content_type"), raw.alias("raw_content"))
+    ev = spread(table(spark, d, "customer"), "c_custkey").select(name.alias("id"), F.lit("STATEMENT_BLOCKS_V1").alias("extraction_profile"), F.when(m == 3, "text/html").otherwise("application/xhtml+xml; charset=utf-8").alias("content_type"), raw.alias("raw_content"))
     return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", "problem", "unread_rows", field("amount_minor").cast("bigint").alias("amount_minor"), field("merchant"), field("counterparty", 1), field("tracking_key", 1))
 
 
@@ -936,7 +936,7 @@ def utf13_column_statements(spark, d):
         (370, 20, F.when(~inward, amount)), (430, 20, F.when(inward, amount)), (520, 20, F.lit("$9.00")),
         (60, 40, annex(F.when(inward, "SPEI-Recibidos").otherwise("SPEI-Enviados"))), (60, 60, annex(dmy(day))), (130, 60, annex(F.lit("10:20:30"))), (200, 60, annex(amount)), (470, 60, annex(F.concat(F.lit("HSB"), name))),
     )
-    ev = table(spark, d, "orders").select(name.alias("id"), F.lit("STATEMENT_COLUMNS_V1").alias("extraction_profile"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"))
+    ev = spread(table(spark, d, "orders"), "o_orderkey").select(name.alias("id"), F.lit("STATEMENT_COLUMNS_V1").alias("extraction_profile"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"))
     day_told = F.date_format(V.day_in_zone(F.try_to_timestamp(F.get("claims", F.lit(0))["occurred_at"]["value"]), "America/Mexico_City"), "yyyy-MM-dd").alias("day")
     return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", "problem", field("amount_minor").cast("bigint").alias("amount_minor"), *map(field, ("direction", "merchant", "counterparty", "tracking_key")), day_told)
 
@@ -974,7 +974,7 @@ def scl13_mail_bodies(spark, d):
     plain = F.when((k % 7 == 4), "Content-Type: text/plain\r\n\r\n<p>no</p>\r\n--b2\r\n").otherwise("")
     closed = F.concat_ws("", F.transform(F.sequence(F.lit(4), F.lit(0), F.lit(-1)), lambda i: F.when(i < depth, joined("\r\n--b", i.cast("string"), "--")).otherwise("")))
     raw = F.concat(utf8("Subject: ", encoded_word(joined("Página ", k.cast("string"))), "\r\n", opened, plain, "Content-Type: TEXT/html; charset=utf-8\r\nContent-Transfer-Encoding: ", kind, "\r\n\r\n"), sent, utf8(closed))
-    m = table(spark, d, "pages").select("page_id", raw.alias("raw")).select("page_id", mail_html("raw").alias("m"))
+    m = small_batches(table(spark, d, "pages")).select("page_id", raw.alias("raw")).select("page_id", mail_html("raw").alias("m"))
     return m.select("page_id", "m.subject", F.length("m.html").cast("bigint").alias("n_chars"), F.sha2(F.encode("m.html", "UTF-8"), 256).alias("html_sha256"))
 
 
@@ -1031,7 +1031,7 @@ def utf1_mail_claims(spark, d):
         .otherwise(utf8("Content-Type: multipart/mixed; boundary=x\r\n\r\n--x\r\nContent-Type: text/plain\r\n\r\nMonto: $3.00\r\n--x\r\nContent-Type: multipart/related; boundary=y\r\n\r\n--y\r\n", typed("; charset=utf-8", "base64"), b64, "\r\n--y--\r\n--x--"))
     )
     raw = F.concat(utf8("From: a@b.example\r\nSubject: ", F.when((m == 0) & (k % 3 == 0), subject).otherwise(encoded_word(subject)), "\r\nMIME-Version: 1.0\r\n"), part)
-    ev = table(spark, d, "orders").select(name.alias("id"), F.lit("EMAIL_V1").alias("extraction_profile"), F.when(f == 6, "application/pdf").otherwise("message/rfc822").alias("content_type"), raw.alias("raw_content"))
+    ev = spread(table(spark, d, "orders"), "o_orderkey").select(name.alias("id"), F.lit("EMAIL_V1").alias("extraction_profile"), F.when(f == 6, "application/pdf").otherwise("message/rfc822").alias("content_type"), raw.alias("raw_content"))
     return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", "problem", *told())
 
 
@@ -1061,7 +1061,7 @@ def utf9_statement_shapes(spark, d):
     opening = F.when(m == 14, "Transferencia SPEI, Al cliente Ana de").when(m.isin(13, 15), "Depósito SPEI, Del cliente Ana de")
     rest = joined(name, " (Dato no verificado por esta institución)", F.when(m < 15, joined(", Hora: 10:20:30, Clave de rastreo K", name, " , Concepto x")).otherwise(""))
     raw = xhtml((60, 100, date), (500, 100, amount), (140, 101, text), (135.84, 115, opening), (135.84, 125, F.when(m.isin(13, 14, 15), rest)), (300, 300, F.lit("pie de página")))
-    ev = table(spark, d, "orders").select(name.alias("id"), F.lit("STATEMENT_BLOCKS_V1").alias("extraction_profile"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"))
+    ev = spread(table(spark, d, "orders"), "o_orderkey").select(name.alias("id"), F.lit("STATEMENT_BLOCKS_V1").alias("extraction_profile"), F.lit("application/xhtml+xml").alias("content_type"), raw.alias("raw_content"))
     return interpret(ev).select(F.col("id").cast("bigint").alias("id"), "status", "problem", "unread_rows", *told())
 
 

@@ -1,9 +1,15 @@
 """Positioned words into rows: invented documents, one situation each."""
 
+from datetime import date, timedelta
+
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from helpers import document
 from ledgerloom.text import coordinates as C
+from ledgerloom.text import interpreters as I
 
 
 def test_block_rows():
@@ -102,3 +108,36 @@ def test_pdf_goes_through_an_extractor(tmp_path):
     for bad in (program("sys.exit(1)"), program("time.sleep(60)", seconds=0.5), program("print('x' * 1000)", most=100)):
         with pytest.raises(NotExtracted):
             bad(b"x")
+
+
+def test_the_days_of_a_period():
+    """Found without going through them: a period of centuries costs what a month does."""
+    for first in (date(2023, 12, 30), date(2024, 1, 31), date(2024, 2, 1), date(2023, 2, 2)):
+        for length in (-1, 0, 20, 70):
+            days = [first + timedelta(i) for i in range(length + 1)]
+            for number in range(40):
+                assert I.day_within(first, first + timedelta(length), number) == next((x for x in days if x.day == number), None)
+    assert I.day_within(date(1700, 1, 1), date(2200, 1, 1), 31) == date(1700, 1, 31)
+
+
+def test_local_times_as_pandas_has_them():
+    for local in ((1996, 4, 7, 3, 0, 0), (1996, 10, 26, 23, 59, 59), (1969, 1, 1, 0, 0, 0), (2037, 7, 1, 1, 2, 3), (2040, 1, 1, 0, 0, 0)):
+        assert I.in_utc(*local) == pd.Timestamp(*local).tz_localize(I.ZONE).tz_convert("UTC").strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    for none in ((1996, 4, 7, 2, 30, 0), (1996, 10, 27, 1, 30, 0), (1996, 2, 30, 0, 0, 0)):  # never, twice, no day
+        with pytest.raises(Exception):
+            I.in_utc(*none)
+
+
+def test_artifacts_are_read_by_all_tasks(spark):
+    """Tables of one row group are dealt out before they become artifacts."""
+    for name in ("utf13_column_statements", "utf1_statement_interpreters", "utf1_mail_claims", "utf9_statement_shapes"):
+        parts = entry.queries()[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts >= 4, name
+
+
+def test_workers_get_small_batches(spark):
+    for name in ("scl13_mail_bodies", "scl12_html_text", "utf1_mail_claims"):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "16m"
