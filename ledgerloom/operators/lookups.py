@@ -21,9 +21,13 @@ def source_of(transactions: DataFrame, evidence: DataFrame, on: str, source: str
 
 
 def confidences(fields: DataFrame, names: list[str], key: str = "evidence_id") -> DataFrame:
-    """(key, <name>_confidence ...): for each field the confidence that the first claim holding it states."""
+    """(key, <name>_confidence ...): for each field the confidence that the first claim holding it states; keys without any stay.
+
+    Only rows of the names are sorted; the keys of the others come as a hash aggregate."""
     pick = lambda n: F.min_by(F.when(F.col("field_name") == n, F.col("confidence")), F.when(F.col("field_name") == n, F.col("claim_id"))).alias(f"{n.removesuffix('_minor')}_confidence")
-    return fields.groupBy(key).agg(*[pick(n) for n in names])
+    own = fields.where(F.col("field_name").isin(*names)).groupBy(key).agg(*[pick(n) for n in names])
+    every = fields.groupBy(key).agg(F.count("*").alias("__n")).select(F.col(key).alias("__key"))
+    return every.join(own, F.col("__key").eqNullSafe(F.col(key)), "left").select(F.col("__key").alias(key), *[c for c in own.columns if c != key])
 
 
 def provenance(transactions: DataFrame, bridge: DataFrame, on: str, evidence: str = "evidence_id") -> DataFrame:

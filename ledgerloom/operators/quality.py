@@ -41,7 +41,7 @@ def claim_problems(fields: DataFrame) -> DataFrame:
         ("RESERVED", (name == "counterparty") & ~V.counterparty_ok(text)),
     )
     rows = fields.select("claim_id", F.explode(one).alias("problem"))
-    pair = fields.groupBy("claim_id").agg(F.max((name == "amount_minor").cast("int")).alias("a"), F.max((name == "currency").cast("int")).alias("c"))
+    pair = fields.where(name.isin("amount_minor", "currency")).groupBy("claim_id").agg(F.max((name == "amount_minor").cast("int")).alias("a"), F.max((name == "currency").cast("int")).alias("c"))
     return rows.unionByName(pair.where("a = 1 and c = 0").select("claim_id", F.lit("AMOUNT_WITHOUT_CURRENCY").alias("problem")))
 
 

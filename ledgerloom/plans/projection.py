@@ -59,8 +59,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def claim_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as claims of an order (the evidence): one row per field that is present."""
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as claims of an order (the evidence): a row each, with the fields that are present as an array."""
     li = table(spark, sf_dir, "lineitem")
     claim = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", minor(F.col("l_extendedprice")), "l_linenumber")
     row = lambda name, i, t, conf: F.struct(F.lit(name).alias("field_name"), i.cast("bigint").alias("value_int"), t.cast("string").alias("value_text"), F.lit(conf).alias("confidence"))
@@ -73,4 +73,9 @@ def claim_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_partkey") % 3 == 0, row("merchant", none, F.concat(F.lit("M"), F.col("l_suppkey").cast("string")), "MEDIUM")),
         F.when(F.col("l_partkey") % 4 == 0, row("tracking_key", none, F.concat(F.lit("T"), F.col("l_partkey").cast("string")), "HIGH")),
     ))
-    return li.select(F.col("l_orderkey").alias("evidence_id"), claim.alias("claim_id"), F.explode(fields).alias("f")).select("evidence_id", "claim_id", "f.*")
+    return li.select(F.col("l_orderkey").alias("evidence_id"), claim.alias("claim_id"), fields.alias("fields"))
+
+
+def claim_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, one row per field."""
+    return claims(spark, sf_dir).select("evidence_id", "claim_id", F.explode("fields").alias("f")).select("evidence_id", "claim_id", "f.*")

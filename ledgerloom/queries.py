@@ -12,7 +12,7 @@ from .operators import geometry, incremental, lookups, match, quality, query, st
 from .plans import migrations
 from .plans.checkpoint import cut, scratch
 from .plans.commits import Store
-from .plans.projection import claim_fields, small_batches, spread, table, transactions
+from .plans.projection import claim_fields, claims, small_batches, spread, table, transactions
 from .schemas import SELF
 from .sources import config, uploads
 from .streaming import pipeline
@@ -274,15 +274,13 @@ def snk8_terminal_rows(spark, d):
  CASE WHEN evidence_id % 3 = 0 THEN '2026-01-0' || line END AS occurred_at, CASE WHEN evidence_id % 5 = 0 THEN 'Z' || evidence_id END AS counterparty FROM c""")
 def prj2_claim_pivot(spark, d):
     """All nine fields; a counterparty that is stated twice gives the greater one."""
-    f = claim_fields(spark, d)
     k, line = F.col("evidence_id").cast("string"), F.substring_index("claim_id", "-", -1)
     row = lambda name, text: F.struct(F.lit(name).alias("field_name"), F.lit(None).cast("long").alias("value_int"), text.alias("value_text"), F.lit("LOW").alias("confidence"))
     more = F.array_compact(F.array(
         F.when(line.cast("int") % 2 == 0, row("account_identifier", F.concat(F.lit("ACC"), line))), F.when(F.col("evidence_id") % 3 == 0, row("occurred_at", F.concat(F.lit("2026-01-0"), line))),
         *[F.when(F.col("evidence_id") % 5 == 0, row("counterparty", F.concat(F.lit(c), k))) for c in "ZA"],
     ))
-    extra = f.where("field_name = 'currency'").select("evidence_id", "claim_id", F.explode(more).alias("f")).select("evidence_id", "claim_id", "f.*")
-    return store.pivot_claims(f.unionByName(extra))
+    return store.pivot_claims(claims(spark, d).withColumn("fields", F.concat("fields", more)))
 
 
 @query_("SELECT e.event_id, epoch_ms(coalesce(CASE WHEN event_id % 4 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END, ts)) AS occurred_at, coalesce(event_id % 4 = 0 OR o_orderdate IS NULL, true) AS from_evidence FROM events e LEFT JOIN orders ON o_orderkey = event_id")
@@ -302,7 +300,7 @@ def prj4_other_party(spark, d):
 
 @query_(f"WITH {CLAIMS} SELECT claim_id, 'MONEY_PAIR' AS violation FROM c WHERE line = 6 UNION ALL SELECT claim_id, 'DIRECTION' FROM c WHERE line = 5")
 def prj5_row_violations(spark, d):
-    p = store.pivot_claims(claim_fields(spark, d)).withColumn("line", F.substring_index("claim_id", "-", -1))
+    p = store.pivot_claims(claims(spark, d)).withColumn("line", F.substring_index("claim_id", "-", -1))
     bad = p.withColumns({"currency": F.when(F.col("line") != "6", F.col("currency")), "direction": F.when(F.col("line") == "5", "UNKNOWN").otherwise(F.col("direction"))})
     return quality.transaction_violations(bad).select("claim_id", F.explode("violations").alias("violation"))
 

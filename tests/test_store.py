@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from helpers import document, statement
 from ledgerloom import schemas
-from ledgerloom.operators import incremental, match
+from ledgerloom.operators import incremental, lookups, match, quality
+from ledgerloom.operators import store as store_rules
 from ledgerloom.plans.checkpoint import cut
 from ledgerloom.plans.commits import Conflict, Store
 from ledgerloom.plans.projection import transactions
@@ -229,3 +230,37 @@ def test_reextraction_ends_as_a_fresh_build(spark, tmp_path):
     assert same(pipeline.current_claims(now()), pipeline.current_claims(store.snapshot()))
     told = [json.loads(e["payload"]) for e in now().read("events").where("type = 'ClaimActivated'").collect()]
     assert sum("supersedesInterpretationId" in t for t in told) == 3
+
+
+FLAT = "evidence_id string, claim_id string, field_name string, value_int long, value_text string, confidence string"
+
+
+def test_claims_with_their_fields_are_pivoted_where_they_are(spark):
+    """As a row per field gives it, with claims in several rows, fields that are there twice or unknown, and claims of none."""
+    flat = spark.createDataFrame([
+        ("e", "1", "amount_minor", 5, None, "HIGH"), ("e", "1", "amount_minor", 7, None, "HIGH"), ("e", "1", "merchant", None, "a", "LOW"), ("e", "1", "merchant", None, "b", "LOW"),
+        ("e", "2", "colour", None, "red", "LOW"), ("f", "1", "financial_status", None, "SETTLED", "HIGH"), ("f", "1", "merchant", None, None, "LOW"),
+    ], FLAT)
+    field = F.struct("field_name", "value_int", "value_text", "confidence")
+    half = F.coalesce(F.col("value_text"), F.lit("")) == "b"
+    nested = flat.groupBy("evidence_id", "claim_id", half.alias("half")).agg(F.collect_list(field).alias("fields")).drop("half")
+    nested = nested.unionByName(nested.limit(1).select(F.lit("none").alias("evidence_id"), "claim_id", F.slice("fields", 1, 0).alias("fields")))
+    assert sorted(map(str, store_rules.pivot_claims(nested).collect())) == sorted(map(str, store_rules.pivot_claims(flat).collect()))
+
+
+def test_only_the_fields_that_are_asked_for_are_aggregated(spark):
+    rows = [("e", "2", "merchant", None, "a", "LOW"), ("e", "1", "merchant", None, "b", "HIGH"), ("f", "1", "colour", None, "red", "LOW"), (None, "1", "merchant", None, "c", "MEDIUM"), ("e", "3", "amount_minor", 1, None, "HIGH")]
+    flat = spark.createDataFrame(rows, FLAT)
+    out = lookups.confidences(flat, ["merchant"])
+    assert {r[0]: r[1] for r in out.collect()} == {"e": "HIGH", "f": None, None: "MEDIUM"}
+    problems = quality.claim_problems(flat)
+    assert ("3", "AMOUNT_WITHOUT_CURRENCY") in {tuple(r) for r in problems.collect()}
+    for df in (out, problems):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter" in plan and ("IN (amount_minor,currency)" in plan or "= merchant" in plan)
+
+
+def test_evidence_is_made_by_all_tasks(spark):
+    from ledgerloom import queries
+
+    assert queries.customer_statements(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() >= 4
