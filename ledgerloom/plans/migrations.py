@@ -15,8 +15,9 @@ DEFAULT_PROFILE = "EMAIL_V1"
 
 def interpretations_from_claims(t: Tables) -> Tables:
     """Every evidence with claims gets one interpretation that holds them and is the active one."""
-    own = t["claim_evidence"].select("evidence_id", "claim_id", F.sha2(F.concat(F.lit("interpretation:"), F.col("evidence_id").cast("string")), 256).alias("interpretation_id"))
-    heads = own.select("evidence_id", "interpretation_id").distinct()
+    made = F.sha2(F.concat(F.lit("interpretation:"), F.col("evidence_id").cast("string")), 256).alias("interpretation_id")
+    own = t["claim_evidence"].select("evidence_id", "claim_id", made)
+    heads = t["claim_evidence"].select("evidence_id").distinct().select("evidence_id", made)  # numbers are shuffled, not their hashes
     return t | {"interpretations": heads.withColumnRenamed("interpretation_id", "id"), "interpretation_claims": own.select("interpretation_id", "claim_id"), "active_interpretation": heads}
 
 
