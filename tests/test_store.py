@@ -272,6 +272,6 @@ def test_migrations_shuffle_ids_and_stores_are_compressed_well(spark, tmp_path):
     li = spark.range(4).select((F.col("id") % 2).alias("evidence_id"), F.col("id").cast("string").alias("claim_id"))
     heads = migrations.migrate({"claim_evidence": li}, 0)[0]["active_interpretation"]
     plan = heads._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("sha2(") < plan.index("Aggregate") and heads.count() == 2
+    assert "interpretation_id" not in plan.split("], [")[0] and heads.count() == 2  # grouped by ids alone
     snap = Store(spark, str(tmp_path), {"a": "evidence_id long, interpretation_id string"}).snapshot().commit({"a": heads})
     assert all(".zstd." in f for f in snap.read("a").inputFiles())
