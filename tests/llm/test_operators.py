@@ -254,6 +254,23 @@ def test_pu_risk_finds_the_border_without_negatives():
     assert quality_pu.border_of(np.array([1.0]), 0.5) == 1.0
 
 
+def test_quality_model_counts_every_row(spark):
+    """30,000 rows, far more than any sample of before: the greatest values, each in a row of its own, are edges, and the border leaves
+    the share of the prior above it, among all rows."""
+    odd = {7: "word " * 900, 11: "| " * 20 + "word", 13: "!" * 300 + " word", 17: "7" * 400, 19: "#" * 200 + " word"}
+    text = F.concat(F.repeat(F.lit("good text here. "), (1 + F.col("doc_id") % 40).cast("int")), F.when(F.col("doc_id") % 4 == 0, F.repeat(F.lit("%% "), (1 + F.col("doc_id") % 7).cast("int"))).otherwise(""))
+    extra = spark.createDataFrame(list(odd.items()), "doc_id long, odd string")
+    docs = spark.range(30_000).withColumnRenamed("id", "doc_id").join(F.broadcast(extra), "doc_id", "left").select("doc_id", F.coalesce("odd", text).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 != 0).cast("int").alias("quality"))
+    rows = quality_pu.measured(docs)
+    model = quality_pu.learnt(rows, labels)
+    most = rows.agg(*[F.max(c).alias(c) for c in quality_pu.FEATURES]).first()
+    assert {c: e[-1] for c, e in model.edges.items()} == most.asDict()
+    assert model.prior == 0.75
+    above = quality_pu.scored(rows, model).where("score >= 0.3").count()
+    assert abs(above - 22_500) <= 100
+
+
 def test_registered_queries_give_their_digests(spark, documents, tmp_path):
     """The columns that the queries derive, against their definitions, over the fixture as a table."""
     import tiktoken
