@@ -14,6 +14,7 @@ Columns beside doc_id and text are not read, so their names cannot clash; an emp
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import re
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ LONG_WORD = 200
 CACHE = 350_000
 CHUNK_CHARS = 3 << 20
 DECODE_IDS = 2_000_000
+DECODE_SLICE = 500_000  # ids that one decoding query orders
 
 ENCODE_SQL = """
 WITH RECURSIVE step(it, spot, tok) AS (
@@ -65,7 +67,6 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.cuts: dict[bytes, bytes] = {}
         single = np.zeros(256, np.int32)
         pair, merged = [], []
         for token, rank in self.ranks.items():
@@ -77,8 +78,6 @@ class Coder:
                     pair.append(left << 20 | right)
                     merged.append(rank)
         self.single = single
-        self.spaced = np.zeros(max(self.ranks.values()) + 1, bool)
-        self.spaced[[rank for token, rank in self.ranks.items() if token[:1] == b" " or token in (b".", b",", b"!", b"\n")]] = True
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "250MB"})
         self.db.register("m", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -138,7 +137,16 @@ class Coder:
                 start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """int32 ids of each text."""
+        """int32 ids of each text. Its many short lists hold no cycles, which collections would look for in vain."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         if len(self.words) > CACHE:
@@ -160,24 +168,17 @@ class Coder:
         return [b"".join(map(get, ps)) for ps in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each id sequence. It is cut before tokens that begin with a space or are a sign; each different cut is decoded once."""
-        if len(self.cuts) > CACHE:
-            self.cuts.clear()
-        keys: list[list[bytes]] = []
-        for x in ids:
-            raw, at = x.tobytes(), (np.flatnonzero(self.spaced[x]) * x.itemsize).tolist()
-            at = [0, *(at[1:] if at[:1] == [0] else at), len(raw)]
-            keys.append([raw[a:b] for a, b in zip(at, at[1:])])
-        new = list({k for ks in keys for k in ks if k not in self.cuts})
-        n = np.fromiter((len(k) // 4 for k in new), np.int64, len(new))
-        if n.sum():
-            tok = np.frombuffer(b"".join(new), np.int32)
-            self.db.register("id_rows", pa.table({"d": np.repeat(np.arange(len(new), dtype=np.int32), n), "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
-            for k, text in zip((k for k in new if k), self.db.execute(DECODE_SQL).fetchnumpy()["text"].tolist()):
-                self.cuts[k] = text.encode("latin-1")
-        self.cuts[b""] = b""
-        get = self.cuts.__getitem__
-        return [b"".join(map(get, ks)) for ks in keys]
+        """The bytes of each id sequence, DECODE_SLICE ids at a time: tokens are whole bytes, so a sequence may be parted anywhere."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        tok = np.concatenate([np.empty(0, np.int32), *ids])
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+        for at in range(0, len(tok), DECODE_SLICE):
+            part = tok[at : at + DECODE_SLICE]
+            self.db.register("id_rows", pa.table({"d": owner[at : at + DECODE_SLICE], "pos": np.arange(len(part), dtype=np.int32), "tok": part}))
+            got = self.db.execute(DECODE_SQL).fetchnumpy()
+            for d, text in zip(got["d"].tolist(), got["text"].tolist()):
+                out[d].append(text.encode("latin-1"))
+        return [b"".join(x) for x in out]
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
