@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with DuckDB queries inside each partition.
 
-encode(): a text is cut where a space stands before a visible sign, a cut that the pre-token pattern always makes;
-each different piece is pre-tokenised once, and the pre-tokens that a worker has not met go to DuckDB together.
-There a recursive query holds one row per token and position, joins neighbours to the merge table and contracts
-each word's leftmost pair of least rank until no pair is left. decode(): token ids join the vocabulary and an
-ordered aggregation puts the bytes together.
+encode(): a batch of texts is cut where the pre-token pattern always parts (pieces.py), and each different piece of it
+is told once. Pieces with signs beyond ASCII or an apostrophe are pre-tokenised by it; every other one is a pre-token. The
+different pre-tokens go to DuckDB, as many at once as SLICE allows: there a recursive query holds one row per token and
+position, joins neighbours to the merge table and contracts each word's leftmost pair of least rank until no pair is left.
+decode(): token ids join the vocabulary and an ordered aggregation puts the bytes together, BLOCK ids a group. Texts
+are cut so for public_tokenizers.PATTERN; for any other pattern, whole texts are pre-tokenised by it.
 
 Null texts count as empty (no ids). Repeated rows are encoded one by one. Pre-tokens over LONG_WORD bytes, where a
 merge a round would take thousands of rounds, are contracted by the same rule with a heap. Very long texts are encoded whole.
@@ -15,40 +16,40 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks
+from .pieces import CLASS, OTHER, apostrophes, binary, buffers, by_pattern, lengths, whole
 
-#: A space before a visible sign; white space as the pattern's \s has it.
-CUT = re.compile("(?= [^ \t-\r\x85\xa0  -     　])")
-SIGNS = frozenset(".,;:!?")
-LONG_WORD = 200
-CACHE = 350_000
-CHUNK_CHARS = 3 << 20
-DECODE_IDS = 2_000_000
+LONG_WORD = 200  # under 256, the places that ENCODE_SQL tells
+CHUNK_BYTES = 8 << 20
+#: Rows that one encoding query may write at worst: a word of n bytes has n rows in the first round and at most n rounds.
+SLICE = 2_000_000
+DECODE_IDS, BLOCK = 500_000, 1024  # ids that one decoding query orders, and that one group of it holds
 
+#: x is word << 28 | place << 20 | token. A word without a pair left is written once more as done, and not looked at again.
 ENCODE_SQL = """
-WITH RECURSIVE step(it, spot, tok) AS (
-    SELECT 0, spot, tok FROM token_rows
+WITH RECURSIVE step(x, done) AS (
+    SELECT x, false FROM token_rows
     UNION ALL
     (WITH beside AS MATERIALIZED (
-        SELECT it, spot, tok, lag(spot) OVER (ORDER BY spot) AS spot0, lag(tok) OVER (ORDER BY spot) AS tok0 FROM step
+        SELECT x, lag(x) OVER (ORDER BY x) AS x0 FROM step WHERE NOT done
      ), best AS (
-        SELECT b.spot >> 20 AS w, min((m.merged::BIGINT << 20) | (b.spot0 & 1048575)) AS least
-        FROM beside b JOIN merges m ON m.pair = ((b.tok0::BIGINT << 20) | b.tok) WHERE b.spot0 >> 20 = b.spot >> 20 GROUP BY 1
+        SELECT b.x >> 28 AS w, min(m.merged << 8 | (b.x0 >> 20 & 255)) AS least
+        FROM beside b JOIN merges m ON m.pair = ((b.x0 & 1048575) << 20 | (b.x & 1048575)) WHERE b.x0 >> 28 = b.x >> 28 GROUP BY 1
      )
-     SELECT b.it + 1, b.spot, CASE WHEN (b.spot & 1048575) = (best.least & 1048575) THEN (best.least >> 20)::INTEGER ELSE b.tok END
-     FROM beside b JOIN best ON best.w = b.spot >> 20
-     WHERE b.spot0 IS NULL OR b.spot0 >> 20 <> b.spot >> 20 OR (b.spot0 & 1048575) <> (best.least & 1048575))
+     SELECT CASE WHEN (b.x >> 20 & 255) = (best.least & 255) THEN (b.x >> 20 << 20) | (best.least >> 8) ELSE b.x END, best.w IS NULL
+     FROM beside b LEFT JOIN best ON best.w = b.x >> 28
+     WHERE best.w IS NULL OR b.x0 IS NULL OR b.x0 >> 28 <> b.x >> 28 OR (b.x0 >> 20 & 255) <> (best.least & 255))
 )
-SELECT spot >> 20 AS w, tok FROM step JOIN (SELECT spot >> 20 AS w, max(it) AS it FROM step GROUP BY 1) AS last ON last.w = spot >> 20 AND last.it = step.it ORDER BY spot
+SELECT x >> 28 AS w, (x & 1048575)::INTEGER AS tok FROM step WHERE done ORDER BY x
 """
 DECODE_SQL = "SELECT d, string_agg(bytes, '' ORDER BY pos) AS text FROM id_rows JOIN vocab USING (tok) GROUP BY d ORDER BY d"
 
@@ -58,14 +59,13 @@ class Coder:
 
     def __init__(self, path: str, pattern: str):
         import duckdb
+        import public_tokenizers
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.cuts: dict[bytes, bytes] = {}
+        self.cut = by_pattern if pattern == public_tokenizers.PATTERN else whole
         single = np.zeros(256, np.int32)
         pair, merged = [], []
         for token, rank in self.ranks.items():
@@ -77,15 +77,17 @@ class Coder:
                     pair.append(left << 20 | right)
                     merged.append(rank)
         self.single = single
-        self.spaced = np.zeros(max(self.ranks.values()) + 1, bool)
-        self.spaced[[rank for token, rank in self.ranks.items() if token[:1] == b" " or token in (b".", b",", b"!", b"\n")]] = True
+        self.tokens = pa.array(self.ranks, pa.large_binary())
+        self.rank_of = np.fromiter(self.ranks.values(), np.int32, len(self.ranks))
+        self.width = np.zeros(self.rank_of.max() + 1, np.int64)
+        self.width[self.rank_of] = pc.binary_length(self.tokens).to_numpy()
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "250MB"})
-        self.db.register("m", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())}))
+        self.db.register("m", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
 
-    def by_heap(self, word: bytes) -> bytes:
+    def by_heap(self, word: bytes) -> np.ndarray:
         """Contraction of one very long word: the pair of least rank, leftmost first."""
         tok: list = [int(self.single[b]) for b in word]
         part = [word[i : i + 1] for i in range(len(word))]
@@ -104,80 +106,66 @@ class Coder:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y >= 0 and (r := self.ranks.get(part[x] + part[y])) is not None:
                     heapq.heappush(heap, (r, x, part[x], part[y]))
-        return np.array([t for t in tok if t is not None], np.int32).tobytes()
-
-    def learn_words(self, new: list[str]) -> None:
-        """Encodes pre-tokens not met before: whole tokens by lookup, the others by the recursive query."""
-        rows: list[bytes] = []
-        names: list[str] = []
-        for w in new:
-            b = w.encode("utf-8", "surrogatepass")
-            if (rank := self.ranks.get(b)) is not None:
-                self.words[w] = np.int32(rank).tobytes()
-            elif len(b) > LONG_WORD:
-                self.words[w] = self.by_heap(b)
-            else:
-                names.append(w)
-                rows.append(b)
-        for at in range(0, len(rows), 20_000):
-            part = rows[at : at + 20_000]
-            n = np.fromiter(map(len, part), np.int64, len(part))
-            first = np.cumsum(n) - n
-            place = np.arange(n.sum()) - np.repeat(first, n)
-            token_rows = pa.table({
-                "spot": pa.array(np.repeat(np.arange(len(part)), n) << 20 | place),
-                "tok": pa.array(self.single[np.frombuffer(b"".join(part), np.uint8)]),
-            })
-            self.db.register("token_rows", token_rows)
+        return np.array([t for t in tok if t is not None], np.int32)
+
+    def contracted(self, words: pa.Array) -> pa.Array:
+        """The int32 ids of each pre-token, as binary: whole tokens by lookup, the others by the recursive query."""
+        whole = pc.index_in(words, self.tokens)
+        known = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))
+        size = pc.binary_length(words).to_numpy()
+        short = whole.is_null().to_numpy(zero_copy_only=False) & (size <= LONG_WORD)
+        long = np.flatnonzero(whole.is_null().to_numpy(zero_copy_only=False) & ~short)
+        # Word numbers and ids of the three kinds of words, to be brought into the order of words.
+        of, ids = [known], [self.rank_of[whole.drop_null().to_numpy()]]
+        for i, word in zip(long.tolist(), words.take(pa.array(long)).to_pylist()):
+            ids.append(self.by_heap(word))
+            of.append(np.full(len(ids[-1]), i))
+        left = np.flatnonzero(short)
+        round_of = np.cumsum(size[left] * size[left]) // SLICE
+        for part in np.split(left, np.flatnonzero(np.diff(round_of)) + 1) if len(left) else []:
+            data, first = buffers(words.take(pa.array(part)))
+            n = np.diff(first)
+            place = np.arange(len(data)) - np.repeat(first[:-1], n)
+            self.db.register("token_rows", pa.table({"x": np.repeat(np.arange(len(part)), n) << 28 | place << 20 | self.single[data]}))
             out = self.db.execute(ENCODE_SQL).fetchnumpy()
-            w, tok = np.asarray(out["w"]), np.ascontiguousarray(out["tok"], np.int32)
-            ends = np.searchsorted(w, np.arange(len(part)), "right")
-            start = 0
-            for i, end in enumerate(ends.tolist()):
-                self.words[names[at + i]] = tok[start:end].tobytes()
-                start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """int32 ids of each text."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        cut = [CUT.split(t) for t in texts]
-        new = list({p for ps in cut for p in ps if p not in self.pieces})
-        # A plain word, or one with a sign behind it, needs no pattern: the pattern parts just these two.
-        split = [
-            [p] if p[1:].isalpha() and p[:1] == " " else [p[:-1], p[-1]] if p[-1:] in SIGNS and p[1:-1].isalpha() and p[:1] == " " else self.split(p)
-            for p in new
-        ]
-        fresh = list({w for ws in split for w in ws if w not in self.words})
-        if fresh:
-            self.learn_words(fresh)
-        words = self.words
-        for p, ws in zip(new, split):
-            self.pieces[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each id sequence. It is cut before tokens that begin with a space or are a sign; each different cut is decoded once."""
-        if len(self.cuts) > CACHE:
-            self.cuts.clear()
-        keys: list[list[bytes]] = []
-        for x in ids:
-            raw, at = x.tobytes(), (np.flatnonzero(self.spaced[x]) * x.itemsize).tolist()
-            at = [0, *(at[1:] if at[:1] == [0] else at), len(raw)]
-            keys.append([raw[a:b] for a, b in zip(at, at[1:])])
-        new = list({k for ks in keys for k in ks if k not in self.cuts})
-        n = np.fromiter((len(k) // 4 for k in new), np.int64, len(new))
-        if n.sum():
-            tok = np.frombuffer(b"".join(new), np.int32)
-            self.db.register("id_rows", pa.table({"d": np.repeat(np.arange(len(new), dtype=np.int32), n), "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
-            for k, text in zip((k for k in new if k), self.db.execute(DECODE_SQL).fetchnumpy()["text"].tolist()):
-                self.cuts[k] = text.encode("latin-1")
-        self.cuts[b""] = b""
-        get = self.cuts.__getitem__
-        return [b"".join(map(get, ks)) for ks in keys]
+            of.append(part[np.asarray(out["w"])])
+            ids.append(np.asarray(out["tok"], np.int32))
+        of, ids = np.concatenate(of), np.concatenate(ids)
+        order = np.argsort(of, kind="stable")
+        return binary(ids[order], 4 * np.append(0, np.cumsum(np.bincount(of, minlength=len(words)))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(int32 ids of all texts, offsets of each text's)."""
+        cut = self.cut(texts)
+        data, starts = buffers(cut.pieces)
+        kind = CLASS[data]
+        # What may hold several pre-tokens: pieces with other signs, or with letters behind an apostrophe.
+        marks = np.append(np.flatnonzero(kind == OTHER), apostrophes(data, kind))
+        odd = np.unique(np.searchsorted(starts, marks, "right") - 1) if self.cut is by_pattern else np.arange(len(cut.pieces))
+        parts = [self.split(p.decode("utf-8", "surrogatepass")) for p in cut.pieces.take(pa.array(odd)).to_pylist()]
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in parts for w in ws))}
+        plain = np.ones(len(cut.pieces), bool)
+        plain[odd] = False
+        words = pa.concat_arrays([cut.pieces.filter(pa.array(plain)).cast(pa.large_binary()), pa.array([w.encode("utf-8", "surrogatepass") for w in number], pa.large_binary())])
+        ids = self.contracted(words)
+        own, count = ids[: int(plain.sum())], len(words) - len(number)
+        rest = ids[count:].to_pylist()
+        several = pa.array([b"".join([rest[number[w]] for w in ws]) for ws in parts], pa.large_binary())
+        place = np.empty(len(plain), np.int64)
+        place[plain] = np.arange(count)
+        place[odd] = count + np.arange(len(odd))
+        flat, offsets = cut.joined(pa.concat_arrays([own, several]).take(pa.array(place)), 4)
+        return flat.view(np.int32), offsets
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of each of the id sequences ids[offsets[i] : offsets[i + 1]]."""
+        out = []
+        for at in range(0, len(ids), DECODE_IDS):
+            tok = ids[at : at + DECODE_IDS]
+            pos = np.arange(len(tok), dtype=np.int32)
+            self.db.register("id_rows", pa.table({"d": pos // BLOCK, "pos": pos, "tok": tok}))
+            out += [x.encode("latin-1") for x in self.db.execute(DECODE_SQL).fetchnumpy()["text"].tolist()]
+        return binary(b"".join(out), np.append(0, np.cumsum(self.width[ids]))[offsets])
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -198,13 +186,11 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(list(map(len, texts)), CHUNK_CHARS):
-                ids = c.encode(texts[a:b])
-                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
-                cols = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+            for a, b in chunks(lengths(batch.column(1)), CHUNK_BYTES):
+                ids, offsets = c.encode(batch.column(1).slice(a, b - a))
+                cols = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids))]
                 if decoded:
-                    cols.append(pa.array(c.decode([np.frombuffer(x, np.int32) for x in ids]), pa.binary()))
+                    cols.append(c.decode(ids, offsets).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
@@ -220,10 +206,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         for batch in batches:
             column = batch.column(names.index(ids))
             lists = column if isinstance(column, pa.ListArray) else column.cast(pa.list_(pa.int32()))
-            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-            for a, b in chunks([e - s for s, e in spans], DECODE_IDS):
-                text = c.decode([np.ascontiguousarray(flat[s:e], np.int32) for s, e in spans[a:b]])
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(names))], pa.array(text, pa.binary())], names=[*names, out])
+            lists = lists.fill_null(pa.scalar([], lists.type)) if lists.null_count else lists
+            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.int32)
+            for a, b in chunks(np.diff(bounds).tolist(), DECODE_IDS):
+                text = c.decode(flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(names))], text], names=[*names, out])
 
     return df.select(*names).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -654,6 +655,54 @@ def test_byte_bpe(documents):
     assert Counter((r["doc_id"], bytes(r["decoded"])) for r in again.collect()) == Counter((d, t.encode()) for d, t in texts_of(documents))
 
 
+ODD_SIGNS = [*"ab'st1 \n\t  .,'\r\x0b\x1c\x1f\x00\x7f", "é", "\u3000", "\xa0", "\x85", "\u2003", "\u2028", "“", "½", "一", "\U0001f600", "\u0301", "\u180e", "\u200b", "'ll"]
+
+
+def test_pieces_part_as_the_whole_text():
+    """A piece is pre-tokenised alone as in its text, rows never meet, and blanks part what by_blanks cuts."""
+    import pyarrow as pa
+    import regex
+
+    from ledgerloom.llm import pieces
+
+    split, rng = regex.compile(public_tokenizers.PATTERN).findall, random.Random(5)
+    texts = ["", "", "\n\n", "x", " ", "y\n\n", *["".join(rng.choices(ODD_SIGNS, k=rng.randint(0, 12))) for _ in range(20_000)]]
+    for batch in (texts, texts[:2], [], texts[7:9000]):
+        column = pa.array([*texts[:3], *batch, "z"], pa.string()).slice(3, len(batch))
+        for cut, want in ((pieces.by_pattern(column), split), (pieces.by_blanks(column), lambda t: [w for w in t.replace("\n", " ").split(" ") if w])):
+            told, codes = [p.decode() for p in cut.pieces.to_pylist()], cut.codes.to_pylist()
+            assert len(told) == len(set(told)) and len(cut.rows) == len(batch) + 1
+            for t, a, b in zip(batch, cut.rows, cut.rows[1:]):
+                got = [told[k] for k in codes[a:b]]
+                assert (got if want is not split else [w for p in got for w in split(p)]) == want(t), t
+
+
+def test_coder_in_batches(monkeypatch):
+    """Ids and bytes of odd texts are tiktoken's; the pattern is asked for odd pieces only, and no query gets more than SLICE allows."""
+    import pyarrow as pa
+    import tiktoken
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(6)
+    coder = bpe_duckdb.Coder(path, public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    asked, split = [], coder.split
+    coder.split = lambda p: asked.append(p) or split(p)
+    monkeypatch.setattr(bpe_duckdb, "SLICE", 50_000)
+    monkeypatch.setattr(bpe_duckdb, "DECODE_IDS", 3000)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    plain = [" ".join(f"{word(7)}.\n{word(9)}, (12)" for _ in range(50)) for _ in range(20)]
+    for texts in (plain, [word(rng.randint(150, 260)) for _ in range(60)], ["".join(rng.choices(ODD_SIGNS, k=rng.randint(0, 14))) for _ in range(3000)], ["", ""], []):
+        ids, rows = coder.encode(pa.array(texts, pa.string()))
+        assert texts is not plain or not asked
+        back = coder.decode(ids, rows).to_pylist()
+        assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:])] == [own.encode_ordinary(t) for t in texts]
+        assert back == [t.encode() for t in texts]
+    pattern = r"\d{1,3}|[^\d]"  # another pattern's pre-tokens are its own
+    ids, rows = bpe_duckdb.Coder(path, pattern).encode(pa.array(["", "the 12345", "the 12345", "é"]))
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:])] == [other.encode_ordinary(t) for t in ("", "the 12345", "the 12345", "é")]
+
+
 def test_no_rows(empty, vectors):
     path = public_tokenizers.path
     assert minhash.near(empty).count() == 0
