@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, stored, text_or_empty
+from .pieces import lengths
 from .tokens import encoder
 
 SHARD_TOKENS = 1 << 20
-CHUNK_CHARS = 2 << 20
+CHUNK_BYTES = 2 << 20
 BITS = 16
 BLOCK = 512  # bits that one entry of a rank directory covers
 SHARDS = "part int, shard int, base long, n_tokens long, doc_ids binary, nulls binary, lengths binary, zeros array<int>, planes array<binary>, ranks array<binary>"
@@ -147,9 +148,9 @@ def write(df: DataFrame, path: str, cut: str = "blank", end: int = 1) -> DataFra
             return out
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(list(map(len, texts)), CHUNK_CHARS):
-                for d, x in zip(names[a:b], enc.encode(texts[a:b], end)):
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in chunks(lengths(texts), CHUNK_BYTES):
+                for d, x in zip(names[a:b], enc.encode(texts.slice(a, b - a), end)):
                     if docs and state["size"] + len(x) // 2 > SHARD_TOKENS:
                         yield shard()
                     docs.append((d, len(x) // 2))

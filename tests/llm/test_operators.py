@@ -677,6 +677,34 @@ def test_pieces_part_as_the_whole_text():
                 assert (got if want is not split else [w for p in got for w in split(p)]) == want(t), t
 
 
+def test_token_ids_by_runs_of_pieces():
+    """Pieces glued into runs, with what is remembered thrown away often, get the ids of whole texts; plain words never go alone."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from ledgerloom.llm.tokens import encoder
+
+    rng, signs = random.Random(8), [*ODD_SIGNS, "the", " and", "<|endoftext|>"]
+    odd = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(4000)]
+    plain = [" ".join(f"wörd{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}, x" for i in range(k, k + 400)) + ".\nNext" for k in range(3)]
+    for name, cut in (("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "blank")):
+        path = public_tokenizers.path(name)
+        whole, coder = Tokenizer.from_file(path), encoder(path, cut)
+        whole.encode_special_tokens = True
+        calls, ids = [], coder.ids
+        coder.ids = lambda texts: calls.append(len(texts)) or ids(texts)
+        for batch in (plain, odd[:2000], [], ["", ""], ["é" * 900, "a" * 5000, "'s"], odd[2000:], plain):
+            got = coder.encode(pa.array(["cut off", *batch], pa.string()).slice(1), 7)
+            assert [np.frombuffer(x, np.uint16).tolist() for x in got] == [[*whole.encode(t, add_special_tokens=False).ids, 7] for t in batch]
+            if cut == "space":
+                assert batch is not plain or sum(calls) <= 4
+                calls.clear()
+                coder.known.most = 500
+        coder.ids = ids
+        if cut == "space":
+            assert len(coder.known.pieces) <= 3000
+
+
 def test_coder_in_batches(monkeypatch):
     """Ids and bytes of odd texts are tiktoken's; the pattern is asked for odd pieces only, and no query gets more than SLICE allows."""
     import pyarrow as pa
