@@ -705,6 +705,29 @@ def test_token_ids_by_runs_of_pieces():
             assert len(coder.known.pieces) <= 3000
 
 
+def test_word_ids_by_runs_of_pieces():
+    """Words, digits and signs part inside a piece, in any case and beside any sign, with the ids of whole texts; all but odd pieces go in runs."""
+    import pyarrow as pa
+
+    from ledgerloom.llm.tokens import WordEncoder
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(9)
+    whole, coder = hf("word_bpe_49k.json"), WordEncoder(path)
+    calls, ids = [], coder.ids
+    coder.ids = lambda texts: calls.append(len(texts)) or ids(texts)
+    held = lambda texts: [np.frombuffer(x, np.uint16).tolist() for x in coder.encode(pa.array(["cut off", *texts], pa.string()).slice(1), 7)]
+    plain = [" ".join(f"{w}ö{chr(97 + i % 26)}{chr(97 + i // 26)}{tail}" for i in range(600) for w, tail in (("W", "$$$"), ("Жx", ".,"), ("y", "%7"))) + f"\t{k}" for k in (2024, 17)]
+    assert held(plain) == [[*whole(t), 7] for t in plain]
+    assert sum(calls) <= 4
+    coder.known.most = 500
+    # Beside letters that part from ASCII signs: those that a mark composes with in one case only, that lower to two signs, or are none.
+    beside = [*"aHJ'.<1 ", "", "\u0301", "\u0331", "'S"]
+    near = [f"{a}{chr(c)}{b}" for c in (*range(0xC0, 0x250), *range(0x400, 0x488), 0x0301, 0x0331, 0x037E, 0x0387, 0x03A3, 0x0958, 0x1E96, 0x2002, 0x212A) for a in beside for b in beside[1:]]
+    odd = ["".join(rng.choices([*ODD_SIGNS, "H", "İ", "×", "É", "\u0331", "\u0338", "<", "'RE", "</w>", "<|endoftext|>"], k=rng.randint(0, 14))) for _ in range(4000)]
+    for batch in (near[::3], odd, near[1::3], [], ["", ""]):
+        assert held(batch) == [[*whole(t), 7] for t in batch]
+
+
 def test_coder_in_batches(monkeypatch):
     """Ids and bytes of odd texts are tiktoken's; the pattern is asked for odd pieces only, and no query gets more than SLICE allows."""
     import pyarrow as pa
