@@ -45,6 +45,8 @@ def same_side() -> Column:
 SWEEPS = ("tracking_key", "composite", "weak")
 KEYS = {"tracking_key": ["tracking_key"], "composite": ["currency", "amount_minor", "direction", "party", "day"], "weak": ["currency", "amount_minor", "direction"]}
 STARS = ("tracking_key", "weak")
+#: What a sweep compares in the rows of a pair, beside their ids.
+COMPARED = {"tracking_key": ("direction", "counterparty"), "composite": ("counterparty", "source_id"), "weak": ("counterparty",)}
 
 
 def keyed(rows: DataFrame) -> DataFrame:

@@ -865,9 +865,8 @@ def er14_incremental(spark, d):
     snap = Store(spark, scratch(spark, "ledger"), incremental.SCHEMAS, incremental.SPLIT).snapshot()
     columns = [c for c in snap.read("transactions").columns if c not in ("step", "part")]
     for half in (0, 1):
-        new = cut(tx.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).select(*columns))
-        work = incremental.reconciled(snap, new)
-        snap = snap.commit(incremental.additions(work) | {"transactions": new.select("*", F.lit(snap.version + 1).cast("long").alias("step"), incremental.part_of("id").alias("part"))})
+        work = incremental.reconciled(snap, tx.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).select(*columns))
+        snap = snap.commit(incremental.additions(work) | {"transactions": work.new_rows.select("*", F.lit(snap.version + 1).cast("long").alias("step"), incremental.part_of("id").alias("part"))})
     return snap.read("candidates").groupBy("basis", "status").agg(F.count("*").alias("n"))
 
 

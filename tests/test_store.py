@@ -197,6 +197,31 @@ def test_a_small_part_reads_a_small_part_of_the_index(spark, some, tmp_path, mon
     assert total > 1000 and sum(read.values()) < total / 4 and read.get("blocks", 0) == 0
 
 
+def test_a_match_of_two_empties_its_block_at_once(spark, tmp_path, monkeypatch):
+    """The two rows of a composite match are all that their block had: its head goes with them, and the sweep is not run over them
+    again. Blocks hold of a row what their sweep compares. A third row that comes later finds an empty block."""
+    calls, evaluate = [], incremental.Blocks.evaluate
+    monkeypatch.setattr(incremental.Blocks, "evaluate", lambda self, sweep, adds, leaves: calls.append(sweep) or evaluate(self, sweep, adds, leaves))
+    base = [c for c in spark.createDataFrame([], incremental.SCHEMAS["transactions"]).columns if c not in ("part", "step", "claim_id", "evidence_id")]
+    made = spark.range(6).selectExpr(
+        "concat(substr('ABC', 1 + cast(id % 3 as int), 1), id div 3) AS id", "concat('s', id % 3) AS source_id", "100 + id div 3 AS amount_minor", "'MXN' AS currency", "concat('M', id div 3) AS merchant",
+        "'someone' AS counterparty", "'OUTFLOW' AS direction", "'SETTLED' AS financial_status", "'UNRECONCILED' AS reconciliation_state", "'ACTIVE' AS transaction_state", "cast(null AS string) AS superseded_by",
+        "timestamp'2026-01-05 12:00:00' AS occurred_at", "cast(null AS string) AS tracking_key").select(*base)
+    both = cut(made.withColumns({"claim_id": F.col("id"), "evidence_id": F.col("id")}))
+    first, second = both.where("id not like 'C%'"), both.where("id like 'C%'")
+    snap = pass_over(Store(spark, str(tmp_path), incremental.SCHEMAS, incremental.SPLIT).snapshot(), first)
+    assert calls.count("composite") == 1
+    heads = incremental.compacted(snap)["heads"].where("sweep = 'composite'")
+    assert heads.count() == 0 and snap.read("heads").where("sweep = 'composite' and head is null and n = 0").count() == 2
+    rows = {r["sweep"]: r for r in snap.read("blocks").selectExpr("sweep", "row.source_id is null AS s", "row.counterparty is null AS c", "row.direction is null AS d").distinct().collect()}
+    assert tuple(rows["composite"])[1:] == (False, True, True) and tuple(rows["weak"])[1:] == (True, True, True)
+    tx, known = drained(first.select(*base))
+    assert known.where("basis = 'composite' and status = 'MATCH'").count() == 2 and same(snap.read("candidates").drop("step", "part"), known)
+    snap = pass_over(snap, second)
+    tx, known = drained(tx.unionByName(second.select(*base)), known)
+    assert same(snap.read("candidates").drop("step", "part"), known) and same(incremental.current(snap).select(*base), tx.select(*base))
+
+
 def both_layouts(n, columns_too=True):
     """A statement that the block reader and the column reader both can read, to different claims."""
     blocks = [(60, 100, 110, "6 ENE 2026"), (500, 100, 110, f"-${n}.00"), (140, 100, 110, f"Tienda{n} Compra")]
